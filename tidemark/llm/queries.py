@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import linkgraph, secrets
+from . import linechunks, linkgraph, secrets
 from .audio import op9_wav_fingerprints
 from .bpe import op1_byte_bpe
+from .importance import op7_importance_resampling
+from .linechunks import op10_line_chunks
 from .linkgraph import op5_link_trust
 from .secrets import op3_secret_ownership
 from .sharding import op8_virtual_slots
@@ -13,12 +15,15 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_secret_ownership": op3_secret_ownership,
     "op5_link_trust": op5_link_trust,
+    "op7_importance_resampling": op7_importance_resampling,
     "op8_virtual_slots": op8_virtual_slots,
     "op9_wav_fingerprints": op9_wav_fingerprints,
+    "op10_line_chunks": op10_line_chunks,
 }
 
 #: Null where SQL can't express an operator; those are tested against brute force.
 ORACLES: dict[str, str] = {
     "op3_secret_ownership": secrets.ORACLE,
     "op5_link_trust": linkgraph.ORACLE,
+    "op10_line_chunks": linechunks.ORACLE,
 }
