@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import linechunks, linkgraph, secrets
 from .audio import op9_wav_fingerprints
 from .bpe import op1_byte_bpe
+from .decontamination import op4_qgram_decontamination
 from .importance import op7_importance_resampling
 from .linechunks import op10_line_chunks
 from .linkgraph import op5_link_trust
@@ -14,6 +15,7 @@ from .sharding import op8_virtual_slots
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_secret_ownership": op3_secret_ownership,
+    "op4_qgram_decontamination": op4_qgram_decontamination,
     "op5_link_trust": op5_link_trust,
     "op7_importance_resampling": op7_importance_resampling,
     "op8_virtual_slots": op8_virtual_slots,
@@ -24,6 +26,7 @@ QUERIES = {
 #: Null where SQL can't express an operator; those are tested against brute force.
 ORACLES: dict[str, str] = {
     "op3_secret_ownership": secrets.ORACLE,
+    "op4_qgram_decontamination": op4_qgram_decontamination,
     "op5_link_trust": linkgraph.ORACLE,
     "op10_line_chunks": linechunks.ORACLE,
 }
