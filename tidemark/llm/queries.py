@@ -11,12 +11,14 @@ from .linechunks import op10_line_chunks
 from .linkgraph import op5_link_trust
 from .secrets import op3_secret_ownership
 from .sharding import op8_virtual_slots
+from .suffixes import op6_suffix_dedup
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_secret_ownership": op3_secret_ownership,
     "op4_qgram_decontamination": op4_qgram_decontamination,
     "op5_link_trust": op5_link_trust,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_importance_resampling": op7_importance_resampling,
     "op8_virtual_slots": op8_virtual_slots,
     "op9_wav_fingerprints": op9_wav_fingerprints,
@@ -26,7 +28,6 @@ QUERIES = {
 #: Null where SQL can't express an operator; those are tested against brute force.
 ORACLES: dict[str, str] = {
     "op3_secret_ownership": secrets.ORACLE,
-    "op4_qgram_decontamination": op4_qgram_decontamination,
     "op5_link_trust": linkgraph.ORACLE,
     "op10_line_chunks": linechunks.ORACLE,
 }
