@@ -9,12 +9,14 @@ from .decontamination import op4_qgram_decontamination
 from .importance import op7_importance_resampling
 from .linechunks import op10_line_chunks
 from .linkgraph import op5_link_trust
+from .minjoin import op2_jaccard_join
 from .secrets import op3_secret_ownership
 from .sharding import op8_virtual_slots
 from .suffixes import op6_suffix_dedup
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_secret_ownership": op3_secret_ownership,
     "op4_qgram_decontamination": op4_qgram_decontamination,
     "op5_link_trust": op5_link_trust,
