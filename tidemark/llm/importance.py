@@ -147,26 +147,39 @@ def largest(keys: DataFrame, column: str, k: int) -> int | None:
     return prefix - (1 << 64) if prefix >= 1 << 63 else prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sharpness: float = SHARPNESS) -> DataFrame:
-    """One row for each row of docs: (id, n_ngrams, log_weight, kept).
+def _key(id_col: str, sharpness: float) -> Column:
+    """The weight's power plus Gumbel noise, in steps; null for a text without words."""
+    uniform = (F.pmod(F.xxhash64(F.col(id_col), F.lit("gumbel"), F.lit(SEED)), F.lit(1 << 48)) + 0.5) / float(1 << 48)
+    return F.when(F.col("n_ngrams") > 0, F.round((F.col("log_weight") * sharpness - F.log(-F.log(uniform))) / STEP).cast("long"))
+
+
+def cut(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sharpness: float = SHARPNESS) -> tuple[Model, int | None]:
+    """Fits the model and finds the least key that is drawn (null: none is)."""
+    model = fit(docs, labels, id_col, text_col, label_col)
+    scored = settle(weigh(docs, model, id_col, text_col).select("log_weight", _key(id_col, sharpness).alias("key")).filter(F.col("key").isNotNull()))
+    k = scored.count() if not np.isfinite(model.threshold) else scored.filter("log_weight >= 0").count()
+    return model, largest(scored, "key", k)
+
+
+def draw(docs: DataFrame, model: Model, least: int | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, sharpness: float = SHARPNESS) -> DataFrame:
+    """The rows whose keys are drawn: (id, kept columns, n_ngrams, log_weight). No row moves between tasks."""
+    found = weigh(docs, model, id_col, text_col, keep)
+    return found.filter(F.lit(False) if least is None else _key(id_col, sharpness) >= least).drop("log_ratio")
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: list[str] | None = None, sharpness: float = SHARPNESS) -> DataFrame:
+    """The drawn rows: (id, kept columns, n_ngrams, log_weight).
 
     A text without words (null, empty, blank) has no n-grams and is never drawn.
     The Gumbel noise is a function of the id and the seed, so a run repeats
     itself; rows with one id, and rows without an id, share their noise. Rows
-    that tie at the k-th place are all kept. Other columns are left out, so that
-    none can clash; a table without rows gives none; without labels of both
-    kinds every row with words is kept.
+    that tie at the k-th place are all drawn, repeated rows as often as they
+    occur. Columns that aren't asked for are left out, so that none can clash; a
+    table without rows gives none; without labels of both kinds every row with
+    words is drawn.
     """
-    model = fit(docs, labels, id_col, text_col, label_col)
-    uniform = (F.pmod(F.xxhash64(F.col(id_col), F.lit("gumbel"), F.lit(SEED)), F.lit(1 << 48)) + 0.5) / float(1 << 48)
-    key = F.round((F.col("log_weight") * sharpness - F.log(-F.log(uniform))) / STEP).cast("long")
-    scored = weigh(docs, model, id_col, text_col).withColumn("key", F.when(F.col("n_ngrams") > 0, key))
-    scored = settle(scored.select(F.col(id_col), "n_ngrams", "log_weight", "key"))
-    drawable = scored.filter(F.col("key").isNotNull())
-    k = drawable.count() if not np.isfinite(model.threshold) else drawable.filter("log_weight >= 0").count()
-    least = largest(drawable, "key", k)
-    kept = F.lit(False) if least is None else F.coalesce(F.col("key") >= least, F.lit(False))
-    return scored.select(F.col(id_col), "n_ngrams", "log_weight", kept.alias("kept"))
+    model, least = cut(docs, labels, id_col, text_col, label_col, sharpness)
+    return draw(docs, model, least, id_col, text_col, keep, sharpness)
 
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
