@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table
+from ._common import read_table, settle
 
 #: A border follows about every DIVISOR-th line.
 DIVISOR = 3
@@ -63,6 +63,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, repeated): for each id the (place, key) of its chunks that equal an earlier chunk byte for byte."""
     named = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).contains("\n")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     each = named.select("id", F.explode(F.transform(_numbered(chunks_of(F.col("text"))), lambda c: F.struct(c["place"].alias("place"), c["key"].alias("key")))).alias("c")).select("id", "c.*")
+    each = settle(each)  # small beside the texts, and read twice
     first = each.groupBy("key").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
     suspects = each.join(first, "key").select("id", F.struct("place", "key", (F.struct("id", "place") == F.col("first")).alias("leads")).alias("s"))
     suspects = suspects.groupBy("id").agg(F.collect_set("s").alias("suspects"))
