@@ -1,6 +1,607 @@
-"""The registered queries and their oracle SQL."""
+"""The registered queries, each an operator on the star-schema tables, with its SQL in DuckDB's dialect.
+
+Money is made exact, as decimal(18,2), before it is summed, so that results
+don't depend on the order of rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import datetime as dt
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import Settings
+from ..functions import fingerprint, month_of, ratio
+from ..operators import analytics, history, marts, merge, quality, ranking, temporal
+from ..sources import SourceSpec, discover, ingest, pending, read_batch
+from ..streaming import upsert_stream
+from ..tables import VersionedTable
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+AS_OF = dt.date(1999, 1, 1)
+SEVERITIES = {"5-LOW": "BAIXA", "4-NOT SPECIFIED": "BAIXA", "3-MEDIUM": "MEDIA", "2-HIGH": "ALTA", "1-URGENT": "CRITICA"}
+
+
+def query(sql: str | None = None):
+    def add(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql.strip()
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def money(column: str | Column) -> Column:
+    return (F.col(column) if isinstance(column, str) else column).cast("decimal(18,2)")
+
+
+def exact(column: Column) -> Column:
+    """A decimal result as decimal(38,2)."""
+    return column.cast("decimal(38,2)")
+
+
+# --- scans, projections, filters, set operations, order ------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_returnflag IN ('R', 'A') AND l_discount > 0.05")
+def scan_project_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").filter((F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp")) & F.col("l_returnflag").isin("R", "A") & (F.col("l_discount") > 0.05))
+    return rows.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def distinct_rows(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+def top_orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(15)
+
+
+@query("SELECT o_custkey, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM orders GROUP BY o_custkey HAVING count(*) >= 12")
+def count_having(spark, sf_dir):
+    grouped = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), exact(F.sum(money("o_totalprice"))).alias("total"))
+    return grouped.filter("n_orders >= 12")
+
+
+@query("""
+SELECT o_orderkey, o_custkey, o_totalprice, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders WHERE year(o_orderdate) < 1995
+UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders WHERE year(o_orderdate) >= 1995""")
+def schema_evolution_union(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    old = orders.filter(F.year("o_orderdate") < 1995).select("o_orderkey", "o_custkey", "o_totalprice")
+    new = orders.filter(F.year("o_orderdate") >= 1995).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    return new.unionByName(old, allowMissingColumns=True)
+
+
+@query("SELECT c_custkey, sha256(concat_ws(chr(31), CAST(c_custkey AS VARCHAR), c_mktsegment, c_name, CAST(c_nationkey AS VARCHAR))) AS row_hash FROM customer")
+def row_hash(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", fingerprint(["c_custkey", "c_mktsegment", "c_name", "c_nationkey"]).alias("row_hash"))
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY ALL")
+def month_aggregates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(month_of("o_orderdate").alias("month"), "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("o_custkey").alias("customers"),
+        exact(F.sum(money("o_totalprice"))).alias("total"),
+        F.min("o_orderdate").alias("first_date"),
+        F.max("o_orderdate").alias("last_date"),
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+    )
+
+
+# --- the quality gate ----------------------------------------------------------------------------
+
+
+def _order_rules() -> list[quality.Rule]:
+    return [
+        quality.Rule("status_invalid", F.col("o_orderstatus").isin("F", "O")),
+        quality.Rule("price_low", F.col("o_totalprice") >= 20000),
+        quality.Rule("priority_format", F.col("o_orderpriority").rlike("^[1-4]-")),
+    ]
+
+
+_GATE = """
+SELECT o_orderkey, o_orderstatus, nullif(concat_ws('; ', CASE WHEN NOT (o_orderstatus IN ('F', 'O')) THEN 'status_invalid' END, CASE WHEN NOT (o_totalprice >= 20000) THEN 'price_low' END,
+  CASE WHEN NOT regexp_matches(o_orderpriority, '^[1-4]-') THEN 'priority_format' END), '') AS reasons FROM {orders}"""
+
+
+@query(f"SELECT o_orderkey, o_orderstatus FROM ({_GATE.format(orders='orders')}) WHERE reasons IS NULL")
+def quality_gate_valid(spark, sf_dir):
+    return quality.gate(table(spark, sf_dir, "orders"), _order_rules()).valid.select("o_orderkey", "o_orderstatus")
+
+
+@query(f"SELECT o_orderkey, o_orderstatus, reasons FROM ({_GATE.format(orders='orders')}) WHERE reasons IS NOT NULL")
+def quality_gate_rejected(spark, sf_dir):
+    return quality.gate(table(spark, sf_dir, "orders"), _order_rules()).rejected.select("o_orderkey", "o_orderstatus", "reasons")
+
+
+@query(_GATE.format(orders="(SELECT * REPLACE (nullif(o_orderstatus, 'P') AS o_orderstatus) FROM orders)"))
+def null_rule_passes(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
+    return quality.with_reasons(orders, _order_rules()).select("o_orderkey", "o_orderstatus", "reasons")
+
+
+@query("SELECT reasons, count(*) AS n FROM (" + _GATE.format(orders="orders") + ") WHERE reasons IS NOT NULL GROUP BY reasons")
+def rejected_by_reason(spark, sf_dir):
+    return quality.gate(table(spark, sf_dir, "orders"), _order_rules()).rejected.groupBy("reasons").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN o.k IS NULL THEN 'order_unknown' END AS reasons FROM lineitem LEFT JOIN (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 7 <> 0) o ON l_orderkey = o.k")
+def orphan_check(spark, sf_dir):
+    parents = table(spark, sf_dir, "orders").filter("o_orderkey % 7 != 0")
+    marked = quality.mark_known(table(spark, sf_dir, "lineitem"), parents, "l_orderkey", "o_orderkey")
+    return quality.with_reasons(marked, [quality.Rule("order_unknown", F.col("known").isNotNull())]).select("l_orderkey", "l_partkey", "l_linenumber", "reasons")
+
+
+@query("SELECT l_orderkey, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 7 <> 0)")
+def orphan_rows(spark, sf_dir):
+    parents = table(spark, sf_dir, "orders").filter("o_orderkey % 7 != 0")
+    return quality.orphans(table(spark, sf_dir, "lineitem"), parents, "l_orderkey", "o_orderkey").select("l_orderkey", "l_partkey")
+
+
+@query("SELECT e1.event_id, e1.user_id, e1.ts FROM (SELECT *, count(DISTINCT user_id) OVER (PARTITION BY props) AS owners FROM events) e1 WHERE owners > 1")
+def shared_identity(spark, sf_dir):
+    _, shared = quality.shared_identity(table(spark, sf_dir, "events"), "props", "user_id")
+    return shared.select("event_id", "user_id", "ts")
+
+
+_LINE = "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_shipdate, {_LINE} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_shipdate ORDER BY {_LINE}) AS n FROM lineitem) WHERE n = 1")
+def dedupe_on_date(spark, sf_dir):
+    tie = _LINE.split(", ")
+    return quality.dedupe_on(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_shipdate", tie).select("l_orderkey", "l_linenumber", "l_shipdate", *tie)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_shipdate, {_LINE} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, {_LINE}) AS n FROM lineitem) WHERE n = 1")
+def latest_by_key(spark, sf_dir):
+    tie = _LINE.split(", ")
+    return quality.latest_by(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_shipdate", tie).select("l_orderkey", "l_linenumber", "l_shipdate", *tie)
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+# --- histories and point-in-time joins -----------------------------------------------------------
+
+_TIMELINE = """
+h AS (SELECT *, sha256(coalesce(event_type, chr(0))) AS attribute_hash FROM {events}),
+c AS (SELECT *, lag(attribute_hash) OVER (PARTITION BY user_id ORDER BY ts, attribute_hash, event_id) AS before FROM h),
+t AS (
+  SELECT user_id, event_type, ts, row_number() OVER w AS version, CASE WHEN row_number() OVER w = 1 THEN TIMESTAMP '1970-01-02' ELSE ts END AS valid_from, lead(ts) OVER w AS valid_to,
+    lead(ts) OVER w IS NULL AS is_current
+  FROM c WHERE before IS NULL OR before <> attribute_hash WINDOW w AS (PARTITION BY user_id ORDER BY ts, attribute_hash, event_id))"""
+_VERSIONS = ("user_id", "event_type", "version", "valid_from", "valid_to", "is_current")
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+
+
+def _timeline(changes: DataFrame) -> DataFrame:
+    return history.build_timeline(changes, "user_id", ["event_type"], "ts", ["event_id"])
+
+
+@query(f"WITH {_TIMELINE.format(events='events')} SELECT user_id, event_type, CAST(version AS INT) AS version, valid_from, valid_to, is_current FROM t")
+def scd2_timeline(spark, sf_dir):
+    return _timeline(_changes(spark, sf_dir)).select(*_VERSIONS)
+
+
+@query(f"WITH {_TIMELINE.format(events='events')} SELECT user_id, event_type, CAST(version AS INT) AS version, valid_from FROM t WHERE is_current")
+def scd2_current(spark, sf_dir):
+    return history.current(_timeline(_changes(spark, sf_dir))).select("user_id", "event_type", "version", "valid_from")
+
+
+@query(f"WITH {_TIMELINE.format(events='events')} SELECT user_id, CAST(max(version) AS INT) AS versions FROM t GROUP BY user_id HAVING max(version) > 1")
+def scd2_several_versions(spark, sf_dir):
+    return _timeline(_changes(spark, sf_dir)).groupBy("user_id").agg(F.max("version").alias("versions")).filter("versions > 1")
+
+
+def _two_batches(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The history after two batches: what the second touches is recomputed, the rest stays."""
+    fresh = history.affected_timelines(first, second, "user_id", ["event_type"], "ts", ["event_id"])
+    return merge.replace_keys(_timeline(first), fresh, ["user_id"]).select(*_VERSIONS)
+
+
+@query(ORACLES["scd2_timeline"])
+def scd2_incremental(spark, sf_dir):
+    changes = _changes(spark, sf_dir)
+    return _two_batches(changes.filter("ts < '2024-01-16'"), changes.filter("ts >= '2024-01-16'"))
+
+
+@query(ORACLES["scd2_timeline"])
+def scd2_out_of_order(spark, sf_dir):
+    changes = _changes(spark, sf_dir)
+    return _two_batches(changes.filter("event_id % 2 = 1"), changes.filter("event_id % 2 = 0"))
+
+
+_PIT = "SELECT e.event_id, e.user_id, e.ts, CAST(t.version AS INT) AS version, t.event_type AS state FROM events e {how} JOIN t ON t.user_id = e.user_id AND e.ts >= t.valid_from AND (t.valid_to IS NULL OR e.ts < t.valid_to) WHERE e.event_type = 'purchase'"
+_OTHERS = "(SELECT * FROM events WHERE event_type <> 'purchase' AND user_id % 5 <> 0)"
+
+
+def _purchases_and_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, sf_dir, "events")
+    states = _timeline(_changes(spark, sf_dir).filter("event_type != 'purchase' AND user_id % 5 != 0"))
+    states = states.select("user_id", "valid_from", "valid_to", "version", F.col("event_type").alias("state"))
+    return events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), states
+
+
+@query(f"WITH {_TIMELINE.format(events=_OTHERS)} {_PIT.format(how='LEFT')}")
+def pit_join_left(spark, sf_dir):
+    return temporal.pit_join(*_purchases_and_states(spark, sf_dir), "user_id", "ts")
+
+
+@query(f"WITH {_TIMELINE.format(events=_OTHERS)} {_PIT.format(how='')}")
+def pit_join_inner(spark, sf_dir):
+    return temporal.pit_join(*_purchases_and_states(spark, sf_dir), "user_id", "ts", how="inner")
+
+
+@query(f"WITH {_TIMELINE.format(events=_OTHERS)} {_PIT.format(how='LEFT')}")
+def pit_join_sweep(spark, sf_dir):
+    return temporal.pit_join_sweep(*_purchases_and_states(spark, sf_dir), "user_id", "ts")
+
+
+_SPLIT = "TIMESTAMP '1995-06-01'"
+_CHAIN = f"""
+card AS (SELECT l_partkey % 1000 AS id_cartao, l_partkey % 1000 % 300 + v * 7 AS id_conta, v FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey <= 1000), range(2) r(v)),
+cards AS (SELECT DISTINCT id_cartao, id_conta, CASE v WHEN 0 THEN TIMESTAMP '1970-01-02' ELSE {_SPLIT} END AS a, CASE v WHEN 0 THEN {_SPLIT} END AS z, CASE WHEN v = 1 AND id_cartao % 9 = 0 THEN 'CANCELADO' ELSE 'ATIVO' END AS status_cartao FROM card),
+accounts AS (SELECT id_conta, id_conta % 150 + 1 AS id_cliente FROM range(320) r(id_conta)),
+customers AS (SELECT c_custkey AS id_cliente, c_mktsegment AS segmento, 'N' || c_nationkey AS cidade, 'R' || c_nationkey % 5 AS estado FROM customer)"""
+
+
+def _dimensions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cards with two versions each, accounts and customers with one, from parts and customers."""
+    split, start = F.lit("1995-06-01").cast("timestamp"), F.lit(history.SENTINEL).cast("timestamp")
+    parts = table(spark, sf_dir, "lineitem").filter("l_partkey <= 1000").select((F.col("l_partkey") % 1000).alias("id_cartao")).distinct()
+    each = parts.select("id_cartao", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
+    second = F.col("v") == 1
+    cards = each.select(
+        "id_cartao",
+        (F.col("id_cartao") % 300 + F.col("v") * 7).alias("id_conta"),
+        F.when(second, split).otherwise(start).alias("valid_from"),
+        F.when(~second, split).alias("valid_to"),
+        F.when(second & (F.col("id_cartao") % 9 == 0), "CANCELADO").otherwise("ATIVO").alias("status_cartao"),
+    )
+    always = {"valid_from": start, "valid_to": F.lit(None).cast("timestamp")}
+    accounts = spark.range(320).select(F.col("id").alias("id_conta"), (F.col("id") % 150 + 1).alias("id_cliente")).withColumns(always)
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id_cliente"), F.col("c_mktsegment").alias("segmento"), F.concat(F.lit("N"), "c_nationkey").alias("cidade"), F.concat(F.lit("R"), F.col("c_nationkey") % 5).alias("estado"))
+    return cards, accounts, customers.withColumns(always)
+
+
+@query(f"""
+WITH {_CHAIN}
+SELECT o_orderkey, c.id_cartao, c.id_conta, a.id_cliente, u.segmento FROM orders LEFT JOIN cards c ON c.id_cartao = o_custkey % 1100 AND o_orderdate >= c.a AND (c.z IS NULL OR o_orderdate < c.z)
+LEFT JOIN accounts a ON a.id_conta = c.id_conta LEFT JOIN customers u ON u.id_cliente = a.id_cliente WHERE c.id_cartao IS NOT NULL""")
+def pit_chain(spark, sf_dir):
+    cards, accounts, customers = _dimensions(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 1100).alias("id_cartao"))
+    chained = temporal.pit_chain(orders, [(cards, "id_cartao", "id_cartao"), (accounts, "id_conta", "id_conta"), (customers, "id_cliente", "id_cliente")], "o_orderdate")
+    return chained.filter(F.col("id_conta").isNotNull()).select("o_orderkey", "id_cartao", "id_conta", "id_cliente", "segmento")
+
+
+# --- facts and marts -----------------------------------------------------------------------------
+
+_PAYMENTS = f"""
+x AS (SELECT o_orderkey AS id_transacao, o_custkey % 1100 AS id_cartao, o_orderdate AS data_transacao, CAST(o_orderdate AS DATE) AS dt_transacao, CAST(o_totalprice AS DECIMAL(18,2)) AS valor,
+  CAST(o_custkey % 20 AS VARCHAR) AS mcc, 'M' || o_custkey % 40 AS estabelecimento, o_orderpriority AS canal, CASE o_orderkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'BR' ELSE 'AR' END AS pais FROM orders),
+rf AS (SELECT l_orderkey AS id_transacao, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 GROUP BY 1),
+ev AS (SELECT o_orderkey AS id_transacao, CASE o_orderpriority WHEN '3-MEDIUM' THEN 2 WHEN '2-HIGH' THEN 3 WHEN '1-URGENT' THEN 4 ELSE 1 END AS s, CASE o_orderkey % 3 WHEN 0 THEN 'FRAUDE' WHEN 1 THEN 'CHARGEBACK' ELSE 'SUSPEITA' END AS tipo FROM orders, range(2) WHERE o_orderstatus = 'P'),
+eg AS (SELECT id_transacao, count(*) AS n, max(s) AS s FROM ev GROUP BY 1),
+{_CHAIN.strip()},
+f AS (
+  SELECT x.*, c.id_conta AS id_conta_na_data, a.id_cliente AS id_cliente_na_data, c.status_cartao AS status_cartao_na_data, c.status_cartao = 'CANCELADO' AS flag_cartao_cancelado_no_momento,
+    u.segmento AS segmento_cliente_na_data, u.cidade AS cidade_cliente_na_data, u.estado AS estado_cliente_na_data, coalesce(rf.n, 0) AS qtd_estornos, coalesce(rf.n, 0) > 0 AS flag_estornada,
+    coalesce(eg.n, 0) AS qtd_eventos_risco, coalesce(eg.n, 0) > 0 AS flag_evento_risco, CASE WHEN coalesce(rf.n, 0) > 0 THEN CAST(0 AS DECIMAL(18,2)) ELSE valor END AS valor_liquido,
+    CASE eg.s WHEN 1 THEN 'BAIXA' WHEN 2 THEN 'MEDIA' WHEN 3 THEN 'ALTA' WHEN 4 THEN 'CRITICA' END AS severidade_maxima_risco
+  FROM x LEFT JOIN cards c ON c.id_cartao = x.id_cartao AND data_transacao >= c.a AND (c.z IS NULL OR data_transacao < c.z) LEFT JOIN accounts a ON a.id_conta = c.id_conta
+  LEFT JOIN customers u ON u.id_cliente = a.id_cliente LEFT JOIN rf ON rf.id_transacao = x.id_transacao LEFT JOIN eg ON eg.id_transacao = x.id_transacao),
+m AS (
+  SELECT id_cliente_na_data AS id_cliente, strftime(dt_transacao, '%Y-%m') AS ano_mes, count(*) AS qtd_transacoes, sum(valor) AS bruto, sum(valor_liquido) AS liquido,
+    count(DISTINCT estabelecimento) AS qtd_estabelecimentos_distintos, count(DISTINCT pais) AS qtd_paises_distintos, count(*) FILTER (pais <> 'BR') AS qtd_transacoes_internacionais,
+    count(*) FILTER (flag_estornada) AS qtd_estornos, count(*) FILTER (flag_evento_risco) AS qtd_eventos_risco FROM f GROUP BY 1, 2)"""
+
+
+def _children(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Refunds from returned first lines, events (two for each) from pending orders."""
+    refunds = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_linenumber = 1").select(F.col("l_orderkey").alias("id_transacao"))
+    labels = F.create_map(*(F.lit(x) for pair in SEVERITIES.items() for x in pair))
+    kind = F.element_at(F.array(F.lit(marts.FRAUD), F.lit(marts.CHARGEBACK), F.lit(marts.SUSPICION)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    events = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id_transacao"), labels[F.col("o_orderpriority")].alias("severidade"), kind.alias("tipo_evento"), F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
+    return refunds, events.drop("n")
+
+
+def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    country = F.element_at(F.array(F.lit("US"), F.lit("BR"), F.lit("AR")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = orders.select(
+        F.col("o_orderkey").alias("id_transacao"),
+        (F.col("o_custkey") % 1100).alias("id_cartao"),
+        F.col("o_orderdate").alias("data_transacao"),
+        F.to_date("o_orderdate").alias("dt_transacao"),
+        money("o_totalprice").alias("valor"),
+        (F.col("o_custkey") % 20).cast("string").alias("mcc"),
+        F.concat(F.lit("M"), F.col("o_custkey") % 40).alias("estabelecimento"),
+        F.col("o_orderpriority").alias("canal"),
+        country.alias("pais"),
+        *(F.lit(None).cast("string").alias(c) for c in ("moeda", "device_id", "ip_origem")),
+    )
+    return marts.build_fact(rows, *_dimensions(spark, sf_dir), *_children(spark, sf_dir))
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dimensions(spark, sf_dir)[2].select("id_cliente", "segmento", "cidade", "estado")
+
+
+_FACT_COLUMNS = [c for c in marts.FACT if c not in ("moeda", "device_id", "ip_origem")]
+
+
+@query(f"WITH {_PAYMENTS} SELECT {', '.join(_FACT_COLUMNS)} FROM f")
+def fact_enriched(spark, sf_dir):
+    return _fact(spark, sf_dir).select(*_FACT_COLUMNS)
+
+
+@query(f"WITH {_PAYMENTS} SELECT estabelecimento, mcc, count(*) AS qtd_transacoes_historico, CAST(sum(valor) AS DECIMAL(38,2)) AS valor_bruto_historico, min(dt_transacao) AS primeira_transacao, max(dt_transacao) AS ultima_transacao, count(DISTINCT pais) AS qtd_paises_distintos FROM f GROUP BY 1, 2")
+def merchant_dim(spark, sf_dir):
+    return marts.merchants(_fact(spark, sf_dir)).withColumn("valor_bruto_historico", exact(F.col("valor_bruto_historico")))
+
+
+_MONTHS = """
+mm AS (SELECT *, lag(liquido) OVER (PARTITION BY id_cliente ORDER BY ano_mes) AS antes FROM m)
+SELECT id_cliente, ano_mes, qtd_transacoes, CAST(bruto AS DECIMAL(38,2)) AS valor_bruto, CAST(liquido AS DECIMAL(38,2)) AS valor_liquido, CAST(bruto - liquido AS DECIMAL(38,2)) AS valor_estornado,
+  qtd_estabelecimentos_distintos, qtd_paises_distintos, qtd_transacoes_internacionais, qtd_estornos, qtd_eventos_risco, CAST(antes AS DECIMAL(38,2)) AS valor_liquido_mes_anterior FROM mm"""
+_MONTH_COLUMNS = [c for c in marts.MONTH if c not in ("ticket_medio", "variacao_valor_liquido_pct")]
+
+
+def _exact_months(months: DataFrame) -> DataFrame:
+    """Without the rounded ratios, whose last digit the two engines may round apart."""
+    amounts = ("valor_bruto", "valor_liquido", "valor_estornado", "valor_liquido_mes_anterior")
+    return months.select(*(exact(F.col(c)).alias(c) if c in amounts else F.col(c) for c in _MONTH_COLUMNS))
+
+
+@query(f"WITH {_PAYMENTS}, {_MONTHS}")
+def customer_month(spark, sf_dir):
+    return _exact_months(marts.customer_months(_fact(spark, sf_dir)))
+
+
+@query(f"WITH {_PAYMENTS}, {_MONTHS}")
+def customer_month_incremental(spark, sf_dir):
+    """The mart of early transactions, brought up to date with the late ones."""
+    fact = _fact(spark, sf_dir)
+    late = F.col("id_transacao") % 10 == 3
+    old = marts.customer_months(fact.filter(~late))
+    groups = marts.affected_months(fact, fact.filter(late))
+    return _exact_months(merge.replace_keys(old, marts.customer_months(fact, groups), ["id_cliente", "ano_mes"]))
+
+
+_RISKS = """
+e AS (SELECT f.id_cliente_na_data AS id_cliente, strftime(f.dt_transacao, '%Y-%m') AS ano_mes, count(*) AS n, count(*) FILTER (tipo = 'FRAUDE') AS fraude, count(*) FILTER (tipo = 'CHARGEBACK') AS chargeback,
+  count(*) FILTER (tipo = 'SUSPEITA') AS suspeita, max(s) AS s FROM ev JOIN f USING (id_transacao) GROUP BY 1, 2),
+r AS (
+  SELECT m.id_cliente, m.ano_mes, m.qtd_transacoes, coalesce(e.n, 0) AS qtd_eventos_risco, coalesce(fraude, 0) AS qtd_fraude, coalesce(chargeback, 0) AS qtd_chargeback, coalesce(suspeita, 0) AS qtd_suspeita,
+    m.qtd_estornos, CAST(bruto - liquido AS DECIMAL(38,2)) AS valor_estornado, CASE e.s WHEN 1 THEN 'BAIXA' WHEN 2 THEN 'MEDIA' WHEN 3 THEN 'ALTA' WHEN 4 THEN 'CRITICA' END AS severidade_maxima_mes
+  FROM m LEFT JOIN e ON e.id_cliente IS NOT DISTINCT FROM m.id_cliente AND e.ano_mes = m.ano_mes)"""
+
+
+@query(f"WITH {_PAYMENTS}, {_RISKS} SELECT * FROM r")
+def risk_month(spark, sf_dir):
+    found = marts.risk_months(_fact(spark, sf_dir), _children(spark, sf_dir)[1])
+    return found.drop("taxa_estorno_pct").withColumn("valor_estornado", exact(F.col("valor_estornado")))
+
+
+@query(f"""
+WITH {_PAYMENTS}, {_RISKS},
+rec AS (SELECT id_cliente_na_data AS id_cliente, date_diff('day', max(dt_transacao), DATE '{AS_OF}') AS d FROM f GROUP BY 1),
+tot AS (SELECT id_cliente, sum(qtd_transacoes) AS n, sum(liquido) AS liquido, sum(bruto) AS bruto, count(*) AS meses FROM m GROUP BY 1),
+rt AS (SELECT id_cliente, sum(qtd_eventos_risco) AS e, sum(qtd_fraude) AS f, sum(qtd_chargeback) AS c, sum(qtd_estornos) AS x FROM r GROUP BY 1),
+b AS (
+  SELECT u.*, CAST(rec.d AS INT) AS dias_desde_ultima_transacao, CAST(coalesce(n, 0) AS BIGINT) AS qtd_transacoes_total, CAST(coalesce(liquido, 0) AS DECIMAL(38,2)) AS valor_liquido_total, CAST(coalesce(bruto, 0) AS DECIMAL(38,2)) AS valor_bruto_total,
+    coalesce(meses, 0) AS qtd_meses_ativos, CAST(coalesce(e, 0) AS BIGINT) AS qtd_eventos_risco_total, CAST(coalesce(f, 0) AS BIGINT) AS qtd_fraude_total, CAST(coalesce(c, 0) AS BIGINT) AS qtd_chargeback_total, CAST(coalesce(x, 0) AS BIGINT) AS qtd_estornos_total
+  FROM customers u LEFT JOIN rec USING (id_cliente) LEFT JOIN tot USING (id_cliente) LEFT JOIN rt USING (id_cliente))
+SELECT *, round(percent_rank() OVER (PARTITION BY cidade ORDER BY valor_liquido_total), 4) AS percentil_gasto_cidade, round(percent_rank() OVER (PARTITION BY segmento ORDER BY valor_liquido_total), 4) AS percentil_gasto_segmento,
+  CAST(ntile(10) OVER (ORDER BY valor_liquido_total, id_cliente) AS INT) AS decil_gasto_geral FROM b""")
+def features_rfm(spark, sf_dir):
+    fact = _fact(spark, sf_dir)
+    customers = _customers(spark, sf_dir).withColumns({"renda": F.lit(None).cast("int"), "cliente_desde": F.lit(None).cast("date")})
+    found = marts.customer_features(customers, fact, marts.customer_months(fact), marts.risk_months(fact, _children(spark, sf_dir)[1]), AS_OF)
+    amounts = ("valor_liquido_total", "valor_bruto_total")
+    return found.drop("renda", "cliente_desde", "dias_desde_cadastro", "ticket_medio_total").withColumns({c: exact(F.col(c)) for c in amounts})
+
+
+@query(f"""
+WITH v AS (SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT c_mktsegment, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS orders, count(DISTINCT o_custkey) AS customers, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM v GROUP BY ALL""")
+def pit_month_mart(spark, sf_dir):
+    """Orders with the customer version valid at their time, by segment and month."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", F.lit(history.SENTINEL).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+    joined = temporal.pit_join(table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice"), customers, "o_custkey", "o_orderdate", how="inner")
+    return joined.groupBy("c_mktsegment", month_of("o_orderdate").alias("month")).agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("o_custkey").alias("customers"), exact(F.sum(money("o_totalprice"))).alias("total"))
+
+
+# --- upsert and replacement ----------------------------------------------------------------------
+
+_CORRECTIONS = "SELECT o_orderkey + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 10000000 END AS o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) + 1 AS total FROM orders WHERE o_orderkey % 5 = 0"
+
+
+def _corrections(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    base = orders.select("o_orderkey", "o_custkey", money("o_totalprice").alias("total"))
+    moved = F.col("o_orderkey") + F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(10_000_000)
+    return base, base.filter("o_orderkey % 5 = 0").select(moved.alias("o_orderkey"), "o_custkey", (F.col("total") + 1).cast("decimal(18,2)").alias("total"))
+
+
+@query(f"WITH s AS ({_CORRECTIONS}) SELECT o_orderkey, o_custkey, CAST(total AS DECIMAL(18,2)) AS total FROM s UNION ALL SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)")
+def upsert_natural_key(spark, sf_dir):
+    return merge.upsert(*_corrections(table(spark, sf_dir, "orders")), ["o_orderkey"], check=False)
+
+
+@query(ORACLES["upsert_natural_key"])
+def upsert_versioned_table(spark, sf_dir):
+    """The same through a versioned table."""
+    base, staged = _corrections(table(spark, sf_dir, "orders"))
+    store = VersionedTable(spark, f"{_folder(spark)}/orders")
+    store.overwrite(base)
+    store.upsert(staged, ["o_orderkey"])
+    return store.read()
+
+
+@query("""
+WITH g AS (SELECT CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE o_custkey END AS k, strftime(o_orderdate, '%Y-%m') AS month, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders)
+SELECT k, month, CAST(sum(v) * CASE WHEN month = '1995-03' THEN 2 ELSE 1 END AS DECIMAL(38,2)) AS total FROM g GROUP BY k, month""")
+def replace_groups(spark, sf_dir):
+    """One month of an aggregate is delivered again, doubled; groups with a null key are replaced too."""
+    rows = table(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 11 != 0, F.col("o_custkey")).alias("k"), month_of("o_orderdate").alias("month"), money("o_totalprice").alias("v"))
+    total = rows.groupBy("k", "month").agg(exact(F.sum("v")).alias("total"))
+    again = total.filter("month = '1995-03'").withColumn("total", exact(F.col("total") * 2))
+    return merge.replace_keys(total, again, ["k", "month"])
+
+
+# --- window analytics ----------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {_PAYMENTS}, k AS (SELECT *, strftime(dt_transacao, '%Y-%m') AS ano_mes, row_number() OVER (PARTITION BY id_cliente_na_data, strftime(dt_transacao, '%Y-%m') ORDER BY valor_liquido DESC, id_transacao) AS n FROM f WHERE NOT flag_estornada)
+SELECT id_cliente_na_data AS id_cliente, ano_mes, id_transacao AS id_transacao_maior_valor, valor_liquido AS maior_valor_liquido_do_mes, segmento, cidade FROM k JOIN customers u ON u.id_cliente = id_cliente_na_data WHERE n = 1""")
+def sql_top1_per_month(spark, sf_dir):
+    return analytics.largest_of_month(_fact(spark, sf_dir), _customers(spark, sf_dir))
+
+
+@query(f"""
+WITH {_PAYMENTS}
+SELECT id_cliente, ano_mes, CAST(liquido AS DECIMAL(38,2)) AS valor_liquido, CAST(lag(liquido) OVER w AS DECIMAL(38,2)) AS valor_liquido_mes_anterior, CAST(lead(liquido) OVER w AS DECIMAL(38,2)) AS valor_liquido_mes_seguinte,
+  qtd_transacoes, lag(qtd_transacoes) OVER w AS qtd_transacoes_mes_anterior FROM m WINDOW w AS (PARTITION BY id_cliente ORDER BY ano_mes)""")
+def sql_month_over_month(spark, sf_dir):
+    amounts = ("valor_liquido", "valor_liquido_mes_anterior", "valor_liquido_mes_seguinte")
+    return analytics.month_over_month(marts.customer_months(_fact(spark, sf_dir))).drop("variacao_valor_pct").withColumns({c: exact(F.col(c)) for c in amounts})
+
+
+@query(f"""
+WITH {_PAYMENTS}
+SELECT DISTINCT id_cliente_na_data AS id_cliente, first_value(id_transacao) OVER w AS primeira_transacao_id, first_value(dt_transacao) OVER w AS primeira_transacao_data, first_value(valor) OVER w AS primeira_transacao_valor,
+  last_value(id_transacao) OVER w AS ultima_transacao_id, last_value(dt_transacao) OVER w AS ultima_transacao_data, last_value(valor) OVER w AS ultima_transacao_valor
+FROM f WINDOW w AS (PARTITION BY id_cliente_na_data ORDER BY dt_transacao, id_transacao ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def sql_first_last(spark, sf_dir):
+    return analytics.first_and_last(_fact(spark, sf_dir))
+
+
+@query(f"""
+WITH {_PAYMENTS}, g AS (SELECT id_cliente, CAST(sum(liquido) AS DECIMAL(38,2)) AS valor_liquido_total FROM m GROUP BY 1),
+n AS (SELECT *, ntile(10) OVER (ORDER BY valor_liquido_total, id_cliente NULLS FIRST) AS d, round(percent_rank() OVER (ORDER BY valor_liquido_total), 4) AS percentil_gasto FROM g)
+SELECT id_cliente, valor_liquido_total, CAST(d AS INT) AS decil_gasto, percentil_gasto, CASE WHEN d >= 9 THEN 'TOP_20_PCT' WHEN d <= 2 THEN 'BOTTOM_20_PCT' ELSE 'MEIO' END AS faixa_gasto FROM n""")
+def sql_spending_bands(spark, sf_dir):
+    return analytics.spending_bands(marts.customer_months(_fact(spark, sf_dir))).withColumn("valor_liquido_total", exact(F.col("valor_liquido_total")))
+
+
+@query(f"""
+WITH {_PAYMENTS}, s AS (SELECT id_cliente_na_data AS id_cliente, avg(CAST(valor AS DOUBLE)) AS a, stddev_pop(CAST(valor AS DOUBLE)) AS d FROM f GROUP BY 1 HAVING count(*) >= 3),
+z AS (SELECT id_transacao, id_cliente, dt_transacao, valor, (valor - a) / nullif(d, 0) AS z FROM f JOIN s ON id_cliente = id_cliente_na_data WHERE d > 0)
+SELECT id_transacao, id_cliente, dt_transacao, CAST(valor AS DOUBLE) AS valor, CASE WHEN z >= 3 THEN 'ANOMALIA_ALTA' WHEN z >= 2 THEN 'ATENCAO' WHEN z >= 1.5 THEN 'LEVE' ELSE 'NORMAL' END AS classificacao_anomalia FROM z WHERE z >= 1.5""")
+def sql_anomalies(spark, sf_dir):
+    fact = _fact(spark, sf_dir).withColumn("valor", F.col("valor").cast("double"))
+    return analytics.anomalies(fact).drop("media_valor", "desvio_valor", "z_score")
+
+
+@query(f"""
+WITH {_PAYMENTS}, t AS (SELECT m.id_cliente, ano_mes, CAST(liquido AS DOUBLE) / qtd_transacoes AS ticket, cidade, segmento FROM m JOIN customers u ON u.id_cliente = m.id_cliente)
+SELECT id_cliente, ano_mes, cidade, segmento, round(ticket, 6) AS ticket_medio_do_mes, round(avg(ticket) OVER (PARTITION BY id_cliente), 6) AS ticket_medio_historico_proprio,
+  round(avg(ticket) OVER (PARTITION BY cidade, segmento, ano_mes), 6) AS ticket_medio_cidade_segmento FROM t""")
+def sql_ticket_compare(spark, sf_dir):
+    months = marts.customer_months(_fact(spark, sf_dir)).withColumn("ticket_medio", F.try_divide(F.col("valor_liquido").cast("double"), F.col("qtd_transacoes")))
+    found = analytics.ticket_comparison(months, _customers(spark, sf_dir)).drop("diff_vs_proprio_historico", "diff_vs_cidade_segmento")
+    return found.withColumns({c: F.round(c, 6) for c in ("ticket_medio_do_mes", "ticket_medio_historico_proprio", "ticket_medio_cidade_segmento")})
+
+
+@query("SELECT c_custkey, CAST(ntile(7) OVER (ORDER BY c_acctbal, c_custkey) AS INT) AS tile, rank() OVER (ORDER BY c_acctbal) AS place FROM customer")
+def global_ntile(spark, sf_dir):
+    """Global tiles and ranks without a single-task sort."""
+    placed, rows = ranking.global_positions(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
+    return placed.select("c_custkey", ranking.ntile_of(F.col("__position"), rows, 7).alias("tile"), (F.col("__below") + 1).alias("place"))
+
+
+@query("SELECT l_suppkey, count(*) AS n, CAST(count(*) FILTER (l_returnflag = 'R') AS BIGINT) AS returned, round(count(*) FILTER (l_returnflag = 'R') * 100.0 / count(*), 6) AS rate FROM lineitem GROUP BY l_suppkey")
+def refund_rate(spark, sf_dir):
+    grouped = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
+    return grouped.withColumn("rate", ratio(F.col("returned"), F.col("n"), 6, 100))
+
+
+@query("""
+SELECT o_orderkey, o_custkey, sum(1) OVER w AS running, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS DECIMAL(38,2)) AS running_total FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def running_totals(spark, sf_dir):
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.sum(F.lit(1)).over(order).alias("running"), exact(F.sum(money("o_totalprice")).over(order)).alias("running_total"))
+
+
+# --- files, tables, streams: no tables of the driver's to compare with -----------------------------
+
+_LANDED = SourceSpec("events", "part-*.csv", "bronze_events", {"event_id": "long", "user_id": "long", "event_type": "string", "ts": "timestamp"}, {"value": "double"})
+
+
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors share, where the session names one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base}/{uuid.uuid4()}"
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> Settings:
+    """Event files in two header versions, and settings for their ingestion."""
+    folder = _folder(spark)
+    events = table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", "ts"))
+    for name, rows in (("v1", events.filter("event_id % 2 = 0").select(*_LANDED.columns)), ("v2", events.filter("event_id % 2 = 1").select(*_LANDED.columns, "value"))):
+        rows.write.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{folder}/in/{name}")
+    return Settings(base_path=f"{folder}/lake", input_path=f"{folder}/in", batch_id="b1")
+
+
+@query("SELECT event_id, user_id, event_type, date_trunc('second', ts) AS ts, CASE WHEN event_id % 2 = 1 THEN value END AS value, CAST(1 + event_id % 2 AS INT) AS schema_version FROM events")
+def ingest_files(spark, sf_dir):
+    """CSV files of two headers through discovery, scan and append."""
+    settings = _landed(spark, sf_dir)
+    ingest(spark, settings, _LANDED)
+    return read_batch(spark, settings, "bronze_events").select("event_id", "user_id", "event_type", "ts", "value", "schema_version")
+
+
+@query("SELECT event_id, user_id FROM events")
+def ingest_idempotent(spark, sf_dir):
+    """Ingesting twice is ingesting once."""
+    settings = _landed(spark, sf_dir)
+    ingest(spark, settings, _LANDED)
+    ingest(spark, settings, _LANDED)
+    return VersionedTable(spark, settings.table_path("bronze", "bronze_events")).read().select("event_id", "user_id")
+
+
+@query()
+def pending_files(spark, sf_dir):
+    settings = _landed(spark, sf_dir)
+    control = spark.createDataFrame([], "source string, file string, file_hash string, batch_id string, status string, processed_at timestamp")
+    return pending(discover(spark, settings.input_path, _LANDED.glob), control, "events").select("file", "file_hash", "header")
+
+
+@query("SELECT o_orderkey, reasons FROM (" + _GATE.format(orders="orders") + ") WHERE reasons IS NOT NULL")
+def quarantine_append(spark, sf_dir):
+    store = VersionedTable(spark, f"{_folder(spark)}/quarantine")
+    rejected = quality.gate(table(spark, sf_dir, "orders"), _order_rules()).rejected.select("o_orderkey", "reasons")
+    store.append(rejected.filter("o_orderkey % 2 = 0"))
+    store.append(rejected.filter("o_orderkey % 2 = 1"))
+    return store.read()
+
+
+@query("SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1")
+def stream_upsert(spark, sf_dir):
+    """A file stream of changes, upserted by key in micro-batches; the latest change wins."""
+    store = VersionedTable(spark, f"{_folder(spark)}/latest")
+    upsert_stream(spark, f"{sf_dir}/events.parquet", store, ["user_id"], "ts", ["event_id"], ["user_id", "event_id", "event_type", "ts"], f"{_folder(spark)}/stream")
+    return store.read()
