@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, binary_view, read_table, settle
+from ._common import as_bytes, binary_view, read_table
 from .textvec import mix
 
 LENGTH = 50
@@ -475,7 +475,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _table({"id": table["id"], "n_bytes": np.diff(unit.ends), "kept": kept, "starts": starts, "ends": ends}, _RESULT)
 
     shared = units.applyInArrow(tell_anchors, _ddl(_ANCHORS)).groupBy("bucket").applyInArrow(answer_shared, _ddl(_ANSWER))
-    shared = settle(shared)
+
+    # not settled: within one query the texts and the anchors are exchanged once and reused
     told = units.cogroup(shared.groupBy("unit")).applyInArrow(tell_contents, _ddl(_ANSWER))
     least = told.groupBy("bucket").applyInArrow(answer_least, _ddl(_ANSWER))
     heard = shared.withColumn("round", F.lit(1)).unionByName(least.withColumn("round", F.lit(2)))
