@@ -18,9 +18,8 @@ from tidemark.llm._common import read_table, settle, shared_dir
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: the documents that importance resampling draws. Null and blank texts aren't drawn."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    drawn = importance.resample(docs.withColumn("__text_kept", F.col("text")), read_table(spark, sf_dir, "labels"), keep=["__text_kept", *(c for c in rest if c != "text")])
-    return drawn.withColumnRenamed("__text_kept", "text").select(*docs.columns)
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))  # so that no column clashes with the operator's
+    return importance.resample(packed, read_table(spark, sf_dir, "labels"), keep=["__row"]).select("__row.*")
 
 
 def drop_line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
