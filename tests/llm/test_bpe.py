@@ -55,3 +55,21 @@ def test_awkward_documents(spark, codecs):
         wanted.append((doc_id, len(tokens), hashlib.sha256(np.array(tokens, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert sorted(map(tuple, found), key=str) == sorted(wanted, key=str)
     assert bpe.round_trip(awkward.frame(spark, []), PATH, PATTERN).count() == 0
+
+
+def test_encoding_and_decoding_apart(spark, codecs, monkeypatch):
+    _, theirs = codecs
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 4)
+    encoded = bpe.encode_documents(awkward.frame(spark), PATH, PATTERN)
+    decoded = bpe.decode_documents(encoded, PATH).collect()
+    texts = sorted((d[1] or "" for d in awkward.documents()), key=str)
+    assert sorted(bytes(r.decoded).decode() for r in decoded) == texts
+    assert sorted(len(r.ids) // 4 for r in decoded) == sorted(len(theirs.encode_ordinary(t)) for t in texts)
+
+
+def test_a_full_cache_keeps_its_early_half(codecs, monkeypatch):
+    ours, theirs = codecs
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 10)
+    ours.packed.clear()
+    text = " ".join(f"w{k}ord" for k in range(40))
+    assert ids(ours.encode(text)) == theirs.encode_ordinary(text) and len(ours.packed) <= 11 and "w" in ours.packed

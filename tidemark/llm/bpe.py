@@ -16,21 +16,24 @@ import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import as_bytes
+from ._common import as_bytes, slices
 
-#: Pre-tokens that are kept with their ids, in each Python worker.
-CACHE_ENTRIES = 600_000
+#: Pre-tokens that are kept with their ids, in each Python worker, at most. When they are so many, the later half goes: frequent ones come early.
+CACHE_ENTRIES = 300_000
 #: Longer pre-tokens aren't kept.
 CACHE_LENGTH = 48
 #: Ranks to a word of the bitmap: 2 ** GROUP.
 GROUP = 8
 MASK = (1 << GROUP) - 1
+#: Bytes of text whose tokens are handed on at once.
+SLICE_BYTES = 4 << 20
 #: A rank file above this isn't sent to the executors.
 MOST_RANK_BYTES = 64 << 20
 
@@ -176,7 +179,9 @@ class _Packed(dict):
         packed = np.array(self.codec.merge(raw), "<u4").tobytes()
         if len(raw) <= CACHE_LENGTH:
             if len(self) >= CACHE_ENTRIES:
+                early = [*islice(self.items(), CACHE_ENTRIES // 2)]
                 self.clear()
+                self.update(early)
             self[piece] = packed
         return packed
 
@@ -236,10 +241,25 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id"
     return encoded.select(F.col(id_col), F.coalesce(F.col(ids_col), F.lit(b"")).alias(ids_col)).mapInArrow(decode, f"`{id_col}` {kind}, `{ids_col}` binary, decoded binary")
 
 
+def transcode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encodes every text and decodes its ids in the same Python worker: (id, ids, decoded). Cases are as for encode_documents."""
+    data = docs.sparkSession.sparkContext.broadcast(_rank_bytes(ranks_path))
+
+    def transcode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(data.value, pattern)
+        for whole in batches:
+            for batch in slices([whole], "__text", SLICE_BYTES):
+                ids = [codec.encode(text.decode("utf-8", "replace")) for text in batch.column(1).to_pylist()]
+                texts = pa.array([codec.decode(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), texts], names=[id_col, "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col), as_bytes(text_col).alias("__text")).mapInArrow(transcode, f"`{id_col}` {kind}, ids binary, decoded binary")
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes, decodes what was encoded, and digests both: (id, n_tokens, ids_sha256, decoded_sha256)."""
-    both = decode_documents(encode_documents(docs, ranks_path, pattern, id_col, text_col), ranks_path, id_col)
-    return both.select(
+    return transcode_documents(docs, ranks_path, pattern, id_col, text_col).select(
         F.col(id_col),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
