@@ -23,6 +23,8 @@ RULES = (
     ("block", "net/fr/"),
 )
 DAMPING, ROUNDS = 0.85, 10
+#: A host with more than one in so many of the pages is large.
+LARGE_HOSTS = 1000
 #: Rules are expressions of the plan; more than this need a table.
 MOST_RULES = 500
 #: An absolute link in a page, with its host.
@@ -106,11 +108,19 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col:
     seen = seen.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
     allow = [rule for verdict, rule in rules if verdict == "allow"]
     ruled = F.when(F.col("rule").isin(allow), F.lit("allow")).when(F.col("rule").isNotNull(), F.lit("block"))
-    seeds = seen.filter("host != ''").groupBy("host").agg(F.avg((F.coalesce(ruled, F.lit("")) == "allow").cast("double")).alias("trust"), F.avg((F.coalesce(ruled, F.lit("")) == "block").cast("double")).alias("distrust"))
+    seeds = seen.filter("host != ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.avg((F.coalesce(ruled, F.lit("")) == "allow").cast("double")).alias("trust"), F.avg((F.coalesce(ruled, F.lit("")) == "block").cast("double")).alias("distrust"))
+    seeds = settle(seeds)
     scores = propagate(host_edges(pages, url_col, html_col), seeds, rounds=rounds)
-    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    total = seeds.agg(F.sum("pages")).first()[0] or 0
+    large = seeds.filter(F.col("pages") * LARGE_HOSTS > total).select("host").join(scores, "host", "left")  # so at most LARGE_HOSTS rows
+    large = large.select("host", F.struct("trust", "distrust").alias("known"))
+    # pages of large hosts have their scores already: for the join below they get keys of their own, so that they don't meet in one task
+    apart = F.concat(F.lit("/"), F.pmod(F.xxhash64(id_col, "path"), F.lit(4096)).cast("string"))
+    keyed = seen.join(F.broadcast(large), "host", "left").withColumn("__key", F.when(F.col("known").isNull(), F.col("host")).otherwise(apart))
+    scores = scores.select(F.col("host").alias("__key"), F.struct("trust", "distrust").alias("found"))
+    trust, distrust = (F.coalesce(f"known.{side}", f"found.{side}", F.lit(0.0)) for side in ("trust", "distrust"))
     verdict = F.coalesce(ruled, F.when(distrust > trust, F.lit("block")).otherwise(F.lit("allow")))
-    return seen.join(scores, "host", "left").select(id_col, "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    return keyed.join(scores, "__key", "left").select(id_col, "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
 def op5_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
