@@ -36,6 +36,8 @@ STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 256
 SLICE_BYTES = 1 << 20
+#: Parts into which the rows of one label are dealt.
+SALTS = 16
 #: Pairs, and cells of a matrix, that are held at once.
 PAIRS, CELLS = 1 << 17, 1 << 22
 
@@ -268,8 +270,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         heard = both.join(labels.select(F.col("id").alias("b"), "class"), "b").select(F.col("a").alias("id"), "class").unionByName(labels)
         lower = heard.groupBy("id").agg(F.min("class").alias("class"))
-        jump = lower.select(F.col("id").alias("class"), F.col("class").alias("next"))
-        moved = settle(lower.join(jump, "class", "left").select("id", F.least("class", "next").alias("class")))
+        jump = lower.filter("class < id").select(F.col("id").alias("class"), F.col("class").alias("next"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = lower.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))  # a large group's label is the key of all its rows
+        moved = settle(salted.join(jump, ["class", "salt"], "left").select("id", F.least("class", "next").alias("class")))
         changed = moved.join(labels.withColumnRenamed("class", "was"), "id").filter("class != was").isEmpty()
         labels = moved
         if changed:
