@@ -7,22 +7,33 @@ and offset by the sizes of the ranges before it: a bounded list on the driver.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 200
+from ..checkpoints import settle
+
+#: Ranges at most; fewer for fewer rows.
+RANGES, ROWS_PER_RANGE = 1000, 50_000
+
+
+def _bucket(value: Column, bounds: list[float], low: int, high: int) -> Column:
+    """The number of bounds below a value, by halving."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(value > bounds[middle], _bucket(value, bounds, middle + 1, high)).otherwise(_bucket(value, bounds, low, middle))
 
 
-def global_positions(df: DataFrame, value: str, tie: str, ranges: int = RANGES) -> tuple[DataFrame, int]:
+def global_positions(df: DataFrame, value: str, tie: str, ranges: int = RANGES, rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, int]:
     """(rows with __position from 1 by value then tie, and __below, the rows with a smaller value; number of rows). Nulls come first.
 
-    All rows of one value share a range, so __below is exact within it.
+    All rows of one value share a range, so __below is exact within it. The rows
+    are settled first, as they are read three times.
     """
-    bounds = sorted(set(df.stat.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.5 / ranges)))
-    bucket = F.coalesce(reduce(lambda a, b: a + b, (F.when(F.col(value) > b, 1).otherwise(0) for b in bounds), F.lit(0)) + 1, F.lit(0))
-    dealt = df.withColumn("__range", F.when(F.col(value).isNull(), F.lit(0)).otherwise(bucket))
+    df = settle(df)
+    ranges = max(1, min(ranges, df.count() // rows_per_range))
+    bounds = sorted(set(df.stat.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.5 / ranges))) if ranges > 1 else []
+    dealt = df.withColumn("__range", F.when(F.col(value).isNull(), F.lit(-1)).otherwise(_bucket(F.col(value), bounds, 0, len(bounds))))
     sizes = {row["__range"]: row["count"] for row in dealt.groupBy("__range").count().collect()}  # RANGES + 1 rows at most
     before, seen = {}, 0
     for key in sorted(sizes):
