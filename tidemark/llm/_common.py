@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import settle, shared_dir
+
+
+__all__ = ["as_bytes", "binary_view", "read_table", "settle", "shared_dir", "slices"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,22 +49,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
             stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most_bytes, "right")) - 1)
             yield batch.slice(at, stop - at)
             at = stop
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        if not found:
-            import tempfile
-
-            found = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found or jsc.getCheckpointDir().get()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()

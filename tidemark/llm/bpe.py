@@ -79,7 +79,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.basic, self.full = compile_pattern(pattern, 0xFFFF).findall, compile_pattern(pattern, sys.maxunicode).findall
+        self.pattern, self.basic = pattern, compile_pattern(pattern, 0xFFFF).findall
         self.most = max(ranks.values(), default=0)
         self.vocabulary: list[bytes | None] = [None] * (self.most + 1)
         for token, rank in ranks.items():
@@ -158,7 +158,7 @@ class Codec:
         return out
 
     def pieces(self, text: str) -> list[str]:
-        return (self.full if ASTRAL.search(text) else self.basic)(text)
+        return compile_pattern(self.pattern, sys.maxunicode).findall(text) if ASTRAL.search(text) else self.basic(text)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
