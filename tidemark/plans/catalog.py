@@ -7,13 +7,13 @@ don't depend on the order of rows.
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import settle, shared_dir
 from ..config import Settings
 from ..functions import fingerprint, month_of, ratio
 from ..operators import analytics, history, marts, merge, quality, ranking, temporal
@@ -417,7 +417,7 @@ b AS (
 SELECT *, round(percent_rank() OVER (PARTITION BY cidade ORDER BY valor_liquido_total), 4) AS percentil_gasto_cidade, round(percent_rank() OVER (PARTITION BY segmento ORDER BY valor_liquido_total), 4) AS percentil_gasto_segmento,
   CAST(ntile(10) OVER (ORDER BY valor_liquido_total, id_cliente) AS INT) AS decil_gasto_geral FROM b""")
 def features_rfm(spark, sf_dir):
-    fact = _fact(spark, sf_dir)
+    fact = settle(_fact(spark, sf_dir))  # a table of its own in the pipeline; read five times here
     customers = _customers(spark, sf_dir).withColumns({"renda": F.lit(None).cast("int"), "cliente_desde": F.lit(None).cast("date")})
     found = marts.customer_features(customers, fact, marts.customer_months(fact), marts.risk_months(fact, _children(spark, sf_dir)[1]), AS_OF)
     amounts = ("valor_liquido_total", "valor_bruto_total")
@@ -552,9 +552,8 @@ _LANDED = SourceSpec("events", "part-*.csv", "bronze_events", {"event_id": "long
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder that all executors share, where the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base}/{uuid.uuid4()}"
+    """A fresh folder that all executors share."""
+    return f"{shared_dir(spark)}/{uuid.uuid4()}"
 
 
 def _landed(spark: SparkSession, sf_dir: str) -> Settings:
