@@ -94,7 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         counts[:, row["bucket"]] += row["raw"], row["target"]
     ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     held = marked.filter("held")
-    found = weigh(held, Model(ratios, 0.0, 0.0), "id", "text", ["good"]).select("good", F.col("n_ngrams"), F.col("log_ratio")).limit(4 * LABELLED_ROWS).collect()
+    scores = weigh(held, Model(ratios, 0.0, 0.0), "id", "text", ["good"])
+    found = scores.groupBy("id").agg(*(F.min(c).alias(c) for c in ("good", "n_ngrams", "log_ratio"))).collect()  # a row for each sampled id
     good = np.array([row["good"] for row in found], bool)
     if counts[1].sum() == BUCKETS or good.all() or not good.any():
         return Model(ratios, -np.inf, float("nan"))
