@@ -84,6 +84,7 @@ def test_two_batches_end_to_end(spark, run_settings, tmp_path):
     assert all(s["rows"] == 0 for s in again["bronze"]) and again["gold"]["gold_fato_transacao"] == 3
     assert analytics.largest_of_month(cards.gold(spark, third, "gold_fato_transacao").read(), cards.gold(spark, third, "gold_dim_cliente").read()).count() == 2
     assert "gold_fato_transacao" in cards.register_views(spark, third) and spark.sql("SELECT count(*) FROM gold_cliente_mes").first()[0] == 3
+    assert "gold.gold_dim_cliente" in cards.publish(spark, third) and spark.sql("SELECT id_cliente FROM gold.gold_dim_cliente").first()[0] == "C1"
 
 
 def test_full_mode_reads_all_and_keeps_one_copy(spark, run_settings):

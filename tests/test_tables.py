@@ -56,3 +56,13 @@ def test_a_second_writer_of_a_version_fails(spark, tmp_path):
     with pytest.raises(ConcurrentCommit):
         table._commit(0, one, "late", keep=False)
     assert rows(table.read()) == [(1,)]
+
+
+def test_published_views_have_all_columns(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    with pytest.raises(FileNotFoundError):
+        table.publish("shelf", "t")
+    table.append(spark.createDataFrame([(1,)], "k long"))
+    table.append(spark.createDataFrame([(2, "x")], "k long, extra string"))
+    assert table.publish("shelf", "t") == "shelf.t"
+    assert rows(spark.sql("SELECT k, extra FROM shelf.t")) == [(1, None), (2, "x")]

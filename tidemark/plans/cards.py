@@ -79,6 +79,7 @@ def _rule(reason: str, condition: Column) -> quality.Rule:
     return quality.Rule(reason, condition)
 
 
+GOLD = ("gold_fato_transacao", "gold_dim_cliente", "gold_dim_conta", "gold_dim_cartao", "gold_dim_estabelecimento", "gold_cliente_mes", "gold_indicadores_risco", "gold_features_cliente")
 LINEAGE = ("source_file", "batch_id", "ingested_at")
 
 # Entities in the order of their keys' dependence, reasons in the order of their rules.
@@ -267,7 +268,7 @@ def build_gold(spark: SparkSession, settings: Settings) -> dict[str, int]:
         gold(spark, settings, "gold_dim_cliente").read(), fact, gold(spark, settings, "gold_cliente_mes").read(), gold(spark, settings, "gold_indicadores_risco").read(), settings.as_of or dt.date.today()
     )
     gold(spark, settings, "gold_features_cliente").overwrite(features.withColumns(stamp))
-    for name in ("gold_fato_transacao", *dims, "gold_cliente_mes", "gold_indicadores_risco", "gold_features_cliente"):
+    for name in GOLD:
         counts[name] = gold(spark, settings, name).read().count()
     return counts
 
@@ -291,16 +292,23 @@ def run(spark: SparkSession, settings: Settings, layers: Sequence[str] = LAYERS)
     return out
 
 
+def all_tables(spark: SparkSession, settings: Settings) -> list[tuple[str, str, VersionedTable]]:
+    """(layer, name, table) of the tables that are there."""
+    names = {"bronze": [s.table for s in SOURCES.values()], "silver": [e.table for e in ENTITIES], "gold": list(GOLD)}
+    found = ((layer, name, VersionedTable(spark, settings.table_path(layer, name))) for layer, listed in names.items() for name in listed)
+    return [entry for entry in found if entry[2].exists()]
+
+
 def register_views(spark: SparkSession, settings: Settings) -> list[str]:
     """Temp views of all tables there are, under their own names."""
-    names = []
-    for layer, tables in (("bronze", [s.table for s in SOURCES.values()]), ("silver", [e.table for e in ENTITIES]), ("gold", ["gold_fato_transacao", "gold_dim_cliente", "gold_dim_conta", "gold_dim_cartao", "gold_dim_estabelecimento", "gold_cliente_mes", "gold_indicadores_risco", "gold_features_cliente"])):
-        for name in tables:
-            table = VersionedTable(spark, settings.table_path(layer, name))
-            if table.exists():
-                table.register(name)
-                names.append(name)
-    return names
+    for _, name, table in (found := all_tables(spark, settings)):
+        table.register(name)
+    return [name for _, name, _ in found]
+
+
+def publish(spark: SparkSession, settings: Settings) -> list[str]:
+    """Views of all tables there are in the catalogue, a database for each layer."""
+    return [table.publish(settings.schema_of(layer), name) for layer, name, table in all_tables(spark, settings)]
 
 
 def main(argv: Sequence[str] | None = None) -> int:

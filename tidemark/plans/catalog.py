@@ -103,6 +103,23 @@ def month_aggregates(spark, sf_dir):
     )
 
 
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def path_table_sql(spark, sf_dir):
+    """A table named by its path in SQL text."""
+    return spark.sql(f"SELECT o_orderstatus, count(*) AS n FROM parquet.`{sf_dir}/orders.parquet` GROUP BY o_orderstatus")
+
+
+@query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'customer', count(*) FROM customer")
+def volumetry(spark, sf_dir):
+    counts = [table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name in ("orders", "lineitem", "customer")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("SELECT * FROM (VALUES (1, 'a'), (2, NULL)) t(k, v)")
+def literal_rows(spark, sf_dir):
+    return spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+
+
 # --- the quality gate ----------------------------------------------------------------------------
 
 
@@ -471,6 +488,33 @@ def replace_groups(spark, sf_dir):
     return merge.replace_keys(total, again, ["k", "month"])
 
 
+@query(f"""
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_shipdate >= TIMESTAMP '1995-01-01' ORDER BY l_shipdate DESC, {_LINE}) AS n FROM lineitem),
+s AS (SELECT * FROM d WHERE n = 1 AND l_shipdate >= TIMESTAMP '1995-01-01'), b AS (SELECT * FROM d WHERE n = 1 AND l_shipdate < TIMESTAMP '1995-01-01')
+SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity FROM s UNION ALL SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity FROM b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.l_orderkey = b.l_orderkey AND s.l_linenumber = b.l_linenumber)""")
+def merge_latest(spark, sf_dir):
+    """A merge whose source has repeated keys: the latest row of each is staged."""
+    lines, keys, tie = table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], _LINE.split(", ")
+    late = F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp")
+    base, staged = (quality.latest_by(part, keys, "l_shipdate", tie).select(*keys, "l_shipdate", "l_quantity") for part in (lines.filter(~late), lines.filter(late)))
+    return merge.upsert(base, staged, keys, check=False)
+
+
+@query(f"WITH {_PAYMENTS} SELECT id_cliente, count(*) AS meses FROM m WHERE id_cliente IS NOT NULL GROUP BY id_cliente ORDER BY meses DESC, id_cliente LIMIT 5")
+def most_active_customers(spark, sf_dir):
+    months = marts.customer_months(_fact(spark, sf_dir)).filter(F.col("id_cliente").isNotNull())
+    return months.groupBy("id_cliente").agg(F.count(F.lit(1)).alias("meses")).orderBy(F.desc("meses"), "id_cliente").limit(5)
+
+
+@query()
+def explain_pit_join(spark, sf_dir):
+    """The formatted plan of the point-in-time join, as rows."""
+    facts, states = _purchases_and_states(spark, sf_dir)
+    facts.createOrReplaceTempView("tidemark_purchases")
+    states.createOrReplaceTempView("tidemark_states")
+    return spark.sql("EXPLAIN FORMATTED SELECT p.event_id, s.state FROM tidemark_purchases p JOIN tidemark_states s ON s.user_id = p.user_id AND p.ts >= s.valid_from AND (s.valid_to IS NULL OR p.ts < s.valid_to)")
+
+
 # --- window analytics ----------------------------------------------------------------------------
 
 

@@ -118,3 +118,19 @@ class VersionedTable:
     def register(self, name: str) -> None:
         """Makes the latest version readable in SQL under a name."""
         self.read().createOrReplaceTempView(name)
+
+    def publish(self, database: str, name: str) -> str:
+        """Makes the version that is latest now a view in a database of the catalogue, which is made if it isn't there; returns the view's name."""
+        if not self.exists():
+            raise FileNotFoundError(f"no table at {self.path}")
+        manifest = self._manifest(self.version())
+        columns = StructType.fromJson(manifest["schema"])
+        parts = []
+        for folder in manifest["folders"]:
+            path = f"{self.path}/{folder}"
+            held = set(self.spark.read.parquet(path).columns)
+            listed = ", ".join(f"`{f.name}`" if f.name in held else f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in columns)
+            parts.append(f"SELECT {listed} FROM parquet.`{path}`")
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        self.spark.sql(f"CREATE OR REPLACE VIEW `{database}`.`{name}` AS {' UNION ALL '.join(parts)}")
+        return f"{database}.{name}"
