@@ -54,7 +54,7 @@ def test_a_second_writer_of_a_version_fails(spark, tmp_path):
     one = spark.createDataFrame([(1,)], "k long")
     table.overwrite(one)
     with pytest.raises(ConcurrentCommit):
-        table._commit(0, one, "late", keep=False)
+        table._commit(0, one, "late", [], one.schema)
     assert rows(table.read()) == [(1,)]
 
 
@@ -66,3 +66,19 @@ def test_published_views_have_all_columns(spark, tmp_path):
     table.append(spark.createDataFrame([(2, "x")], "k long, extra string"))
     assert table.publish("shelf", "t") == "shelf.t"
     assert rows(spark.sql("SELECT k, extra FROM shelf.t")) == [(1, None), (2, "x")]
+
+
+def test_merges_rewrite_only_the_files_they_touch(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    for low in (0, 10, 20):
+        table.append(spark.range(low, low + 10, numPartitions=1).selectExpr("id AS k", "'old' AS v"))
+    before = set(table._state(table.version())[0])
+    table.upsert(spark.createDataFrame([(12, "new"), (99, "new")], "k long, v string"), ["k"])
+    after = set(table._state(table.version())[0])
+    assert len(before) == 3 and len(before & after) == 2
+    found = dict(rows(table.read()))
+    assert len(found) == 31 and {k for k, v in found.items() if v == "new"} == {12, 99}
+    table.upsert(spark.createDataFrame([(100, "new", 1)], "k long, v string, w int"), ["k"])
+    assert set(table._state(table.version())[0]) > after and table.read().filter("w = 1").count() == 1
+    assert table.publish("shelf", "merged") and spark.sql("SELECT count(*) FROM shelf.merged").first()[0] == 32
+    assert table.read(3).count() == 30

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,11 +13,20 @@ class DuplicateKeys(ValueError):
     """Staged rows share a key, so that an update would be ambiguous."""
 
 
-def without_keys(current: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of current whose key isn't staged; nulls are equal to nulls."""
+def _matching(staged: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The staged keys, and the condition that a row has one; nulls are equal to nulls."""
     marked = staged.select(*(F.col(k).alias(f"__staged_{k}") for k in keys)).distinct()
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__staged_{k}")) for k in keys))
-    return current.join(marked, same, "left_anti")
+    return marked, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__staged_{k}")) for k in keys))
+
+
+def with_keys(current: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of current whose key is staged."""
+    return current.join(*_matching(staged, keys), "left_semi")
+
+
+def without_keys(current: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of current whose key isn't staged."""
+    return current.join(*_matching(staged, keys), "left_anti")
 
 
 def replace_keys(current: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:

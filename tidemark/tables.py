@@ -1,4 +1,7 @@
-"""Versioned tables: immutable Parquet folders and a manifest for each version.
+"""Versioned tables: immutable Parquet files and a manifest for each version.
+
+An upsert or a replacement rewrites only the files that hold one of its keys;
+the others go on to the next version as they are.
 
 A commit writes data first and then creates the next manifest, which fails if
 another writer has created it meanwhile. Readers resolve one version, so plans
@@ -14,6 +17,7 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .operators import merge
@@ -63,50 +67,72 @@ class VersionedTable:
             raise FileNotFoundError(f"no table at {self.path}")
         manifest = self._manifest(number)
         schema = StructType.fromJson(manifest["schema"])
-        if not manifest["folders"]:
+        return self._scan(manifest["files"], schema)
+
+    def _scan(self, files: Sequence[str], schema: StructType) -> DataFrame:
+        if not files:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{folder}" for folder in manifest["folders"]))
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{file}" for file in files))
 
     def read_or_empty(self, schema: StructType | str) -> DataFrame:
         return self.read() if self.exists() else self.spark.createDataFrame([], schema)
 
     def overwrite(self, df: DataFrame, operation: str = "overwrite") -> int:
-        return self._commit(self.version(), df, operation, keep=False)
+        return self._commit(self.version(), df, operation, [], StructType())
 
     def append(self, df: DataFrame, operation: str = "append") -> int:
         """Adds files; older ones aren't rewritten. New columns are added to the schema; a column that changes its type is an error."""
-        return self._commit(self.version(), df, operation, keep=True)
+        base = self.version()
+        files, schema = self._state(base)
+        return self._commit(base, df, operation, files, schema)
 
     def upsert(self, df: DataFrame, keys: Sequence[str]) -> int:
-        base = self.version()
-        return self._commit(base, merge.upsert(self.read(base), df, keys) if base else df, "upsert", keep=False)
+        """Rows update those with their key, or are added. Their keys must be unique."""
+        return self._merge(df, keys, "upsert", merge.upsert)
 
     def replace_keys(self, df: DataFrame, keys: Sequence[str]) -> int:
-        base = self.version()
-        return self._commit(base, merge.replace_keys(self.read(base), df, keys) if base else df, "replace", keep=False)
+        """All rows with the keys of df are replaced by the rows of df."""
+        return self._merge(df, keys, "replace", merge.replace_keys)
 
-    def _commit(self, base: int, df: DataFrame, operation: str, keep: bool) -> int:
-        before = self._manifest(base) if base else {"folders": [], "schema": StructType().jsonValue()}
-        folder = f"data/{uuid.uuid4()}"
-        schema = StructType.fromJson(before["schema"]) if keep else StructType()
+    def _state(self, version: int) -> tuple[list[str], StructType]:
+        if not version:
+            return [], StructType()
+        manifest = self._manifest(version)
+        return manifest["files"], StructType.fromJson(manifest["schema"])
+
+    def _merge(self, df: DataFrame, keys: Sequence[str], operation: str, combine) -> int:
+        base = self.version()
+        files, schema = self._state(base)
+        if not files:
+            return self._commit(base, combine(df.limit(0), df, keys), operation, [], schema)
+        held = self._scan(files, schema)
+        named = held.select(*keys, F.regexp_extract("_metadata.file_path", "(data/[^/]+/[^/]+)$", 1).alias("__file"))
+        hit = merge.with_keys(named, df, keys).select("__file").distinct().collect()  # names of files
+        touched = {row["__file"] for row in hit}
+        rewritten = combine(self._scan(sorted(touched), schema), df, keys)
+        return self._commit(base, rewritten, operation, [f for f in files if f not in touched], schema)
+
+    def _commit(self, base: int, df: DataFrame, operation: str, kept: Sequence[str], schema: StructType) -> int:
         known = {field.name: field.dataType for field in schema}
+        schema = StructType(list(schema.fields))
         for field in df.schema:
             if field.name not in known:
                 schema = schema.add(field.name, field.dataType, True)
             elif known[field.name] != field.dataType:
                 raise TypeError(f"{field.name}: {known[field.name].simpleString()} can't become {field.dataType.simpleString()}")
+        folder = f"data/{uuid.uuid4()}"
         df.write.parquet(f"{self.path}/{folder}")
+        names = (status.getPath().getName() for status in self._fs.listStatus(self._path(folder)))
         manifest = {
             "version": base + 1,
             "operation": operation,
             "committed_at": datetime.now(timezone.utc).isoformat(),
-            "folders": [*(before["folders"] if keep else []), folder],
+            "files": [*kept, *(f"{folder}/{name}" for name in sorted(names) if name.endswith(".parquet"))],
             "schema": schema.jsonValue(),
         }
         self._fs.mkdirs(self._path("_versions"))
-        name = f"_versions/{base + 1:08d}.json"
         try:
-            stream = self._fs.create(self._path(name), False)
+            stream = self._fs.create(self._path(f"_versions/{base + 1:08d}.json"), False)
         except Exception as error:
             raise ConcurrentCommit(f"{self.path} has a version {base + 1} already") from error
         try:
@@ -123,10 +149,14 @@ class VersionedTable:
         """Makes the version that is latest now a view in a database of the catalogue, which is made if it isn't there; returns the view's name."""
         if not self.exists():
             raise FileNotFoundError(f"no table at {self.path}")
-        manifest = self._manifest(self.version())
-        columns = StructType.fromJson(manifest["schema"])
+        files, columns = self._state(self.version())
+        folders = sorted({file.rpartition("/")[0] for file in files})
+        live = sum(status.getPath().getName().endswith(".parquet") for folder in folders for status in self._fs.listStatus(self._path(folder)))
+        if live != len(files):  # a view names whole folders
+            self.overwrite(self.read(), "compact")
+            return self.publish(database, name)
         parts = []
-        for folder in manifest["folders"]:
+        for folder in folders:
             path = f"{self.path}/{folder}"
             held = set(self.spark.read.parquet(path).columns)
             listed = ", ".join(f"`{f.name}`" if f.name in held else f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in columns)
