@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontamination, importance, linechunks, minjoin
+from tidemark.llm import bpe, decontamination, importance, minjoin, passages
 from tidemark.llm._common import read_table, settle, shared_dir
 
 
@@ -23,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: texts lose the chunks of lines that occur before them; documents stay, empty if nothing is left, and n_chars is counted again."""
-    left = linechunks.drop_repeats(docs)
+    """Line dedup: texts lose the runs of lines that occur before them; documents stay, empty if nothing is left, and n_chars is counted again."""
+    left = passages.drop_passages(docs)
     return left.select(*(F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 

@@ -1,0 +1,82 @@
+import random
+
+import corpus_pipeline
+from tidemark.llm import passages
+
+from . import awkward
+from .awkward import words
+
+
+def brute(rows):
+    """What is left of (id, text): runs of two non-blank lines or a long one, looked up in all that comes before."""
+    def runs(lines):
+        full = [k for k, line in enumerate(lines) if line.strip()]
+        for a in full:
+            if len(lines[a].split()) >= passages.LINE_WORDS or len(lines[a].encode()) >= passages.LINE_BYTES:
+                yield a, a
+            later = [b for b in full if b > a]
+            for b in later:  # every run, not only the shortest
+                yield a, b
+
+    out, before = {}, set()
+    for doc_id, text in sorted(rows):
+        lines = text.split("\n")
+        own = list(runs(lines))
+        gone = set()
+        for a, b in own:
+            run = "\n".join(lines[a : b + 1])
+            if run in before or any(d < a and "\n".join(lines[c : d + 1]) == run for c, d in own):
+                gone.update(range(a, b + 1))
+        for k, line in enumerate(lines):
+            if not line.strip():
+                sides = [next((j for j in side if lines[j].strip()), None) for side in (range(k, -1, -1), range(k, len(lines)))]
+                if any(j is not None for j in sides) and all(j is None or j in gone for j in sides):
+                    gone.add(k)
+        out[doc_id] = "\n".join(line for k, line in enumerate(lines) if k not in gone), len(lines), len(gone)
+        before |= {"\n".join(lines[a : b + 1]) for a, b in own}
+    return out
+
+
+def test_random_texts_against_brute_force(spark):
+    rng = random.Random(3)
+    pool = ["a", "b", "", " ", "\t", "c c", "\x01", words(rng, 12), "é" * 40]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for k in range(-20, 100)]
+    found = passages.drop_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.text, r["__lines"], r["__removed"]) for r in found} == brute(rows)
+
+
+def test_planted_passages_and_copies_go(spark):
+    """Passages of 50 words over two to five lines, amid other lines, and copies of texts of one line or more."""
+    rng = random.Random(4)
+    line = lambda: words(rng, 12)
+    rows, planted, copies = [], {}, {}
+    for k in range(40):
+        n = 2 + k % 4
+        passage = [words(rng, 50 // n + 1) for _ in range(n)]
+        for copy in range(3):
+            doc = 3 * k + copy
+            above, below = [line() for _ in range(rng.randint(1, 4))], [line() for _ in range(rng.randint(1, 4))]
+            rows.append((doc, "\n".join(above + passage + below)))
+            planted[doc] = "\n".join(above + below) if copy else rows[-1][1]
+    for k in range(40):
+        text = "\n".join(line() for _ in range(1 + k % 5))
+        rows += [(1000 + k, text), (2000 + k, text)]
+        copies[1000 + k], copies[2000 + k] = text, ""
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    found = corpus_pipeline.drop_line_chunks(spark, docs, "").collect()
+    assert {r.doc_id: r.text for r in found} == planted | copies
+    assert all(r.n_chars == len(r.text) for r in found)
+
+
+def test_awkward_documents(spark, monkeypatch):
+    texts = {d[0]: d[1] for d in awkward.documents() if d[0] is not None}
+    for common in (passages.COMMON, 0):
+        monkeypatch.setattr(passages, "COMMON", common)
+        docs = awkward.frame(spark)
+        found = passages.drop_passages(docs).collect()
+        assert len(found) == len(awkward.documents())
+        left = {r.doc_id: r.text for r in found if r.doc_id is not None}
+        expected = texts | {5: "", 12: "intro line\noutro line"}
+        assert left == expected
+        assert sorted(r.text or "" for r in found if r.doc_id is None) == ["", texts[1]]
+    assert passages.drop_passages(awkward.frame(spark, [])).count() == 0

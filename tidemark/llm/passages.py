@@ -1,0 +1,119 @@
+"""Line dedup by maximal repeated runs of lines.
+
+The rule: a line goes if it lies in a run of whole lines that occurs earlier,
+byte for byte: in a row with a smaller id, or in its own text and over before
+the run begins. A run has two non-blank lines or more, or is one line of
+LINE_WORDS words or LINE_BYTES bytes.
+
+Each such run is the union of its windows: two non-blank lines that follow each
+other, with the blank lines between them, or one long line. So it is enough to
+ask of each window whether it occurs earlier, and neither the neighbours of a run
+nor chunk borders matter. Windows are told apart by digests of DIGEST bytes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ._common import read_table, settle, slices
+
+#: One line alone is a run from so many words, or bytes, on.
+LINE_WORDS, LINE_BYTES = 10, 60
+DIGEST = 20
+#: A window with more than one in so many of all windows' rows is common.
+COMMON = 1000
+SLICE_BYTES = 4 << 20
+
+
+def windows_of(lines: list[bytes]) -> list[tuple[bytes, int, int]]:
+    """(key, first line, last line) of each window."""
+    full = [k for k, line in enumerate(lines) if line.strip()]
+    spans = list(zip(full, full[1:]))
+    spans += [(k, k) for k in full if len(lines[k]) >= LINE_BYTES or len(lines[k].split()) >= LINE_WORDS]
+    return [(blake2b(b"\n".join(lines[a : b + 1]), digest_size=DIGEST).digest(), a, b) for a, b in spans]
+
+
+def without(text: bytes, known: set[bytes]) -> tuple[bytes | None, int, int]:
+    """(text, n_lines, n_removed) without the windows that are known or repeat the text itself; the text is None if nothing goes.
+
+    Blank lines go where the non-blank lines on both sides of them go.
+    """
+    lines = text.split(b"\n")
+    gone, ends = set(), {}
+    for key, a, b in windows_of(lines):
+        if key in known or ends.setdefault(key, b) < a:
+            gone.update(range(a, b + 1))
+    if not gone:
+        return None, len(lines), 0
+    left, blank, drops = [], [], True
+    for k, line in enumerate(lines):
+        if not line.strip():
+            blank.append(line)
+            continue
+        if not (drops and k in gone):
+            left += blank
+        blank, drops = [], k in gone
+        if not drops:
+            left.append(line)
+    if not drops:
+        left += blank
+    return b"\n".join(left), len(lines), len(lines) - len(left)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", SLICE_BYTES):
+        rows, keys = [], []
+        for row, text in enumerate(batch.column("text")):
+            found = {key for key, _, _ in windows_of(text.as_py().split(b"\n"))}
+            rows += [row] * len(found)
+            keys += found
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), pa.array(keys, pa.binary())], ["id", "key"])
+
+
+def earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, known): for each id the keys of its windows that rows with a smaller id have."""
+    named = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    each = settle(named.mapInArrow(_keys, f"id {named.schema['id'].dataType.simpleString()}, key binary"))
+    shared = each.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last")
+    shared = settle(shared.select("key", "first", "n"))
+    common = F.col("n") * COMMON > each.count()  # of fewer than COMMON windows
+    few = F.broadcast(shared.filter(common).select("key", "first"))
+    found = each.join(few, "key").unionByName(each.join(few, "key", "left_anti").join(shared.filter(~common).select("key", "first"), "key"))
+    return found.filter("id > first").groupBy("id").agg(F.collect_set("key").alias("known"))
+
+
+def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, their text without repeated runs, and (n_lines, n_removed) as added columns __lines and __removed.
+
+    A text all of whose non-blank lines go becomes empty; the row stays. A null
+    text stays null and has no lines; a row without an id loses only what it
+    repeats of its own text, and isn't an occurrence for others. Rows that share
+    an id aren't repeats of each other, so equal rows stay equal. The first
+    occurrence of each line stays somewhere; of runs that overlap, as ab and bc
+    in abc, the later may be left in parts. Extra columns are carried along. A
+    table without rows gives none.
+    """
+
+    @F.arrow_udf("struct<text: binary, lines: bigint, removed: bigint>")
+    def cut(texts: pa.Array, known: pa.Array) -> pa.Array:
+        rows = [(None, 0, 0) if not text.is_valid else without(text.as_py(), set(keys.as_py() or ())) for text, keys in zip(texts, known)]
+        kinds = (pa.binary(), pa.int64(), pa.int64())
+        return pa.StructArray.from_arrays([pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)], ["text", "lines", "removed"])
+
+    found = earlier(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("known").alias("__known"))
+    done = docs.join(found, F.col(id_col) == F.col("__id"), "left").withColumn("__cut", cut(F.col(text_col).cast("binary"), F.col("__known")))
+    return done.select(
+        *(F.coalesce(F.col("__cut.text").cast("string"), F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns),
+        F.col("__cut.lines").alias("__lines"),
+        F.col("__cut.removed").alias("__removed"),
+    )
+
+
+def op10_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = drop_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
