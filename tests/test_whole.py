@@ -1,0 +1,15 @@
+from pyspark.sql import functions as F
+
+from tidemark.plans import catalog
+
+from .oracle import DATA
+
+
+def test_whole_tables_reach_all_customers_and_suppliers(spark):
+    folder = str(DATA / "sf0.01")
+    orders, suppliers = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("orders", "supplier"))
+    early, late = (orders.filter(f"o_orderdate {sign} '1995-06-01'").select("o_custkey").distinct() for sign in ("<", ">="))
+    reached = early.union(late.selectExpr("o_custkey + 1")).distinct().join(spark.read.parquet(f"{folder}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey")).count()
+    months = catalog.QUERIES["whole_customer_month"](spark, folder).filter("id_cliente IS NOT NULL")
+    assert months.select("id_cliente").distinct().count() == reached > 900
+    assert catalog.QUERIES["whole_merchant_dim"](spark, folder).filter("estabelecimento IS NOT NULL").count() == suppliers.count()

@@ -283,32 +283,40 @@ accounts AS (SELECT id_conta, id_conta % 150 + 1 AS id_cliente FROM range(320) r
 customers AS (SELECT c_custkey AS id_cliente, c_mktsegment AS segmento, 'N' || c_nationkey AS cidade, 'R' || c_nationkey % 5 AS estado FROM customer)"""
 
 
-def _dimensions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cards with two versions each, accounts and customers with one, from parts and customers."""
+def _dimensions(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cards with two versions each, accounts and customers with one, from parts and customers: a small world of fixed size, or the whole tables."""
     split, start = F.lit("1995-06-01").cast("timestamp"), F.lit(history.SENTINEL).cast("timestamp")
-    parts = table(spark, sf_dir, "lineitem").filter("l_partkey <= 1000").select((F.col("l_partkey") % 1000).alias("id_cartao")).distinct()
+    lines = table(spark, sf_dir, "lineitem")
+    parts = (lines.select(F.col("l_partkey").alias("id_cartao")) if whole else lines.filter("l_partkey <= 1000").select((F.col("l_partkey") % 1000).alias("id_cartao"))).distinct()
     each = parts.select("id_cartao", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
     second = F.col("v") == 1
     cards = each.select(
         "id_cartao",
-        (F.col("id_cartao") % 300 + F.col("v") * 7).alias("id_conta"),
+        (F.col("id_cartao") * 2 + F.col("v") * 3 if whole else F.col("id_cartao") % 300 + F.col("v") * 7).alias("id_conta"),
         F.when(second, split).otherwise(start).alias("valid_from"),
         F.when(~second, split).alias("valid_to"),
         F.when(second & (F.col("id_cartao") % 9 == 0), "CANCELADO").otherwise("ATIVO").alias("status_cartao"),
     )
     always = {"valid_from": start, "valid_to": F.lit(None).cast("timestamp")}
-    accounts = spark.range(320).select(F.col("id").alias("id_conta"), (F.col("id") % 150 + 1).alias("id_cliente")).withColumns(always)
+    if whole:
+        accounts = table(spark, sf_dir, "customer").select(F.explode(F.array(F.col("c_custkey") * 2, F.col("c_custkey") * 2 + 1)).alias("id_conta"), F.col("c_custkey").alias("id_cliente"))
+    else:
+        accounts = spark.range(320).select(F.col("id").alias("id_conta"), (F.col("id") % 150 + 1).alias("id_cliente"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id_cliente"), F.col("c_mktsegment").alias("segmento"), F.concat(F.lit("N"), "c_nationkey").alias("cidade"), F.concat(F.lit("R"), F.col("c_nationkey") % 5).alias("estado"))
-    return cards, accounts, customers.withColumns(always)
+    return cards, accounts.withColumns(always), customers.withColumns(always)
+
+
+def _card(whole: bool) -> Column:
+    return F.col("o_custkey") if whole else F.col("o_custkey") % 1100
 
 
 @query(f"""
 WITH {_CHAIN}
 SELECT o_orderkey, c.id_cartao, c.id_conta, a.id_cliente, u.segmento FROM orders LEFT JOIN cards c ON c.id_cartao = o_custkey % 1100 AND o_orderdate >= c.a AND (c.z IS NULL OR o_orderdate < c.z)
 LEFT JOIN accounts a ON a.id_conta = c.id_conta LEFT JOIN customers u ON u.id_cliente = a.id_cliente WHERE c.id_cartao IS NOT NULL""")
-def pit_chain(spark, sf_dir):
-    cards, accounts, customers = _dimensions(spark, sf_dir)
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_custkey") % 1100).alias("id_cartao"))
+def pit_chain(spark, sf_dir, whole=False):
+    cards, accounts, customers = _dimensions(spark, sf_dir, whole)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", _card(whole).alias("id_cartao"))
     chained = temporal.pit_chain(orders, [(cards, "id_cartao", "id_cartao"), (accounts, "id_conta", "id_conta"), (customers, "id_cliente", "id_cliente")], "o_orderdate")
     return chained.filter(F.col("id_conta").isNotNull()).select("o_orderkey", "id_cartao", "id_conta", "id_cliente", "segmento")
 
@@ -344,39 +352,43 @@ def _children(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return refunds, events.drop("n")
 
 
-def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fact(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
+    if whole:
+        sellers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(F.struct("l_linenumber", "l_suppkey"))["l_suppkey"].alias("l_suppkey"))
+        nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+        orders = orders.join(sellers, "o_orderkey", "left").join(nations, "l_suppkey", "left")
     country = F.element_at(F.array(F.lit("US"), F.lit("BR"), F.lit("AR")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     rows = orders.select(
         F.col("o_orderkey").alias("id_transacao"),
-        (F.col("o_custkey") % 1100).alias("id_cartao"),
+        _card(whole).alias("id_cartao"),
         F.col("o_orderdate").alias("data_transacao"),
         F.to_date("o_orderdate").alias("dt_transacao"),
         money("o_totalprice").alias("valor"),
-        (F.col("o_custkey") % 20).cast("string").alias("mcc"),
-        F.concat(F.lit("M"), F.col("o_custkey") % 40).alias("estabelecimento"),
+        (F.col("s_nationkey") if whole else F.col("o_custkey") % 20).cast("string").alias("mcc"),
+        F.concat(F.lit("M"), F.col("l_suppkey") if whole else F.col("o_custkey") % 40).alias("estabelecimento"),
         F.col("o_orderpriority").alias("canal"),
         country.alias("pais"),
         *(F.lit(None).cast("string").alias(c) for c in ("moeda", "device_id", "ip_origem")),
     )
-    return marts.build_fact(rows, *_dimensions(spark, sf_dir), *_children(spark, sf_dir))
+    return marts.build_fact(rows, *_dimensions(spark, sf_dir, whole), *_children(spark, sf_dir))
 
 
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dimensions(spark, sf_dir)[2].select("id_cliente", "segmento", "cidade", "estado")
+def _customers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _dimensions(spark, sf_dir, whole)[2].select("id_cliente", "segmento", "cidade", "estado")
 
 
 _FACT_COLUMNS = [c for c in marts.FACT if c not in ("moeda", "device_id", "ip_origem")]
 
 
 @query(f"WITH {_PAYMENTS} SELECT {', '.join(_FACT_COLUMNS)} FROM f")
-def fact_enriched(spark, sf_dir):
-    return _fact(spark, sf_dir).select(*_FACT_COLUMNS)
+def fact_enriched(spark, sf_dir, whole=False):
+    return _fact(spark, sf_dir, whole).select(*_FACT_COLUMNS)
 
 
 @query(f"WITH {_PAYMENTS} SELECT estabelecimento, mcc, count(*) AS qtd_transacoes_historico, CAST(sum(valor) AS DECIMAL(38,2)) AS valor_bruto_historico, min(dt_transacao) AS primeira_transacao, max(dt_transacao) AS ultima_transacao, count(DISTINCT pais) AS qtd_paises_distintos FROM f GROUP BY 1, 2")
-def merchant_dim(spark, sf_dir):
-    return marts.merchants(_fact(spark, sf_dir)).withColumn("valor_bruto_historico", exact(F.col("valor_bruto_historico")))
+def merchant_dim(spark, sf_dir, whole=False):
+    return marts.merchants(_fact(spark, sf_dir, whole)).withColumn("valor_bruto_historico", exact(F.col("valor_bruto_historico")))
 
 
 _MONTHS = """
@@ -393,14 +405,14 @@ def _exact_months(months: DataFrame) -> DataFrame:
 
 
 @query(f"WITH {_PAYMENTS}, {_MONTHS}")
-def customer_month(spark, sf_dir):
-    return _exact_months(marts.customer_months(_fact(spark, sf_dir)))
+def customer_month(spark, sf_dir, whole=False):
+    return _exact_months(marts.customer_months(_fact(spark, sf_dir, whole)))
 
 
 @query(f"WITH {_PAYMENTS}, {_MONTHS}")
-def customer_month_incremental(spark, sf_dir):
+def customer_month_incremental(spark, sf_dir, whole=False):
     """The mart of early transactions, brought up to date with the late ones."""
-    fact = _fact(spark, sf_dir)
+    fact = _fact(spark, sf_dir, whole)
     late = F.col("id_transacao") % 10 == 3
     old = marts.customer_months(fact.filter(~late))
     groups = marts.affected_months(fact, fact.filter(late))
@@ -417,8 +429,8 @@ r AS (
 
 
 @query(f"WITH {_PAYMENTS}, {_RISKS} SELECT * FROM r")
-def risk_month(spark, sf_dir):
-    found = marts.risk_months(_fact(spark, sf_dir), _children(spark, sf_dir)[1])
+def risk_month(spark, sf_dir, whole=False):
+    found = marts.risk_months(_fact(spark, sf_dir, whole), _children(spark, sf_dir)[1])
     return found.drop("taxa_estorno_pct").withColumn("valor_estornado", exact(F.col("valor_estornado")))
 
 
@@ -433,9 +445,9 @@ b AS (
   FROM customers u LEFT JOIN rec USING (id_cliente) LEFT JOIN tot USING (id_cliente) LEFT JOIN rt USING (id_cliente))
 SELECT *, round(percent_rank() OVER (PARTITION BY cidade ORDER BY valor_liquido_total), 4) AS percentil_gasto_cidade, round(percent_rank() OVER (PARTITION BY segmento ORDER BY valor_liquido_total), 4) AS percentil_gasto_segmento,
   CAST(ntile(10) OVER (ORDER BY valor_liquido_total, id_cliente) AS INT) AS decil_gasto_geral FROM b""")
-def features_rfm(spark, sf_dir):
-    fact = settle(_fact(spark, sf_dir))  # a table of its own in the pipeline; read five times here
-    customers = _customers(spark, sf_dir).withColumns({"renda": F.lit(None).cast("int"), "cliente_desde": F.lit(None).cast("date")})
+def features_rfm(spark, sf_dir, whole=False):
+    fact = settle(_fact(spark, sf_dir, whole))  # a table of its own in the pipeline; read five times here
+    customers = _customers(spark, sf_dir, whole).withColumns({"renda": F.lit(None).cast("int"), "cliente_desde": F.lit(None).cast("date")})
     found = marts.customer_features(customers, fact, marts.customer_months(fact), marts.risk_months(fact, _children(spark, sf_dir)[1]), AS_OF)
     amounts = ("valor_liquido_total", "valor_bruto_total")
     return found.drop("renda", "cliente_desde", "dias_desde_cadastro", "ticket_medio_total").withColumns({c: exact(F.col(c)) for c in amounts})
@@ -501,8 +513,8 @@ def merge_latest(spark, sf_dir):
 
 
 @query(f"WITH {_PAYMENTS} SELECT id_cliente, count(*) AS meses FROM m WHERE id_cliente IS NOT NULL GROUP BY id_cliente ORDER BY meses DESC, id_cliente LIMIT 5")
-def most_active_customers(spark, sf_dir):
-    months = marts.customer_months(_fact(spark, sf_dir)).filter(F.col("id_cliente").isNotNull())
+def most_active_customers(spark, sf_dir, whole=False):
+    months = marts.customer_months(_fact(spark, sf_dir, whole)).filter(F.col("id_cliente").isNotNull())
     return months.groupBy("id_cliente").agg(F.count(F.lit(1)).alias("meses")).orderBy(F.desc("meses"), "id_cliente").limit(5)
 
 
@@ -521,17 +533,17 @@ def explain_pit_join(spark, sf_dir):
 @query(f"""
 WITH {_PAYMENTS}, k AS (SELECT *, strftime(dt_transacao, '%Y-%m') AS ano_mes, row_number() OVER (PARTITION BY id_cliente_na_data, strftime(dt_transacao, '%Y-%m') ORDER BY valor_liquido DESC, id_transacao) AS n FROM f WHERE NOT flag_estornada)
 SELECT id_cliente_na_data AS id_cliente, ano_mes, id_transacao AS id_transacao_maior_valor, valor_liquido AS maior_valor_liquido_do_mes, segmento, cidade FROM k JOIN customers u ON u.id_cliente = id_cliente_na_data WHERE n = 1""")
-def sql_top1_per_month(spark, sf_dir):
-    return analytics.largest_of_month(_fact(spark, sf_dir), _customers(spark, sf_dir))
+def sql_top1_per_month(spark, sf_dir, whole=False):
+    return analytics.largest_of_month(_fact(spark, sf_dir, whole), _customers(spark, sf_dir, whole))
 
 
 @query(f"""
 WITH {_PAYMENTS}
 SELECT id_cliente, ano_mes, CAST(liquido AS DECIMAL(38,2)) AS valor_liquido, CAST(lag(liquido) OVER w AS DECIMAL(38,2)) AS valor_liquido_mes_anterior, CAST(lead(liquido) OVER w AS DECIMAL(38,2)) AS valor_liquido_mes_seguinte,
   qtd_transacoes, lag(qtd_transacoes) OVER w AS qtd_transacoes_mes_anterior FROM m WINDOW w AS (PARTITION BY id_cliente ORDER BY ano_mes)""")
-def sql_month_over_month(spark, sf_dir):
+def sql_month_over_month(spark, sf_dir, whole=False):
     amounts = ("valor_liquido", "valor_liquido_mes_anterior", "valor_liquido_mes_seguinte")
-    return analytics.month_over_month(marts.customer_months(_fact(spark, sf_dir))).drop("variacao_valor_pct").withColumns({c: exact(F.col(c)) for c in amounts})
+    return analytics.month_over_month(marts.customer_months(_fact(spark, sf_dir, whole))).drop("variacao_valor_pct").withColumns({c: exact(F.col(c)) for c in amounts})
 
 
 @query(f"""
@@ -539,24 +551,24 @@ WITH {_PAYMENTS}
 SELECT DISTINCT id_cliente_na_data AS id_cliente, first_value(id_transacao) OVER w AS primeira_transacao_id, first_value(dt_transacao) OVER w AS primeira_transacao_data, first_value(valor) OVER w AS primeira_transacao_valor,
   last_value(id_transacao) OVER w AS ultima_transacao_id, last_value(dt_transacao) OVER w AS ultima_transacao_data, last_value(valor) OVER w AS ultima_transacao_valor
 FROM f WINDOW w AS (PARTITION BY id_cliente_na_data ORDER BY dt_transacao, id_transacao ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
-def sql_first_last(spark, sf_dir):
-    return analytics.first_and_last(_fact(spark, sf_dir))
+def sql_first_last(spark, sf_dir, whole=False):
+    return analytics.first_and_last(_fact(spark, sf_dir, whole))
 
 
 @query(f"""
 WITH {_PAYMENTS}, g AS (SELECT id_cliente, CAST(sum(liquido) AS DECIMAL(38,2)) AS valor_liquido_total FROM m GROUP BY 1),
 n AS (SELECT *, ntile(10) OVER (ORDER BY valor_liquido_total, id_cliente NULLS FIRST) AS d, round(percent_rank() OVER (ORDER BY valor_liquido_total), 4) AS percentil_gasto FROM g)
 SELECT id_cliente, valor_liquido_total, CAST(d AS INT) AS decil_gasto, percentil_gasto, CASE WHEN d >= 9 THEN 'TOP_20_PCT' WHEN d <= 2 THEN 'BOTTOM_20_PCT' ELSE 'MEIO' END AS faixa_gasto FROM n""")
-def sql_spending_bands(spark, sf_dir):
-    return analytics.spending_bands(marts.customer_months(_fact(spark, sf_dir))).withColumn("valor_liquido_total", exact(F.col("valor_liquido_total")))
+def sql_spending_bands(spark, sf_dir, whole=False):
+    return analytics.spending_bands(marts.customer_months(_fact(spark, sf_dir, whole))).withColumn("valor_liquido_total", exact(F.col("valor_liquido_total")))
 
 
 @query(f"""
 WITH {_PAYMENTS}, s AS (SELECT id_cliente_na_data AS id_cliente, avg(CAST(valor AS DOUBLE)) AS a, stddev_pop(CAST(valor AS DOUBLE)) AS d FROM f GROUP BY 1 HAVING count(*) >= 3),
 z AS (SELECT id_transacao, id_cliente, dt_transacao, valor, (valor - a) / nullif(d, 0) AS z FROM f JOIN s ON id_cliente = id_cliente_na_data WHERE d > 0)
 SELECT id_transacao, id_cliente, dt_transacao, CAST(valor AS DOUBLE) AS valor, CASE WHEN z >= 3 THEN 'ANOMALIA_ALTA' WHEN z >= 2 THEN 'ATENCAO' WHEN z >= 1.5 THEN 'LEVE' ELSE 'NORMAL' END AS classificacao_anomalia FROM z WHERE z >= 1.5""")
-def sql_anomalies(spark, sf_dir):
-    fact = _fact(spark, sf_dir).withColumn("valor", F.col("valor").cast("double"))
+def sql_anomalies(spark, sf_dir, whole=False):
+    fact = _fact(spark, sf_dir, whole).withColumn("valor", F.col("valor").cast("double"))
     return analytics.anomalies(fact).drop("media_valor", "desvio_valor", "z_score")
 
 
@@ -564,9 +576,9 @@ def sql_anomalies(spark, sf_dir):
 WITH {_PAYMENTS}, t AS (SELECT m.id_cliente, ano_mes, CAST(liquido AS DOUBLE) / qtd_transacoes AS ticket, cidade, segmento FROM m JOIN customers u ON u.id_cliente = m.id_cliente)
 SELECT id_cliente, ano_mes, cidade, segmento, round(ticket, 6) AS ticket_medio_do_mes, round(avg(ticket) OVER (PARTITION BY id_cliente), 6) AS ticket_medio_historico_proprio,
   round(avg(ticket) OVER (PARTITION BY cidade, segmento, ano_mes), 6) AS ticket_medio_cidade_segmento FROM t""")
-def sql_ticket_compare(spark, sf_dir):
-    months = marts.customer_months(_fact(spark, sf_dir)).withColumn("ticket_medio", F.try_divide(F.col("valor_liquido").cast("double"), F.col("qtd_transacoes")))
-    found = analytics.ticket_comparison(months, _customers(spark, sf_dir)).drop("diff_vs_proprio_historico", "diff_vs_cidade_segmento")
+def sql_ticket_compare(spark, sf_dir, whole=False):
+    months = marts.customer_months(_fact(spark, sf_dir, whole)).withColumn("ticket_medio", F.try_divide(F.col("valor_liquido").cast("double"), F.col("qtd_transacoes")))
+    found = analytics.ticket_comparison(months, _customers(spark, sf_dir, whole)).drop("diff_vs_proprio_historico", "diff_vs_cidade_segmento")
     return found.withColumns({c: F.round(c, 6) for c in ("ticket_medio_do_mes", "ticket_medio_historico_proprio", "ticket_medio_cidade_segmento")})
 
 
@@ -590,6 +602,44 @@ def running_totals(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.sum(F.lit(1)).over(order).alias("running"), exact(F.sum(money("o_totalprice")).over(order)).alias("running_total"))
 
 
+# --- the chain and the marts over the whole tables --------------------------------------------------
+
+_WHOLE_CHAIN = f"""
+cards AS (
+  SELECT l_partkey AS id_cartao, l_partkey * 2 AS id_conta, TIMESTAMP '1970-01-02' AS a, {_SPLIT} AS z, 'ATIVO' AS status_cartao FROM (SELECT DISTINCT l_partkey FROM lineitem)
+  UNION ALL SELECT l_partkey, l_partkey * 2 + 3, {_SPLIT}, NULL, CASE WHEN l_partkey % 9 = 0 THEN 'CANCELADO' ELSE 'ATIVO' END FROM (SELECT DISTINCT l_partkey FROM lineitem)),
+accounts AS (SELECT c_custkey * 2 AS id_conta, c_custkey AS id_cliente FROM customer UNION ALL SELECT c_custkey * 2 + 1, c_custkey FROM customer),
+customers AS (SELECT c_custkey AS id_cliente, c_mktsegment AS segmento, 'N' || c_nationkey AS cidade, 'R' || c_nationkey % 5 AS estado FROM customer)"""
+_SELLERS = "(SELECT l_orderkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) = 1)"
+_TO_WHOLE = {
+    _CHAIN.strip(): _WHOLE_CHAIN.strip(),
+    "o_custkey % 1100": "o_custkey",
+    "CAST(o_custkey % 20 AS VARCHAR)": "CAST(s_nationkey AS VARCHAR)",
+    "'M' || o_custkey % 40": "'M' || l_suppkey",
+    "AS pais FROM orders)": f"AS pais FROM orders LEFT JOIN {_SELLERS} ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey)",
+}
+
+
+def _over_whole_tables(function: Callable[..., DataFrame]) -> None:
+    """Registers whole_<name>: a card for each part sold, two accounts for each customer, the order's first supplier as its merchant."""
+    sql = ORACLES[function.__name__]
+    for small, whole in _TO_WHOLE.items():
+        sql = sql.replace(small, whole)
+
+    def over(spark, sf_dir):
+        return function(spark, sf_dir, whole=True)
+
+    over.__name__ = f"whole_{function.__name__}"
+    query(sql)(over)
+
+
+for _each in (
+    pit_chain, fact_enriched, merchant_dim, customer_month, customer_month_incremental, risk_month, features_rfm, most_active_customers,
+    sql_top1_per_month, sql_month_over_month, sql_first_last, sql_spending_bands, sql_anomalies, sql_ticket_compare,
+):
+    _over_whole_tables(_each)
+
+
 # --- files, tables, streams: no tables of the driver's to compare with -----------------------------
 
 _LANDED = SourceSpec("events", "part-*.csv", "bronze_events", {"event_id": "long", "user_id": "long", "event_type": "string", "ts": "timestamp"}, {"value": "double"})
