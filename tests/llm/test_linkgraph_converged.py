@@ -1,0 +1,23 @@
+import numpy as np
+
+from tidemark.llm import linkgraph
+
+
+def test_a_host_far_from_blocked_seeds_is_blocked(spark):
+    """h0 links to h1, and so on; the last is blocked, and further from h0 than ROUNDS links."""
+    n = linkgraph.ROUNDS + 4
+    rows = [(k, f"https://h{k}.org/", f'<a href="https://h{k + 1}.org/">x</a>') for k in range(n)] + [(n, f"https://h{n}.org/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r for r in linkgraph.judge(pages, rules=(("block", f"h{n}.org/"),), rounds=None).collect()}
+    assert {r.verdict for r in found.values()} == {"block"}
+    assert all(abs(found[k].distrust - 0.15 * 0.85 ** (n - k)) < 1e-12 for k in found)
+
+
+def test_mass_on_a_cycle_is_carried_to_the_tolerance(spark):
+    edges = [("a", "b", 3), ("b", "a", 1), ("b", "c", 1), ("c", "a", 1)]
+    seeds = [("a", 1.0, 0.0), ("c", 0.0, 0.5)]
+    found = {r.host: r for r in linkgraph.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trust double, distrust double"), rounds=None).collect()}
+    links = np.array([[sum(n for s, d, n in edges if (s, d) == (x, y)) for x in "abc"] for y in "abc"], float)  # into y from x
+    for side, matrix, seed in (("trust", links, [1, 0, 0]), ("distrust", links.T, [0, 0, 0.5])):
+        exact = np.linalg.solve(np.eye(3) - linkgraph.DAMPING * matrix / matrix.sum(0), (1 - linkgraph.DAMPING) * np.array(seed, float))
+        assert np.allclose([found[h][side] for h in "abc"], exact, rtol=0, atol=2e-9)

@@ -9,6 +9,9 @@ host's verdict: block if distrust exceeds trust, else allow.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,10 @@ RULES = (
     ("block", "net/fr/"),
 )
 DAMPING, ROUNDS = 0.85, 10
+#: Without a number of rounds, the series ends once less than this of a side's mass is still to be carried.
+TOLERANCE = 1e-9
+#: So many terms of the series are held before they are added up.
+MOST_TERMS = 16
 #: A host with more than one in so many of the pages is large.
 LARGE_HOSTS = 1000
 #: Rules are expressions of the plan; more than this need a table.
@@ -68,32 +75,38 @@ def _shares(edges: DataFrame, start: str, end: str, side: str) -> DataFrame:
     return edges.join(total, start).select(F.lit(side).alias("side"), F.col(start).alias("src"), F.col(end).alias("dst"), (F.col("n") / F.col("total")).alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) and edges (src, dst, n).
 
     Each side is the sum over k up to rounds of (1 - damping) damping^k times
     the seeds carried k links far. The loop ends early when nothing moves on.
+    If rounds is None, it goes on until, on each side, all terms still to come
+    add up to less than TOLERANCE of the seeds' mass (about 128 rounds).
     Every round is settled, so the plan stays short.
     """
     edges = settle(_shares(edges, "src", "dst", "trust").unionByName(_shares(edges, "dst", "src", "distrust")))
     both = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust"))).alias("side", "mass"))
     mass = both.filter("mass > 0").select("side", "host", (F.col("mass") * (1 - damping)).alias("mass"))
     terms = [mass]
+    sums = lambda df: {r["side"]: r["mass"] for r in df.groupBy("side").agg(F.sum("mass").alias("mass")).collect()}
     if not edges.isEmpty():
-        for _ in range(rounds):
+        seeded = sums(mass) if rounds is None else {}
+        for _ in count() if rounds is None else range(rounds):
             carried = edges.join(mass.withColumnRenamed("host", "src"), ["side", "src"])
             mass = settle(carried.groupBy("side", F.col("dst").alias("host")).agg((F.sum(F.col("weight") * F.col("mass")) * damping).alias("mass")))
             if mass.isEmpty():
                 break
             terms.append(mass)
-    every = terms[0]
-    for term in terms[1:]:
-        every = every.unionByName(term)
+            if rounds is None and all(m * damping < TOLERANCE * seeded[s] * (1 - damping) for s, m in sums(mass).items()):
+                break
+            if len(terms) > MOST_TERMS:
+                terms = [settle(reduce(DataFrame.unionByName, terms).groupBy("side", "host").agg(F.sum("mass").alias("mass")))]
+    every = reduce(DataFrame.unionByName, terms)
     side = lambda name: F.coalesce(F.sum(F.when(F.col("side") == name, F.col("mass"))), F.lit(0.0)).alias(name)
     return every.groupBy("host").agg(side("trust"), side("distrust"))
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int | None = ROUNDS) -> DataFrame:
     """One row for each page: (id, host, path, rule, verdict, trust, distrust).
 
     The longest rule that fits decides; pages without one take the verdict of
@@ -128,6 +141,12 @@ def op5_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns({"trust": F.round("trust", 9), "distrust": F.round("distrust", 9)})
 
 
+def op5_link_trust_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5_link_trust with the series carried on to TOLERANCE."""
+    judged = judge(read_table(spark, sf_dir, "pages"), rounds=None)
+    return judged.withColumns({"trust": F.round("trust", 9), "distrust": F.round("distrust", 9)})
+
+
 def _oracle() -> str:
     ordered = sorted(RULES, key=lambda r: -len(r[1]))
     cases = "".join(

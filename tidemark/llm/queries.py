@@ -8,7 +8,7 @@ from .bpe import op1_byte_bpe
 from .decontamination import op4_qgram_decontamination
 from .importance import op7_importance_resampling
 from .linechunks import op10_line_chunks
-from .linkgraph import op5_link_trust
+from .linkgraph import op5_link_trust, op5_link_trust_converged
 from .minjoin import op2_jaccard_join
 from .passages import op10_line_passages
 from .secrets import op3_secret_ownership
@@ -21,6 +21,7 @@ QUERIES = {
     "op3_secret_ownership": op3_secret_ownership,
     "op4_qgram_decontamination": op4_qgram_decontamination,
     "op5_link_trust": op5_link_trust,
+    "op5_link_trust_converged": op5_link_trust_converged,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_importance_resampling": op7_importance_resampling,
     "op8_virtual_slots": op8_virtual_slots,
