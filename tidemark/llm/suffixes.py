@@ -20,8 +20,8 @@ dealt to units of a few megabytes, anchors to buckets:
 So a string that a third of all documents hold crosses the network once for each
 unit, and no task gets a row for each copy.
 
-Sorting: windows are first ordered by a multikey quicksort on characters of
-eight bytes, to SHALLOW bytes; groups that are still equal there go to blind
+Sorting: windows are first ordered by np.lexsort on characters of eight
+bytes, to SHALLOW bytes; groups that are still equal there go to blind
 tries, which look at the bytes where strings part and at no others. The leaves
 of the tries are the groups of equal windows.
 """
@@ -171,8 +171,7 @@ def distinct(data: np.ndarray, found: Fragments) -> tuple[np.ndarray, np.ndarray
 def equal_groups(data: np.ndarray, starts: np.ndarray, classes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Sorts strings of length bytes within their classes: (order, new), new where a string differs from the one before.
 
-    Deep-shallow: a multikey quicksort of the first SHALLOW bytes, eight to a
-    character, then blind tries for groups with longer common prefixes.
+    Deep-shallow: np.lexsort of the first SHALLOW bytes, eight to a character, then blind tries for groups with longer common prefixes.
     """
     head = gather(data, starts, min(SHALLOW, length))
     head = np.pad(head, ((0, 0), (0, -head.shape[1] % 8))).view(">u8").astype(np.uint64)
