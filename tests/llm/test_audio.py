@@ -40,3 +40,27 @@ def test_awkward_documents(spark, tmp_path):
         wanted.append((doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()))
     assert sorted((tuple(r)[:7] for r in found), key=str) == sorted(wanted, key=str)
     assert len({r.media_sha256 for r in found}) == len({(r.media_sha256, r.feature) for r in found})
+
+
+def test_prints_against_a_plain_transform():
+    """The Fourier sums written out, peaks and pairs by loops over frames and bins."""
+    rng = np.random.default_rng(3)
+    seconds = np.arange(1600) / audio.RATE
+    for payload in (bytes(64), bytes(range(256)) * 6, (128 + 50 * np.sin(2 * np.pi * 900 * seconds) * (np.sin(2 * np.pi * 9 * seconds) > 0) + rng.integers(-9, 9, 1600)).astype(np.uint8).tobytes(), b"the quick brown fox " * 64):
+        samples = [b - 128.0 for b in payload]
+        count = 1
+        while (count - 1) * audio.HOP + audio.WINDOW < len(samples):
+            count += 1
+        samples += [0.0] * ((count - 1) * audio.HOP + audio.WINDOW - len(samples))
+        turns = np.exp(-2j * np.pi * np.outer(np.arange(audio.WINDOW // 2 + 1), np.arange(audio.WINDOW)) / audio.WINDOW)
+        hann = [0.5 - 0.5 * np.cos(2 * np.pi * k / audio.WINDOW) for k in range(audio.WINDOW)]
+        size = [np.abs(turns @ (np.array(samples[t * audio.HOP : t * audio.HOP + audio.WINDOW]) * hann)) for t in range(count)]
+        peaks = []
+        for t in range(count):
+            for low, high in zip(audio.BANDS, audio.BANDS[1:]):
+                best = max(range(low, high), key=lambda b: (size[t][b], -b))
+                beside = [size[s][best] for s in (t - 1, t + 1) if 0 <= s < count]
+                if size[t][best] > audio.PEAK * size[t].mean() and all(size[t][best] > x + 1e-9 for x in beside):
+                    peaks.append((t, best))
+        wanted = sorted((t << 32) | ((u - t) << 16) | (a << 8) | b for k, (t, a) in enumerate(peaks) for u, b in peaks[k + 1 : k + 1 + audio.FAN] if u - t <= audio.REACH)
+        assert audio.fingerprints(payload).tolist() == wanted

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, read_table
+from ._common import as_bytes, read_table, slices
 
 BLOCK = 64
 RATE = 8000
@@ -29,6 +29,8 @@ BANDS = (1, 8, 24, 56, 129)
 PEAK, FAN, REACH = 3.0, 3, 63
 #: Frames that are transformed at once.
 FRAMES = 4096
+#: Bytes of text whose clips are made at once.
+SLICE_BYTES = 1 << 20
 
 _HANN = np.hanning(WINDOW + 1)[:-1]
 
@@ -91,14 +93,18 @@ def fingerprints(payload: bytes) -> np.ndarray:
     return np.sort(np.concatenate(found)).astype(np.int64)
 
 
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat, pa.int64()))
+
+
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each text's bytes as a WAV clip: (id, n_bytes, media). A null text counts as empty; rows stay one to one; other columns are left out."""
+    """Stores each text's bytes as a WAV clip: (id, n_bytes, media). Cases are as for fingerprint_media."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "__text", SLICE_BYTES):
             raw = batch.column(1).to_pylist()
-            media = pa.array([to_wav(pad(data)) for data in raw], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), media], names=[id_col, "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array([to_wav(pad(data)) for data in raw], pa.binary())], names=[id_col, "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), as_bytes(text_col).alias("__text")).mapInArrow(store, f"`{id_col}` {kind}, n_bytes long, media binary")
@@ -108,20 +114,46 @@ def read_media(clips: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Reads clips back: the columns of store_media, payload, and fingerprints as an array of longs. Equal clips, equal values."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "media", SLICE_BYTES):
             payloads = [from_wav(media) for media in batch.column(2).to_pylist()]
-            prints = [fingerprints(payload) for payload in payloads]
-            ends = np.cumsum([0, *map(len, prints)])
-            values = pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64), pa.int64())
-            arrays = [*batch.columns, pa.array(payloads, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
+            arrays = [*batch.columns, pa.array(payloads, pa.binary()), _lists([fingerprints(payload) for payload in payloads])]
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_bytes", "media", "payload", "fingerprints"])
 
     kind = clips.schema[id_col].dataType.simpleString()
     return clips.select(id_col, "n_bytes", "media").mapInArrow(read, f"`{id_col}` {kind}, n_bytes long, media binary, payload binary, fingerprints array<long>")
 
 
+def fingerprint_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores each text as a WAV clip, reads the clip back and fingerprints it, in one Python worker: (id, n_bytes, media, payload, fingerprints).
+
+    A null or empty text is a clip of BLOCK zero samples, which has no peaks. A
+    text of any length is one clip; its frames are transformed FRAMES at a time,
+    and batches are cut to about SLICE_BYTES of text, so that besides one row
+    little is held at once. Ties between equal bins go to the lowest, and of
+    equal frames in a row the first is the peak. Rows stay one to one: a null id
+    stays null, repeated rows stay repeated, and equal texts have equal values.
+    Other columns are left out, so that none can clash. A table without rows
+    gives none.
+    """
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text", SLICE_BYTES):
+            raw = batch.column(1).to_pylist()
+            media = [to_wav(pad(data)) for data in raw]
+            payloads = [from_wav(clip) for clip in media]
+            prints = _lists([fingerprints(payload) for payload in payloads])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary()), pa.array(payloads, pa.binary()), prints],
+                names=[id_col, "n_bytes", "media", "payload", "fingerprints"],
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col), as_bytes(text_col).alias("__text"))
+    return rows.mapInArrow(both, f"`{id_col}` {kind}, n_bytes long, media binary, payload binary, fingerprints array<long>")
+
+
 def op9_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = read_media(store_media(read_table(spark, sf_dir, "documents")))
+    clips = fingerprint_media(read_table(spark, sf_dir, "documents"))
     return clips.select(
         "doc_id",
         "n_bytes",
@@ -131,4 +163,5 @@ def op9_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(":", F.size("fingerprints").cast("string"), F.sha2(F.array_join(F.col("fingerprints").cast("array<string>"), ","), 256)).alias("feature"),
+        "fingerprints",
     )
