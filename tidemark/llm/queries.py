@@ -10,7 +10,6 @@ from .importance import op7_importance_resampling
 from .linechunks import op10_line_chunks
 from .linkgraph import op5_link_trust, op5_link_trust_converged
 from .minjoin import op2_jaccard_join
-from .passages import op10_line_passages
 from .secrets import op3_secret_ownership
 from .sharding import op8_virtual_slots
 from .suffixes import op6_suffix_dedup
@@ -27,7 +26,6 @@ QUERIES = {
     "op8_virtual_slots": op8_virtual_slots,
     "op9_wav_fingerprints": op9_wav_fingerprints,
     "op10_line_chunks": op10_line_chunks,
-    "op10_line_passages": op10_line_passages,
 }
 
 #: Null where SQL can't express an operator; those are tested against brute force.
