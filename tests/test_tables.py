@@ -82,3 +82,28 @@ def test_merges_rewrite_only_the_files_they_touch(spark, tmp_path):
     assert set(table._state(table.version())[0]) > after and table.read().filter("w = 1").count() == 1
     assert table.publish("shelf", "merged") and spark.sql("SELECT count(*) FROM shelf.merged").first()[0] == 32
     assert table.read(3).count() == 30
+
+
+def test_a_commit_that_dies_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    one, two = (spark.createDataFrame([(k,)], "k long") for k in (1, 2))
+    table.overwrite(one, note={"from": "here"})
+
+    def die(*_):
+        raise SystemExit
+
+    for step in ("_publish", "_manifest"):
+        with monkeypatch.context() as patch:
+            patch.setattr(VersionedTable, step, die)
+            with pytest.raises(SystemExit):
+                table.append(two)
+        assert rows(table.read()) == [(1,)] and table.version() == 1 and table.note() == {"from": "here"}
+    table.append(two)
+    assert rows(table.read()) == [(1,), (2,)] and table.note() == {}
+
+
+def test_staged_rows_are_settled_once(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    table.append(spark.range(0, 1000, numPartitions=8).selectExpr("id AS k", "0D AS v"))
+    table.upsert(spark.range(0, 400, numPartitions=4).selectExpr("cast(rand() * 1000 AS long) AS k", "rand() AS v").dropDuplicates(["k"]), ["k"])
+    assert table.read().count() == 1000 == table.read().select("k").distinct().count()

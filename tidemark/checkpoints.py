@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, or that was set before; one of our own only where neither is, as in tests."""
+    """The folder that spark.checkpoint.dir names, or that was set before. Without either, a local master gets a folder of its own; any other is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = found or tempfile.mkdtemp(prefix="tidemark-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found or held.get()

@@ -3,10 +3,12 @@
 An upsert or a replacement rewrites only the files that hold one of its keys;
 the others go on to the next version as they are.
 
-A commit writes data first and then creates the next manifest, which fails if
-another writer has created it meanwhile. Readers resolve one version, so plans
-made before a commit still read what they planned. Paths are opened through
-Hadoop's file systems, so any store that Spark reads will do.
+A commit writes data first, then the next manifest under another name, and
+renames it, which fails if another writer has made that version meanwhile. So a
+version is whole or isn't there, wherever a writer dies. Readers resolve one
+version, so plans made before a commit still read what they planned. Paths are
+opened through Hadoop's file systems; the rename must be atomic there, as it is
+on HDFS (object stores need a committer that puts conditionally).
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .checkpoints import settle
 from .operators import merge
 
 
@@ -77,14 +80,20 @@ class VersionedTable:
     def read_or_empty(self, schema: StructType | str) -> DataFrame:
         return self.read() if self.exists() else self.spark.createDataFrame([], schema)
 
-    def overwrite(self, df: DataFrame, operation: str = "overwrite") -> int:
-        return self._commit(self.version(), df, operation, [], StructType())
+    def note(self, version: int | None = None) -> dict:
+        """What the writer of a version, the latest by default, noted with it."""
+        number = self.version() if version is None else version
+        return self._manifest(number).get("note", {}) if number else {}
+
+    def overwrite(self, df: DataFrame, operation: str = "overwrite", base: int | None = None, note: dict | None = None) -> int:
+        """The rows of df become the next version; if base is given, it must be the latest one still."""
+        return self._commit(self.version() if base is None else base, df, operation, [], StructType(), note)
 
-    def append(self, df: DataFrame, operation: str = "append") -> int:
+    def append(self, df: DataFrame, operation: str = "append", note: dict | None = None) -> int:
         """Adds files; older ones aren't rewritten. New columns are added to the schema; a column that changes its type is an error."""
         base = self.version()
         files, schema = self._state(base)
-        return self._commit(base, df, operation, files, schema)
+        return self._commit(base, df, operation, files, schema, note)
 
     def upsert(self, df: DataFrame, keys: Sequence[str]) -> int:
         """Rows update those with their key, or are added. Their keys must be unique."""
@@ -103,6 +112,7 @@ class VersionedTable:
     def _merge(self, df: DataFrame, keys: Sequence[str], operation: str, combine) -> int:
         base = self.version()
         files, schema = self._state(base)
+        df = settle(df)  # read three times below, and must be the same each time
         if not files:
             return self._commit(base, combine(df.limit(0), df, keys), operation, [], schema)
         held = self._scan(files, schema)
@@ -112,7 +122,7 @@ class VersionedTable:
         rewritten = combine(self._scan(sorted(touched), schema), df, keys)
         return self._commit(base, rewritten, operation, [f for f in files if f not in touched], schema)
 
-    def _commit(self, base: int, df: DataFrame, operation: str, kept: Sequence[str], schema: StructType) -> int:
+    def _commit(self, base: int, df: DataFrame, operation: str, kept: Sequence[str], schema: StructType, note: dict | None = None) -> int:
         known = {field.name: field.dataType for field in schema}
         schema = StructType(list(schema.fields))
         for field in df.schema:
@@ -129,18 +139,31 @@ class VersionedTable:
             "committed_at": datetime.now(timezone.utc).isoformat(),
             "files": [*kept, *(f"{folder}/{name}" for name in sorted(names) if name.endswith(".parquet"))],
             "schema": schema.jsonValue(),
+            "note": note or {},
         }
         self._fs.mkdirs(self._path("_versions"))
-        try:
-            stream = self._fs.create(self._path(f"_versions/{base + 1:08d}.json"), False)
-        except Exception as error:
-            raise ConcurrentCommit(f"{self.path} has a version {base + 1} already") from error
+        draft = self._path(f"_versions/.{uuid.uuid4()}")
+        stream = self._fs.create(draft, False)
         try:
             stream.write(bytearray(json.dumps(manifest).encode()))
         finally:
             stream.close()
+        self._publish(draft, self._path(f"_versions/{base + 1:08d}.json"))
         return base + 1
 
+    def _publish(self, draft, final) -> None:
+        """Renames a file, unless the new name is taken."""
+        hadoop = self._jvm.org.apache.hadoop.fs
+        files = hadoop.FileContext.getFileContext(self._path("").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            files.rename(draft, final, options)
+        except Exception as error:
+            self._fs.delete(draft, False)
+            if not self._fs.exists(final):
+                raise
+            raise ConcurrentCommit(f"{self.path} has {final.getName()} already") from error
+
     def register(self, name: str) -> None:
         """Makes the latest version readable in SQL under a name."""
         self.read().createOrReplaceTempView(name)
