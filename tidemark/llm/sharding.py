@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import heapq
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import read_table
+from ..tables import ConcurrentCommit, VersionedTable
+from ._common import read_table, shared_dir
 
 SLOTS = 8192
 SHARDS = 24
@@ -101,16 +103,17 @@ class SlotMap:
         )
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the table of versions; earlier ones stay."""
-        self.rows_for_storage(spark).coalesce(1).write.partitionBy("version").mode("append").parquet(path)
+        """Adds this version to the table at path, whose versions are those of the map; earlier ones stay. It must follow the latest one there, or ConcurrentCommit is raised."""
+        table = VersionedTable(spark, path)
+        if table.version() != self.version - 1:
+            raise ConcurrentCommit(f"{path} is at version {table.version()}, and {self.version} doesn't follow it")
+        table.overwrite(self.rows_for_storage(spark).coalesce(1), f"map for {self.n_shards} shards", self.version - 1)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """A version of the map, the latest by default."""
-        table = spark.read.parquet(path)
-        version = table.agg(F.max("version")).first()[0] if version is None else version
-        found = sorted(table.filter(F.col("version") == version).collect(), key=lambda r: r["slot"])
-        return cls(version, found[0]["n_shards"], *(tuple(r[k] for r in found) for k in ("shard", "bytes", "records")))
+        found = sorted(VersionedTable(spark, path).read(version).collect(), key=lambda r: r["slot"])  # a row for each slot
+        return cls(found[0]["version"], found[0]["n_shards"], *(tuple(r[k] for r in found) for k in ("shard", "bytes", "records")))
 
 
 def slot_of(id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> Column:
@@ -159,8 +162,12 @@ def assign(docs: DataFrame, slot_map: SlotMap, id_col: str = "doc_id", text_col:
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores the map's first version, edits it for one more shard and stores that, then reads both versions back and places records by them."""
     docs = read_table(spark, sf_dir, "documents")
-    slot_map = measure(docs)
+    path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4()}"
+    measure(docs).save(spark, path)
+    SlotMap.load(spark, path).grown().save(spark, path)
+    slot_map, edited = SlotMap.load(spark, path, 1), SlotMap.load(spark, path)
     placed = assign(docs, slot_map)
     return placed.select(
         "doc_id",
@@ -172,5 +179,5 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
         F.lit(slot_map.version).alias("map_version"),
-        look_up(slot_map.grown().shards, F.col("virtual_slot"), "int").alias("rebalanced_shard"),
+        look_up(edited.shards, F.col("virtual_slot"), "int").alias("rebalanced_shard"),
     )
