@@ -1,9 +1,12 @@
-from collections import defaultdict
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import linkgraph
 
+from ..oracle import compare
+
 PAGES = [
     (1, "https://good.com/a", '<a href="https://friend.org/x">f</a> <A HREF="//Friend.ORG">f</A><a href="/home">h</a>'),
     (2, "http://friend.org/p?q#f", '<a href="http://unknown.io/1">u</a>'),
@@ -64,26 +67,74 @@ def test_rules_and_propagation(spark):
     assert by_id[5].verdict == "block" and by_id[8].verdict == "allow"
 
 
-def test_mass_matches_a_dense_computation(spark):
-    edges = [("a", "b", 3), ("a", "c", 1), ("b", "c", 2), ("c", "a", 1), ("d", "c", 5)]
-    seeds = [("a", 1.0, 0.0), ("c", 0.0, 0.5), ("e", 0.25, 0.0)]
-    found = linkgraph.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trust double, distrust double")).collect()
-    for side, reverse in (("trust", False), ("distrust", True)):
-        links = [(d, s, n) if reverse else (s, d, n) for s, d, n in edges]
-        total = defaultdict(int)
-        for s, _, n in links:
-            total[s] += n
-        mass = {h: (1 - linkgraph.DAMPING) * (d if reverse else t) for h, t, d in seeds}
-        every = defaultdict(float, mass)
-        for _ in range(linkgraph.ROUNDS):
-            following = defaultdict(float)
-            for s, d, n in links:
-                following[d] += linkgraph.DAMPING * mass.get(s, 0.0) * n / total[s]
-            mass = following
-            for h, m in mass.items():
-                every[h] += m
-        got = {r.host: r[side] for r in found}
-        assert all(abs(got.get(h, 0.0) - m) < 1e-12 for h, m in every.items())
+def solved(edges, seeds, hosts):
+    """{side: mass of each host}, from the closed form of the series."""
+    at = {h: k for k, h in enumerate(hosts)}
+    out = {}
+    for k, (side, turn) in enumerate((("trust", 1), ("distrust", -1))):
+        links = np.zeros((len(hosts), len(hosts)))
+        for edge in edges:
+            a, b = edge[:2][::turn]
+            links[at[b], at[a]] += edge[2]
+        seed = np.zeros(len(hosts))
+        for seeded in seeds:
+            seed[at[seeded[0]]] = seeded[1 + k]
+        sums = links.sum(0)
+        out[side] = np.linalg.solve(np.eye(len(hosts)) - linkgraph.DAMPING * links / np.where(sums, sums, 1), (1 - linkgraph.DAMPING) * seed / max(seed.sum(), 1e-300))
+    return out
+
+
+def held_against(spark, edges, seeds):
+    hosts = sorted({h for e in edges for h in e[:2]} | {s[0] for s in seeds})
+    found = {r.host: r for r in linkgraph.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trust double, distrust double"), tolerance=1e-4).collect()}
+    for side, exact in solved(edges, seeds, hosts).items():
+        got = [found[h][side] if h in found else 0.0 for h in hosts]
+        assert np.abs(np.array(got) - exact).sum() < 2e-4
+
+
+def test_mass_is_that_of_the_closed_form(spark):
+    held_against(spark, [("a", "b", 3), ("a", "c", 1), ("b", "c", 2), ("c", "a", 1), ("d", "c", 5)], [("a", 1.0, 0.0), ("c", 0.0, 0.5), ("e", 0.25, 0.0)])
+
+
+def test_hubs_on_a_graph_with_hubs(spark, monkeypatch):
+    """A host that links to all, one that all link to, and random links between; hubs are dealt in parts."""
+    monkeypatch.setattr(linkgraph, "HUBS", 20)
+    rng = np.random.default_rng(2)
+    edges = {("out", f"h{k}"): 1 for k in range(400)} | {(f"h{k}", "in"): 2 for k in range(400)} | {("in", "out"): 1}
+    edges |= {(f"h{a}", f"h{b}"): int(n) for a, b, n in rng.integers(1, 400, (900, 3)) if a != b}
+    seeds = [(f"h{k}", float(k % 3 == 0), float(k % 50 == 1)) for k in range(400)]
+    held_against(spark, [(a, b, n) for (a, b), n in edges.items()], seeds)
+
+
+def test_a_host_far_from_blocked_seeds_is_blocked(spark):
+    """h0 links to h1, and so on; the last is blocked."""
+    n = 14
+    rows = [(k, f"https://h{k}.org/", f'<a href="https://h{k + 1}.org/">x</a>') for k in range(n)] + [(n, f"https://h{n}.org/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r for r in linkgraph.judge(pages, rules=(("block", f"h{n}.org/"),)).collect()}
+    assert {r.verdict for r in found.values()} == {"block"}
+    assert all(abs(found[k].distrust - 0.15 * 0.85 ** (n - k)) < 1e-12 for k in found)
+
+
+def test_rules_as_a_table(spark, monkeypatch):
+    rng = random.Random(1)
+    host = lambda: ".".join(rng.choice(("a", "b", "com", "net")) for _ in range(rng.randint(1, 4)))
+    rules = {f"{host()}/{rng.choice(('', 'x', 'x/', 'x/y', 'en/'))}": rng.choice(("allow", "block")) for _ in range(150)}
+    rules = [(verdict, rule) for rule, verdict in rules.items()]
+    rows = PAGES + [(100 + k, f"http://{host()}/{rng.choice(('', 'x', 'x/', 'x/yz', 'en/1', 'z'))}", None) for k in range(300)]
+    judged = lambda given: sorted((tuple(r)[:5] for r in linkgraph.judge(pages(spark, rows), given).collect()), key=str)
+    table = judged(spark.createDataFrame(rules, "verdict string, rule string"))
+    listed = judged(rules)
+    monkeypatch.setattr(linkgraph, "MOST_RULES", len(rules))
+    assert table == listed == judged(rules)
+    assert len({r[3] for r in table}) > 20
+
+
+def test_sql_on_pages_with_links(spark, tmp_path):
+    folder = tmp_path / "linked"
+    rows = [r for r in PAGES if r[0] is not None and r[0] != 14][:-1]
+    pages(spark, rows).select("page_id", "url", "html").write.parquet(f"{folder}/pages.parquet")
+    compare(spark, "op5_link_trust", linkgraph.op5_link_trust, linkgraph.ORACLE, folder)
 
 
 def test_empty_table(spark):
