@@ -22,8 +22,10 @@ def brute(docs):
     found = []
     for doc_id, text, lang, source, *_ in docs:
         base = base_spans(text or "")
-        more = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(secrets.LIVE, text or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
-        more = [m for m in more if not any(b[0] < m[2] and m[0] < b[2] for b in base)]
+        left = text or ""
+        for _, pattern, group, least in PATTERNS:
+            left = pattern.sub(lambda m: " " * len(m[0]) if len(m[group]) >= least else m[0], left)
+        more = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(secrets.LIVE, left) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
         found.append((doc_id, source or "", base, more))
     owners = defaultdict(set)
     for _, owner, base, more in found:
@@ -38,7 +40,7 @@ def brute(docs):
 def test_awkward_documents(spark, tmp_path):
     rows = awkward.documents()
     rng_text = "token: abcde password=secret=abcdef AKIAKIA AKIA" + "Z" * 30 + " live_Ab3" + "x9Y" * 8 + " deadbeef" * 2 + "f" * 40
-    rows += [(30, rng_text, "en", "z", 1), (31, "😀 é " + rng_text + " paſſword=abcdefgh", "en", "z", 1), (32, "password=token: abcdefgh " * 50, "en", "z", 1)]
+    rows += [(30, rng_text, "en", "z", 1), (31, "😀 é " + rng_text + " paſſword=abcdefgh", "en", "z", 1), (32, "password=token: abcdefgh " * 50, "en", "z", 1), (33, "secret=abcdef1 AKIA" + "A1" * 9 + " live_Ab3x9Yzz00qq11 " * 3000, "en", "y", 1)]
     folder = awkward.write(spark, tmp_path, awkward.frame(spark, rows))
     found = secrets.op3_secret_ownership(spark, folder).collect()
     got = [(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in found]
@@ -46,5 +48,21 @@ def test_awkward_documents(spark, tmp_path):
     assert any("live" in r.spans for r in found)
 
 
+def test_many_matches_and_copied_values(spark, tmp_path, monkeypatch):
+    """A text of 2 MB with 80,000 matches, and a value that most rows share, with and without the broadcast of common ones."""
+    import time
+
+    dense = "".join(f"token=abc{k:06d} Zx9{k:017d}k " for k in range(40_000))
+    rows = [(k, "password=sharedvalue1 own" + f"{k:020d}", "en", f"s{k % 5}", 1) for k in range(300)] + [(999, dense, "en", "dense", len(dense))]
+    folder = awkward.write(spark, tmp_path, awkward.frame(spark, rows))
+    wanted = sorted(brute(rows), key=str)
+    for common in (secrets.COMMON, 1):
+        monkeypatch.setattr(secrets, "COMMON", common)
+        began = time.time()
+        found = secrets.op3_secret_ownership(spark, folder).collect()
+        assert sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in found), key=str) == wanted
+        assert time.time() - began < 60
+
+
 def test_empty_table(spark):
     assert secrets.scan_secrets(awkward.frame(spark, [])).count() == 0

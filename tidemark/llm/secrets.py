@@ -5,12 +5,14 @@ pattern and extracting its matches gives both the pieces between matches and the
 matches, and their lengths add up to places in code points. Hashes of the
 candidates' values are then aggregated by distinct repositories and owners over
 the whole corpus: a value that many owners share is a copied example, one that
-a single owner has looks live. Long mixed tokens outside the base spans are
+a single owner has looks live. Long mixed tokens in what the base spans leave are
 candidates as well, and become spans of their own (live) if one owner has them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,58 +29,106 @@ LIVE = r"[A-Za-z0-9+/_-]{20,}"
 #: A value with so many owners and repositories is a copied example.
 COPIED_OWNERS, COPIED_REPOSITORIES = 3, 3
 
+#: A hash with more than one in so many of all spans is common.
+COMMON = 1000
+#: Numbers that are summed at once.
+SUM_BLOCK = 256
+
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
-def _spans(text: Column, number: int, pattern: str, group: int, least: int, also: Column | None = None) -> Column:
-    """Matches of a pattern as an array of SPAN, leftmost and non-overlapping; those that fail a condition are left out afterwards."""
+def with_value(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value made once, however often it is named, within lambdas too."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each number of an array, the sum of those before it. Sums are made within blocks and over blocks, so that a long array isn't copied for each element."""
+
+    def running(values: Column) -> Column:
+        return F.aggregate(values, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+
+    def in_blocks(numbers: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / SUM_BLOCK).cast("int")), lambda k: running(F.slice(numbers, k * SUM_BLOCK + 1, SUM_BLOCK)))
+
+    def shifted(blocks: Column) -> Column:
+        starts = running(F.transform(blocks, lambda block: F.element_at(block, -1)))
+        return F.zip_with(blocks, with_value(starts, lambda s: F.slice(s, 1, F.size(s) - 1)), lambda block, start: F.transform(F.slice(block, 1, F.size(block) - 1), lambda n: n + start))
+
+    return with_value(numbers, lambda ns: F.when(F.size(ns) > 0, F.flatten(with_value(in_blocks(ns), shifted))).otherwise(F.array().cast("array<int>")))
+
+
+def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
+    """The pieces of a text: (between, match, value, fits), what lies before a match, the match, its measured group and if that fits; the last piece has no match."""
     expression = F.lit(pattern)
     parts = F.arrays_zip(
         F.split(text, pattern, -1).alias("between"),
         F.regexp_extract_all(text, expression, 0).alias("match"),
         F.regexp_extract_all(text, expression, group).alias("value"),
     )
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.transform(
+        parts,
+        lambda p: F.struct(
+            p["between"].alias("between"), F.coalesce(p["match"], F.lit("")).alias("match"), p["value"].alias("value"), F.coalesce(F.char_length(p["value"]) >= least, F.lit(False)).alias("fits")
+        ),
+    )
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.char_length(part["between"])
-        end = start + F.coalesce(F.char_length(part["match"]), F.lit(0))
-        value = part["value"]
-        fits = F.char_length(value) >= least
-        if also is not None:
-            fits &= value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.when(F.coalesce(fits, F.lit(False)), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, empty, step, lambda state: state["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+def _spans(parts: Column, number: int, also: Column | None = None) -> Column:
+    """The fitting matches as an array of SPAN, leftmost and non-overlapping."""
+    def span(part: Column, at: Column) -> Column:
+        start = at + F.char_length(part["between"])
+        fits = part["fits"] & part["value"].rlike("[0-9]") & part["value"].rlike("[A-Za-z]") if also is not None else part["fits"]
+        made = F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.char_length(part["match"])).alias("end"), part["value"].alias("value"))
+        return F.when(fits, made)
+
+    sizes = lambda ps: F.transform(ps, lambda p: F.char_length(p["between"]) + F.char_length(p["match"]))
+    return with_value(parts, lambda ps: F.array_compact(F.zip_with(ps, sums_before(sizes(ps)), span))).cast(f"array<{SPAN}>")
+
+
+def _blanked(parts: Column) -> Column:
+    """The text with each fitting match as blanks, so that places stay."""
+    return F.array_join(F.transform(parts, lambda p: F.concat(p["between"], F.when(p["fits"], F.repeat(F.lit(" "), F.char_length(p["match"]))).otherwise(p["match"]))), "")
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository: Column) -> DataFrame:
-    """(row, id, owner, repository, spans): base spans and candidates beyond them, values hashed."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.concat(*(_spans(text, number, pattern, group, least) for number, (_, pattern, group, least) in enumerate(BASE)))
-    found = docs.select(
+    """(row, id, owner, repository, spans): base spans, and candidates beyond them; values hashed.
+
+    Candidates are looked for in the text without the base kinds: matches of the
+    first kind are blanked, then those of the next in what is left, and so on.
+    """
+    text, none = F.coalesce(F.col(text_col), F.lit("")), F.array().cast(f"array<{SPAN}>")
+    rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("id"),
         F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
         F.coalesce(repository.cast("string"), F.lit("")).alias("repository"),
-        base.alias("base"),
-        _spans(text, len(BASE), LIVE, 0, 20, F.lit(True)).alias("more"),
+        text.alias("text"),
+        text.alias("left"),
+        none.alias("spans"),
     )
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    for number, (_, pattern, group, least) in enumerate(BASE):
+        where = F.col("text").rlike(pattern)
+        rows = rows.withColumns(
+            {
+                "spans": F.when(where, F.concat("spans", _spans(_matches(F.col("text"), pattern, group, least), number))).otherwise(F.col("spans")),
+                "left": F.when(F.col("left").rlike(pattern), _blanked(_matches(F.col("left"), pattern, group, least))).otherwise(F.col("left")),
+            }
+        )
+    more = F.when(F.col("left").rlike(LIVE), _spans(_matches(F.col("left"), LIVE, 0, 20), len(BASE), F.lit(True))).otherwise(none)
     hashed = F.transform(
-        F.concat("base", apart),
+        F.concat("spans", more),
         lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")),
     )
-    return found.select("row", "id", "owner", "repository", hashed.alias("spans"))
+    return rows.select("row", "id", "owner", "repository", hashed.alias("spans"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, owners, repositories) of every candidate value. A repository belongs to its owner, so both counts come from two small aggregates."""
+    """(hash, n, owners, repositories) of every candidate value, n its spans. A repository belongs to its owner, so both counts come from two small aggregates."""
     each = found.select(F.explode("spans.hash").alias("hash"), "owner", "repository")
     by_repository = each.groupBy("hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = by_repository.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
+    by_owner = by_repository.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
+    return by_owner.groupBy("hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repository: Column | None = None) -> DataFrame:
@@ -86,7 +136,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     owner is the column source and repository source and lang unless given; a
     null in either is one more owner or repository, unnamed. A null text counts
-    as empty and has no spans; repeated rows each keep their spans and count
+    as empty and has no spans; the work for a text grows with its length, however
+    many matches it has; repeated rows each keep their spans and count
     once as owners; other columns are left out, so that none can clash; a table
     without rows gives none. Places are in code points, ends exclusive.
     """
@@ -94,7 +145,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repository = F.concat_ws("/", owner.cast("string"), F.col("lang")) if repository is None else repository
     found = settle(candidates(docs, id_col, text_col, owner, repository))
     each = found.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    known = each.join(ownership(found), "hash", "left")
+    owned = settle(ownership(found))
+    copied = F.col("n") * COMMON > each.count()  # of fewer than COMMON hashes
+    few = F.broadcast(owned.filter(copied))
+    rare = each.join(few.select("hash"), "hash", "left_anti").join(owned.filter(~copied), "hash")
+    known = each.join(few, "hash").unionByName(rare)
     lists = known.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories"))).alias("all"))
     base = F.filter(F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,owners:long,repositories:long>>")), lambda s: s["kind"] < len(BASE))
     live = F.filter("all", lambda s: (s["kind"] >= len(BASE)) & (s["owners"] == 1))
@@ -122,29 +177,34 @@ def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sql_spans(kind: str, number: int, pattern: str, group: int, least: int, also: str = "") -> str:
+def _sql_spans(number: int, pattern: str, group: int, text: str = "t") -> str:
     quoted = pattern.replace("'", "''")
     return f"""
   SELECT doc_id, source, lang, {number} AS kind, unnest(
     list_transform(range(1, len(m) + 1), lambda i: {{
       'start': list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
       'size': length(m[i]), 'value': v[i]}}), recursive := true)
-  FROM (SELECT doc_id, source, lang, string_split_regex(t, '{quoted}') AS b, regexp_extract_all(t, '{quoted}', 0) AS m, regexp_extract_all(t, '{quoted}', {group}) AS v
-        FROM d WHERE regexp_matches(t, '{quoted}'))"""
+  FROM (SELECT doc_id, source, lang, string_split_regex({text}, '{quoted}') AS b, regexp_extract_all({text}, '{quoted}', 0) AS m, regexp_extract_all({text}, '{quoted}', {group}) AS v
+        FROM d WHERE regexp_matches({text}, '{quoted}'))"""
+
+
+def _sql_blanked(text: str, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""(SELECT CASE WHEN len(m) = 0 THEN x ELSE
+    array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || CASE WHEN i > len(m) THEN '' WHEN length(v[i]) >= {least} THEN repeat(' ', length(m[i])) ELSE m[i] END), '') END
+   FROM (SELECT x, string_split_regex(x, '{quoted}') AS b, regexp_extract_all(x, '{quoted}', 0) AS m, regexp_extract_all(x, '{quoted}', {group}) AS v FROM (SELECT {text} AS x)))"""
 
 
 ORACLE = (
-    "WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),\nraw AS ("
-    + "\nUNION ALL".join(_sql_spans(kind, number, pattern, group, least) for number, (kind, pattern, group, least) in enumerate((*BASE, ("live", LIVE, 0, 20))))
+    "WITH d0 AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, coalesce(text, '') AS left0 FROM documents)"
+    + "".join(f",\nd{k + 1} AS (SELECT *, {_sql_blanked(f'left{k}', pattern, group, least)} AS left{k + 1} FROM d{k})" for k, (_, pattern, group, least) in enumerate(BASE))
+    + f",\nd AS (SELECT * FROM d{len(BASE)}),\nraw AS ("
+    + "\nUNION ALL".join([*(_sql_spans(number, pattern, group) for number, (_, pattern, group, _) in enumerate(BASE)), _sql_spans(len(BASE), LIVE, 0, f"left{len(BASE)}")])
     + """),
-kept AS (
+apart AS (
   SELECT doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository, kind, CAST("start" AS BIGINT) AS s, CAST("start" + size AS BIGINT) AS e, value FROM raw
   WHERE length(value) >= CASE kind WHEN 0 THEN 6 WHEN 2 THEN 24 ELSE 20 END
     AND (kind < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')))),
-apart AS (
-  SELECT k.* FROM kept k WHERE kind < 3
-  UNION ALL
-  SELECT k.* FROM kept k WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM kept b WHERE b.kind < 3 AND b.doc_id = k.doc_id AND b.s < k.e AND k.s < b.e)),
 own AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories FROM apart GROUP BY value),
 named AS (
   SELECT a.*, o.owners, o.repositories, CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'live' END || ':' || s || ':' || e AS label
