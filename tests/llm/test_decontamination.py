@@ -33,10 +33,10 @@ def edit_distance(a, b):
 def test_matches_are_those_of_a_full_table():
     rng = random.Random(4)
     alphabet, hits = "abcdefgh ", 0
-    for _ in range(150):
-        item = "".join(rng.choice(alphabet) for _ in range(rng.randint(12, 110)))
+    for _ in range(250):
+        item = "".join(rng.choice(alphabet) for _ in range(rng.choice((rng.randint(2, 12), rng.randint(13, 40), rng.randint(40, 110)))))
         index = dec.Index([0], [item], dec.Q, dec.EDITS)
-        budget = int(index.budget[0])
+        budget = int(len(item) * 0.08)
         edited = list(item)
         for _ in range(rng.randint(0, budget + 2)):
             at = rng.randrange(len(edited))
@@ -52,6 +52,34 @@ def test_matches_are_those_of_a_full_table():
     assert hits > 50
 
 
+def test_repetitive_texts_and_items():
+    """Every gram hits every place; memory stays bounded, and the matches cover the text."""
+    import resource
+    import time
+
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for unit, n in (("a", 200_000), ("ab", 100_000)):
+        index = dec.Index([0], [(unit * 400)[:400]], dec.Q, dec.EDITS)
+        found = dec.find(index, [unit * n])
+        assert {m[4] for m in found} == {0} and len(found) > 400
+        assert all(a[3] <= b[2] < a[3] + 400 for a, b in zip(found, found[1:]))  # nothing fits between them
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # KB
+    assert time.time() - began < 120
+    index = dec.Index([0], ["ab" * 20], dec.Q, dec.EDITS)
+    text = "x" + "ab" * 30 + "yy" + "ab" * 19 + "b" + "zz"
+    assert [m[2:] for m in dec.find(index, [text])] == [(1, 41, 0), (63, 102, 1)]
+
+
+def test_counts_are_those_of_one_pass(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab") for _ in range(80)) for _ in range(5)]
+    points = dec.codes("".join(rng.choice("ab") for _ in range(3000)))
+    index = dec.Index([*range(5)], texts, 4, dec.EDITS)
+    whole = [x.tolist() for x in index.by_q[0].shared(points, index.budget)]
+    monkeypatch.setattr(dec, "HITS", 50)
+    assert [x.tolist() for x in index.by_q[0].shared(points, index.budget)] == whole and sum(whole[2]) > 10_000
+
+
 def test_awkward_tables(spark):
     docs = awkward.documents()
     passage = docs[6][1].split(" ", 30)[30].split(" ")
@@ -71,7 +99,7 @@ def test_awkward_tables(spark):
 def test_several_blocks_find_the_same(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "benchmark"))
     whole = sorted(map(tuple, dec.find_items(docs, items).collect()))
-    monkeypatch.setattr(dec, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(dec, "BLOCK_BYTES", 3000)  # read by the driver
     assert sorted(map(tuple, dec.find_items(docs, items).collect())) == whole
     texts = {r.doc_id: dec.normal(r.text) for r in docs.collect()}
     exact = {(d, r.item_id) for r in items.collect() for d, t in texts.items() if dec.normal(r.text) in t}

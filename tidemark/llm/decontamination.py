@@ -12,6 +12,7 @@ Texts are compared in lower case, with each white-space character as a blank.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +27,13 @@ Q = 10
 #: Edits for each character of an item.
 EDITS = 0.08
 SLICE_BYTES = 1 << 20
-#: Items are sent to the executors in blocks of about so many bytes; more items mean more passes over the documents.
+#: Items are sent to the executors in blocks of about so many bytes, of which a worker holds one at a time.
 BLOCK_BYTES = 8 << 20
+#: Of several blocks, each is searched for in so many bytes of texts before the next is read; documents are read once.
+HELD_BYTES = 64 << 20
 FILTER_BITS = 22
+#: Shared q-grams that are held at once.
+HITS = 1 << 20
 
 _RARE = "\t\v\f\r\x00\x1c\x1d\x1e\x1f\x85\xa0"
 _BLANKS, _ANY_RARE = str.maketrans(dict.fromkeys(_RARE, " ")), re.compile(f"[{_RARE}]")
@@ -70,23 +75,17 @@ def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
 
 
 @dataclass
-class Index:
-    """Items with their edit budgets, and where each q-gram occurs in them."""
+class Grams:
+    """Where each q-gram of the items with one q occurs in them."""
 
-    ids: list
-    texts: list[str]
     q: int
-    rate: float
+    items: np.ndarray
+    texts: list[str]
 
     def __post_init__(self) -> None:
-        self.lengths = np.array([len(t) for t in self.texts], np.int64)
-        spare = (self.lengths - self.q) // self.q  # with more edits no shared q-gram is certain
-        self.budget = np.maximum(0, np.minimum((self.lengths * self.rate).astype(np.int64), spare))
-        self.needed = self.lengths - self.q + 1 - self.budget * self.q
-        self.short = [k for k, t in enumerate(self.texts) if len(t) < self.q]
         grams = [gram_hashes(codes(t), self.q) for t in self.texts]
         flat = np.concatenate([np.zeros(0, np.uint64), *grams])
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        item = np.repeat(self.items, [len(g) for g in grams])
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])
         order = np.argsort(flat, kind="stable")
         self.item, self.place = item[order], place[order]
@@ -95,25 +94,72 @@ class Index:
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[(self.grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def bands(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and bands with enough shared q-grams; a band b of an item with budget k covers diagonals b (k + 1) to (b + 2) (k + 1) - 1."""
+    def shared(self, points: np.ndarray, budget: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, band, shared q-grams) of all bands with any; a band b of an item with budget k covers diagonals b (k + 1) to (b + 2) (k + 1) - 1.
+
+        Hits are made HITS at a time and added up by band, so that repetitive
+        texts and items, whose every gram hits many places, need no more memory.
+        """
         hashes = gram_hashes(points, self.q)
         where = np.flatnonzero(self.seen[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         at = np.searchsorted(self.grams, hashes[where])
         real = at < len(self.grams)
         real[real] = self.grams[at[real]] == hashes[where[real]]
         where, at = where[real], at[real]
-        counts = self.begins[at + 1] - self.begins[at]
-        hit = np.repeat(self.begins[at] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(at) else np.zeros(0, np.int64)
-        item = self.item[hit]
-        band = (np.repeat(where, counts) - self.place[hit]) // (self.budget[item] + 1)
-        item, band = np.concatenate([item, item]), np.concatenate([band, band - 1])
-        order = np.lexsort((band, item))
-        item, band = item[order], band[order]
-        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (band[1:] != band[:-1])])) if len(item) else np.zeros(0, np.int64)
-        shared = np.diff(np.append(new, len(item)))
-        enough = shared >= self.needed[item[new]]
-        return item[new][enough], band[new][enough]
+        totals = np.concatenate([[0], np.cumsum(self.begins[at + 1] - self.begins[at])])
+        none = np.zeros(0, np.int64)
+        sums, held, start = (none, none, none), 0, 0
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(totals, totals[start] + HITS, "right")) - 1)
+            counts = np.diff(totals[start : stop + 1])
+            hit = np.repeat(self.begins[at[start:stop]] - (totals[start:stop] - totals[start]), counts) + np.arange(counts.sum())
+            item = self.item[hit]
+            band = (np.repeat(where[start:stop], counts) - self.place[hit]) // (budget[item] + 1)
+            parts.append(_added([item, item], [band, band - 1], None))
+            held += len(parts[-1][0])
+            if held > HITS:
+                sums = _added(*(list(x) for x in zip(sums, *parts, strict=True)))
+                parts, held = [], 0
+            start = stop
+        return _added(*(list(x) for x in zip(sums, *parts, strict=True)))
+
+
+def _added(item: list[np.ndarray], band: list[np.ndarray], count: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, band, count) with the counts (or ones) of each item and band added up, by item and band."""
+    item, band = np.concatenate(item), np.concatenate(band)
+    order = np.lexsort((band, item))
+    item, band = item[order], band[order]
+    new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (band[1:] != band[:-1])])) if len(item) else np.zeros(0, np.int64)
+    count = np.diff(np.append(new, len(item))) if count is None else np.add.reduceat(np.concatenate(count)[order], new) if len(item) else new
+    return item[new], band[new], count
+
+
+@dataclass
+class Index:
+    """Items with their edit budgets, and their q-grams: q at most, and short enough that an item with its whole budget spent shares one."""
+
+    ids: list
+    texts: list[str]
+    q: int
+    rate: float
+
+    def __post_init__(self) -> None:
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
+        self.budget = (self.lengths * self.rate).astype(np.int64)
+        sizes = np.minimum(self.q, self.lengths // (self.budget + 1))
+        self.needed = self.lengths - sizes + 1 - self.budget * sizes
+        self.by_q = [Grams(int(q), np.flatnonzero(sizes == q), [self.texts[k] for k in np.flatnonzero(sizes == q)]) for q in np.unique(sizes)]
+
+    def bands(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and bands with enough shared q-grams."""
+        items, bands = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for grams in self.by_q:
+            item, band, shared = grams.shared(points, self.budget)
+            enough = shared >= self.needed[item]
+            items.append(item[enough])
+            bands.append(band[enough])
+        return np.concatenate(items), np.concatenate(bands)
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -172,18 +218,13 @@ def find(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]
                     best = best and (best[0], best[1] + left - start, best[2] + left - start)
             if best:
                 found.append((text, item, best[1], best[2], best[0]))
-    for item in index.short:
-        for text, t in enumerate(texts):
-            at = t.find(index.texts[item])
-            while at >= 0:
-                found.append((text, item, at, at + len(index.texts[item]), 0))
-                at = t.find(index.texts[item], at + len(index.texts[item]))
     out: list[tuple[int, int, int, int, int]] = []
-    taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    taken: dict[tuple[int, int], list[int]] = {}  # starts and ends of matches that stay, in order
     for match in sorted(set(found), key=lambda m: (m[0], m[1], m[4], m[2], m[3])):
-        spans = taken.setdefault(match[:2], [])
-        if all(match[3] <= start or end <= match[2] for start, end in spans):
-            spans.append((match[2], match[3]))
+        borders = taken.setdefault(match[:2], [])
+        at = bisect_right(borders, match[2])
+        if at % 2 == 0 and at == bisect_left(borders, match[3]):
+            borders[at:at] = match[2:4]
             out.append(match)
     return out
 
@@ -191,27 +232,26 @@ def find(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = EDITS) -> DataFrame:
     """(id, item, start, end, edits) of every place where a text has an item with at most rate edits a character; places in characters, end exclusive.
 
-    Null, empty and blank items match nothing; items shorter than q match only
-    exactly; equal items each match. A null text has no matches. Rows of docs
+    Null, empty and blank items match nothing; items of fewer than 1 / rate
+    characters match only exactly; equal items each match. A null or empty text
+    has no matches; a text of any length is searched whole. Of overlapping
+    matches of an item the one with fewest edits stays, the leftmost of equals.
+    Rows of docs
     are taken one by one, so repeated rows repeat their matches, and a null id
     stays null. Other columns are left out, so that none can clash. Either table
-    may be empty. Items above BLOCK_BYTES are split into blocks, each searched
-    in a pass of its own.
+    may be empty. Documents are read once, however many blocks items make up.
     """
     named = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter(F.length(F.trim("text")) > 0)
     total = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, start int, end int, edits int"
-    rows = docs.select(F.col(id_col), as_bytes(text_col).alias("__text"))
-    out = None
+    sent = []
     for block in range(blocks):
         part = named.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES
         part = sorted(((row["item"], row["text"]) for row in part), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        sent = docs.sparkSession.sparkContext.broadcast(part)
-        found = rows.mapInArrow(_search(sent, q, rate, pa_kind(items, item_col), id_col, item_col), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        sent.append(docs.sparkSession.sparkContext.broadcast(part))
+    rows = docs.select(F.col(id_col), as_bytes(text_col).alias("__text"))
+    return rows.mapInArrow(_search(sent, q, rate, pa_kind(items, item_col), id_col, item_col), f"`{id_col}` {kind}, `{item_col}` {item_kind}, start int, end int, edits int")
 
 
 def pa_kind(df: DataFrame, column: str) -> pa.DataType:
@@ -220,15 +260,38 @@ def pa_kind(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
-def _search(sent, q: int, rate: float, item_kind: pa.DataType, id_col: str, item_col: str):
+def _search(sent: list, q: int, rate: float, item_kind: pa.DataType, id_col: str, item_col: str):
+    def read(block) -> Index:
+        found = Index([i for i, _ in block.value], [normal(t) for _, t in block.value], q, rate)
+        if len(sent) > 1:
+            del block._value  # a worker holds one block at a time
+        return found
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index([i for i, _ in sent.value], [normal(t) for _, t in sent.value], q, rate)
+        index = read(sent[0]) if len(sent) == 1 else None
+        held, size = [], 0
         for batch in slices(batches, "__text", SLICE_BYTES):
-            texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            found = find(index, texts)
-            columns = [pa.array([m[k] for m in found], pa.int32()) for k in (2, 3, 4)]
-            ids = batch.column(0).take(pa.array([m[0] for m in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[m[1]] for m in found], item_kind), *columns], names=[id_col, item_col, "start", "end", "edits"])
+            if index:
+                yield matches(index, batch)
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield from each_block(held)
+                held, size = [], 0
+        yield from each_block(held)
+
+    def each_block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in sent if held else ():
+            index = read(block)
+            for batch in held:
+                yield matches(index, batch)
+
+    def matches(index: Index, batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = find(index, [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()])
+        columns = [pa.array([m[k] for m in found], pa.int32()) for k in (2, 3, 4)]
+        ids = batch.column(0).take(pa.array([m[0] for m in found], pa.int64()))
+        return pa.RecordBatch.from_arrays([ids, pa.array([index.ids[m[1]] for m in found], item_kind), *columns], names=[id_col, item_col, "start", "end", "edits"])
 
     return search
 
