@@ -1,9 +1,10 @@
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 
-from tidemark.llm import minjoin
+from tidemark.llm import minjoin, pipeline
 
 from . import awkward
 
@@ -63,6 +64,39 @@ def test_awkward_documents(spark):
     assert minjoin.join_similar(awkward.frame(spark, [])).count() == 0
 
 
+def test_one_id_on_several_texts(spark):
+    """Links are those of texts, so that an id in two groups doesn't lose either, or join them."""
+    rng = random.Random(2)
+    a, b, c = (awkward.words(rng, 60) for _ in range(3))
+    rows = [(1, a), (5, a + " x"), (5, b), (7, b + " y"), (5, b), (9, c), (9, c + " z"), (9, c + " z"), (10, c + " q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in minjoin.join_similar(docs).collect())
+    assert found == [(1, 1, 1, 0), (5, 1, 1, 0), (5, 5, 2, 1), (5, 5, 2, 1), (7, 5, 2, 0), (9, 9, 3, 0), (9, 9, 3, 1), (9, 9, 3, 1), (10, 9, 3, 0)]
+    left = [tuple(r) for r in pipeline.keep_one_of_each(spark, docs, "").collect()]
+    assert len(left) == 3 and {i: t for i, t in left if i != 9} == {1: a, 5: b} and [t for i, t in left if i == 9][0] in (c, c + " z")
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Every pair of 2,500 near copies is a link, no row is a list of them, and blocks are cut by texts and bytes as well."""
+    rng = random.Random(3)
+    base = awkward.words(rng, 60)
+    rows = [(k, f"{base} end{k}") for k in range(2500)] + [(3000 + k, awkward.words(rng, 30)) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    for name, value in (("SPREAD", minjoin.SPREAD), ("BLOCK_TEXTS", 300), ("BLOCK_BYTES", 100_000)):
+        monkeypatch.setattr(minjoin, name, value)
+        if name != "SPREAD":
+            monkeypatch.setattr(minjoin, "SPREAD", 1)
+        found = {r.doc_id: (r.class_id, r.n_links) for r in minjoin.join_similar(docs).collect()}
+        assert found == {i: (0, 2499) if i < 2500 else (i, 0) for i, _ in rows}
+
+
+def test_common_texts_are_the_same_by_broadcast(spark, monkeypatch):
+    docs = awkward.frame(spark)
+    whole = sorted(map(tuple, minjoin.join_similar(docs).collect()), key=str)
+    monkeypatch.setattr(minjoin, "COMMON", 0)
+    assert sorted(map(tuple, minjoin.join_similar(docs).collect()), key=str) == whole
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(8)
     n = 4000
@@ -84,5 +118,5 @@ def test_both_ways_of_verifying_agree():
 
 def test_components(spark):
     chain = [(k + 1, k) for k in range(30)] + [(100, 90), (95, 90), (200, 100)]
-    found = {r.id: r["class"] for r in minjoin.components(spark.createDataFrame(chain, "id long, lowest long")).collect()}
+    found = {r.node: r["class"] for r in minjoin.components(spark.createDataFrame(chain, "node long, lowest long")).collect()}
     assert all(found[k] == 0 for k in range(31)) and all(found[k] == 90 for k in (90, 95, 100, 200))

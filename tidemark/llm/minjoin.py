@@ -1,17 +1,17 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Texts are sets of hashed runs of WORDS words. Copies of a text are one class
-from the start. MinHash signatures are cut into bands; texts that agree on a
+Texts are sets of hashed runs of WORDS words. Copies of a text are one node from
+the start, whatever their ids. MinHash signatures are cut into bands; texts that agree on a
 band meet in its bucket. Pairs compare their signatures STEP values at a time,
 and a pair is dropped as soon as the posterior probability that its similarity
 reaches the threshold is below TOLERANCE (uniform prior; m of n equal values).
 What is left is verified exactly, on the sets.
 
-A pair is looked at only in the first band on which it agrees. A bucket of more
-than BLOCK texts is cut into blocks, and each pair of blocks is one piece of
-work, so that no task holds a whole large bucket. Pairs never become rows: a
-task gives, for each text of its piece, how many links it found, and the lowest
-text it is linked to. Groups are the connected components of these.
+A pair is looked at only in the first band on which it agrees. A large bucket is
+cut into blocks, and each pair of blocks is one piece of work, so that no task
+holds a whole large bucket. Pairs never become rows: a piece gives, for each
+text, the weight of its links, and the lowest node it is connected to there.
+Groups are the connected components of these.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -34,13 +34,19 @@ HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 STEP = 16
 TOLERANCE = 1e-6
-BLOCK = 256
+#: A bucket is cut into blocks of BLOCK texts, up to SPREAD blocks; into more only where one would have more than BLOCK_BYTES or BLOCK_TEXTS.
+BLOCK, SPREAD, BLOCK_BYTES, BLOCK_TEXTS = 128, 24, 4 << 20, 1024
+#: A text that more than one in so many rows have is common.
+COMMON = 1000
 SLICE_BYTES = 1 << 20
 #: Parts into which the rows of one label are dealt.
 SALTS = 16
 #: Pairs, and cells of a matrix, that are held at once.
 PAIRS, CELLS = 1 << 17, 1 << 22
 
+#: What a piece of work is known by.
+PIECE = ["band", "bucket", "low", "high"]
+
 _SEEDS = np.random.default_rng(17).integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -111,17 +117,22 @@ def surviving(signature: np.ndarray, left: np.ndarray, right: np.ndarray, thresh
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, copy, signature): copy is a digest of the text's bytes; signature null for texts without words."""
+    """(id, copy, runs, signature): copy is a digest of the text's bytes, runs the number of its runs; signature null for texts without words."""
 
     def batches_signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", SLICE_BYTES):
             runs, begins = shingles(*binary_view(batch.column(2)))
-            found = signatures(runs, begins)
-            values = [row.tobytes() if some else None for row, some in zip(found, np.diff(begins) > 0, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary())], names=["id", "copy", "signature"])
+            found, counts = signatures(runs, begins), np.diff(begins)
+            values = [row.tobytes() if some else None for row, some in zip(found, counts > 0, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(values, pa.binary())], names=["id", "copy", "runs", "signature"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), copy_of(text_col).alias("copy"), as_bytes(text_col).alias("__text"))
+    return rows.mapInArrow(batches_signed, "id long, copy binary, runs long, signature binary")
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("copy"), as_bytes(text_col).alias("__text"))
-    return rows.mapInArrow(batches_signed, "id long, copy binary, signature binary")
+def copy_of(text_col: str) -> Column:
+    """A digest of a text's bytes; null for a null text."""
+    return F.unhex(F.md5(F.col(text_col).cast("binary")))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -165,43 +176,49 @@ def _group_pairs(group: np.ndarray, block: np.ndarray, low: np.ndarray, high: np
         at = stop
 
 
+def _groups(table: pa.Table) -> Iterator[tuple[int, int]]:
+    """The rows of each piece, from a table sorted by pieces."""
+    new = np.zeros(table.num_rows, bool)
+    for k in PIECE:
+        key = table[k].to_numpy()
+        new[1:] |= key[1:] != key[:-1]
+    cuts = [0, *np.flatnonzero(new).tolist(), table.num_rows]
+    yield from zip(cuts[:-1], cuts[1:], strict=True)
+
+
+def _surviving_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of each piece that agree first on its band and that pruning leaves, in the order of left, a part at a time."""
+    band, low, high, block = (table[k].to_numpy() for k in ("band", "low", "high", "block"))
+    signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, HASHES)
+    bands = signature.view(np.uint64)
+    group = np.zeros(table.num_rows, np.int64)
+    for number, (a, b) in enumerate(_groups(table)):
+        group[a:b] = number
+    for left, right in _group_pairs(group, block, low, high):
+        for cut in range(0, len(left), PAIRS):
+            a, b = left[cut : cut + PAIRS], right[cut : cut + PAIRS]
+            first = (bands[a] == bands[b]).argmax(axis=1) == band[a]
+            a, b = a[first], b[first]
+            alive = surviving(signature, a, b)
+            yield a[alive], b[alive]
+
+
 def find_survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (band, bucket, low, high, block, id, signature), sorted by piece: (band, bucket, low, high, id, partners), a row for each text that has a surviving pair; partners are the other ids, at one end of each pair."""
-    for table in _runs(batches, ["band", "bucket", "low", "high"]):
-        band, bucket, low, high, block, ids = (table[k].to_numpy() for k in ("band", "bucket", "low", "high", "block", "id"))
-        signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, HASHES)
-        bands = signature.view(np.uint64)
-        new = np.zeros(len(ids), bool)
-        new[1:] = (band[1:] != band[:-1]) | (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        group = np.cumsum(new)
-        lefts, rights = [], []
-        for left, right in _group_pairs(group, block, low, high):
-            for cut in range(0, len(left), PAIRS):
-                a, b = left[cut : cut + PAIRS], right[cut : cut + PAIRS]
-                first = (bands[a] == bands[b]).argmax(axis=1) == band[a]
-                a, b = a[first], b[first]
-                alive = surviving(signature, a, b)
-                lefts.append(a[alive])
-                rights.append(b[alive])
-        if not lefts:
-            continue
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        rows = np.union1d(left, right)
-        if not len(rows):
-            continue
-        order = np.argsort(left, kind="stable")
-        cuts = np.append(np.searchsorted(left[order], rows), len(left))
-        partners = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids[right[order]], pa.int64()))
-        pick = pa.array(rows)
-        yield pa.RecordBatch.from_arrays([*(table[k].combine_chunks().take(pick) for k in ("band", "bucket", "low", "high", "id")), partners], names=["band", "bucket", "low", "high", "id", "partners"])
+    """From (band, bucket, low, high, block, node, signature), sorted by piece: the same but for signature, only the rows that have a surviving pair."""
+    for table in _runs(batches, PIECE):
+        some = np.zeros(table.num_rows, bool)
+        for left, right in _surviving_pairs(table):
+            some[left] = some[right] = True
+        if some.any():
+            yield from table.select([*PIECE, "block", "node"]).filter(pa.array(some)).combine_chunks().to_batches()
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, weight, text): (id, weight, shingles), the sorted set of hashes as bytes."""
+    """From (node, text): (node, shingles), the sorted set of hashes as bytes."""
     for batch in slices(batches, "text", SLICE_BYTES):
-        runs, begins = shingles(*binary_view(batch.column(2)))
+        runs, begins = shingles(*binary_view(batch.column(1)))
         sets = [np.unique(runs[a:b]).tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["id", "weight", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
@@ -225,27 +242,22 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From survivors with sets, sorted by piece: (id, links, lowest), for each text its links' weight in this piece and the lowest id it is connected to there."""
-    for table in _runs(batches, ["band", "bucket", "low", "high"]):
-        keys = [table[k].to_numpy() for k in ("band", "bucket", "low", "high")]
-        new = np.zeros(table.num_rows, bool)
-        for key in keys:
-            new[1:] |= key[1:] != key[:-1]
-        cuts = np.concatenate([[0], np.flatnonzero(new), [table.num_rows]])
-        ids, weights = table["id"].to_numpy(), table["weight"].to_numpy()
-        partners, shingle = table["partners"], table["shingles"]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = ids[a:b]
-            sets = [np.frombuffer(s, np.uint64) for s in shingle.slice(a, b - a).to_pylist()]
-            lists = partners.slice(a, b - a).to_pylist()
-            left = np.repeat(np.arange(b - a), [len(x) for x in lists])
-            order = np.argsort(own)
-            right = order[np.searchsorted(own[order], np.array([p for x in lists for p in x], np.int64))]
-            true = linked(sets, left, right)
+    """From survivors with signatures and sets, sorted by piece: (node, links, lowest), for each text its links' weight in this piece and the lowest node it is connected to there."""
+    for table in _runs(batches, PIECE):
+        nodes, weights, shingle = table["node"].to_numpy(), table["weight"].to_numpy(), table["shingles"]
+        pairs = [*_surviving_pairs(table)]
+        lefts, rights = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in range(2))
+        for a, b in _groups(table):
+            at = slice(*np.searchsorted(lefts, [a, b]))
+            left, right = lefts[at] - a, rights[at] - a
+            if not len(left):
+                continue
+            true = linked([np.frombuffer(s, np.uint64) for s in shingle.slice(a, b - a).to_pylist()], left, right)
             left, right = left[true], right[true]
             if not len(left):
                 continue
-            links = np.bincount(left, weights[a:b][right], b - a) + np.bincount(right, weights[a:b][left], b - a)
+            own, weight = nodes[a:b], weights[a:b]
+            links = np.bincount(left, weight[right], b - a) + np.bincount(right, weight[left], b - a)
             root = own.copy()
             while True:  # labels sink along links until they rest
                 least = np.minimum(root[left], root[right])
@@ -255,81 +267,97 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (root == before).all():
                     break
             some = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], names=["id", "links", "lowest"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], names=["node", "links", "lowest"])
+
+
+def salted_join(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """rows left join names on a key that many rows may share and names have once: rows are dealt into SALTS parts by their nodes."""
+    parts = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(parts, [key, "salt"], "left").drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, class): the lowest id of each connected component of edges (id, lowest).
+    """(node, class): the lowest node of each connected component of edges (node, lowest).
 
     Labels move along edges both ways and then jump to their label's label,
     until none changes; each round is settled.
     """
-    edges = edges.filter("id != lowest").distinct()
-    both = settle(edges.select(F.col("id").alias("a"), F.col("lowest").alias("b")).unionByName(edges.select(F.col("lowest").alias("a"), F.col("id").alias("b"))))
-    labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("class")))
+    edges = edges.filter("node != lowest").distinct()
+    both = settle(edges.select(F.col("node").alias("a"), F.col("lowest").alias("b")).unionByName(edges.select(F.col("lowest").alias("a"), F.col("node").alias("b"))))
+    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("class")))
     while True:
-        heard = both.join(labels.select(F.col("id").alias("b"), "class"), "b").select(F.col("a").alias("id"), "class").unionByName(labels)
-        lower = heard.groupBy("id").agg(F.min("class").alias("class"))
-        jump = lower.filter("class < id").select(F.col("id").alias("class"), F.col("class").alias("next"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        salted = lower.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))  # a large group's label is the key of all its rows
-        moved = settle(salted.join(jump, ["class", "salt"], "left").select("id", F.least("class", "next").alias("class")))
-        changed = moved.join(labels.withColumnRenamed("class", "was"), "id").filter("class != was").isEmpty()
+        heard = both.join(labels.select(F.col("node").alias("b"), "class"), "b").select(F.col("a").alias("node"), "class").unionByName(labels)
+        lower = heard.groupBy("node").agg(F.min("class").alias("class"))
+        jump = lower.filter("class < node").select(F.col("node").alias("class"), F.col("class").alias("next"))
+        moved = settle(salted_join(lower, jump, "class").select("node", F.least("class", "next").alias("class")))
+        at_rest = moved.join(labels.withColumnRenamed("class", "was"), "node").filter("class != was").isEmpty()
         labels = moved
-        if changed:
+        if at_rest:
             return labels
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: (id, class_id, n_links, n_copies).
+    """One row for each row of docs: (id, class_id, n_links, n_copies, copy, leads).
 
     Documents are linked if the Jaccard similarity of their sets of WORDS-word
-    runs is at least THRESHOLD; n_links counts the other documents a row is
-    linked to, copies of its own text among them (n_copies), and class_id is the
-    lowest id of its group. Equal texts are linked, empty ones too. A text
-    without words is linked to its copies only; a null text to none. A row
-    without an id is in no group: class null, no links. Rows that share an id
-    are one document to the groups, each counted as a copy. Other columns are
+    runs is at least THRESHOLD; n_links counts the other rows a row is linked
+    to, copies of its own text among them (n_copies), and class_id is the lowest
+    id of its group. copy is the text's digest, and leads is true for the rows of
+    a group with the lowest id and, of its texts, the one with the lowest digest.
+    Equal texts are linked, empty ones too. A text without words is linked to its
+    copies only; a null text to none. A row without an id is in no group: class
+    null, no links, leads true. Links and groups are those of texts: rows that
+    share an id and not a text are linked only if their texts are, and repeated
+    rows are copies. Texts of any length are compared whole. Other columns are
     left out, so that none can clash. A table without rows gives none.
     """
     signed = settle(sign(docs, id_col, text_col))
     named = signed.filter("id IS NOT NULL AND copy IS NOT NULL")
-    copies = settle(named.groupBy("copy").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.max("signature").alias("signature")))
-    texts = copies.filter("signature IS NOT NULL").select("id", "weight", "signature")
+    copies = named.groupBy("copy").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.max("runs").alias("runs"), F.max("signature").alias("signature"))
+    copies = settle(copies.withColumn("node", F.monotonically_increasing_id()))  # settled, so that nodes stay
+    texts = copies.filter("signature IS NOT NULL")
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.substring(F.col("signature"), k * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket")))
-    each = texts.select("id", F.explode(bands).alias("b")).select("id", "b.band", "b.bucket")
-    full = each.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = each.join(full, ["band", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pieces = members.select("band", "bucket", "block", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pieces = pieces.select("band", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id")
-
-    order = ["band", "bucket", "low", "high"]
+    each = texts.select("node", "runs", F.explode(bands).alias("b")).select("node", "runs", "b.band", "b.bucket")
+    full = each.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), (F.sum("runs") * 8 + F.count(F.lit(1)) * (2 * HASHES)).alias("bytes")).filter("n > 1")
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / BLOCK), F.lit(SPREAD)), F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("n") / BLOCK_TEXTS)).cast("int")
+    members = each.join(full.select("band", "bucket", blocks.alias("blocks")), ["band", "bucket"])
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pieces = members.select("band", "bucket", "block", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pieces = pieces.select("band", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node")
+
     kinds = "band int, bucket long, low int, high int"
-    signed_pieces = pieces.join(texts.select("id", "signature"), "id").select(*order, "block", "id", "signature")
-    survivors = signed_pieces.repartition(*order).sortWithinPartitions(*order).mapInArrow(find_survivors, f"{kinds}, id long, partners array<long>")
-    survivors = settle(survivors)
-
-    wanted = survivors.select("id").distinct().join(texts.select("id", "weight"), "id")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text"))
-    sets = wanted.join(rows, "id").select("id", "weight", "text").mapInArrow(shingle_sets, "id long, weight long, shingles binary")
-    sets = sets.groupBy("id").agg(F.first("weight").alias("weight"), F.first("shingles").alias("shingles"))
-    held = survivors.join(sets, "id").select(*order, "id", "weight", "partners", "shingles")
-    found = settle(held.repartition(*order).sortWithinPartitions(*order).mapInArrow(verify, "id long, links long, lowest long"))
-
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = components(found.select("id", "lowest"))
-    classes = copies.select("copy", "id", "weight").join(links, "id", "left").join(groups, "id", "left")
-    classes = classes.select("copy", "weight", "links", F.coalesce("class", "id").alias("class_id"))
-    named_copy = F.when(F.col("id").isNotNull(), F.col("copy"))
-    out = signed.select("id", named_copy.alias("copy")).join(classes, "copy", "left")
-    return out.select(
+    dealt = lambda df: df.repartition(*PIECE).sortWithinPartitions(*PIECE)
+    signed_pieces = pieces.join(texts.select("node", "signature"), "node").select(*PIECE, "block", "node", "signature")
+    survivors = settle(dealt(signed_pieces).mapInArrow(find_survivors, f"{kinds}, block int, node long"))
+
+    wanted = texts.join(survivors.select("node").distinct(), "node").select("node", "id", "copy")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), copy_of(text_col).alias("copy"), as_bytes(text_col).alias("text"))
+    one = rows.groupBy("id", "copy").agg(F.first("text").alias("text"))  # of equal texts
+    sets = one.join(wanted, ["id", "copy"]).select("node", "text").mapInArrow(shingle_sets, "node long, shingles binary")
+    held = survivors.join(sets, "node").join(texts.select("node", "weight", "signature"), "node").select(*PIECE, "block", "node", "weight", "signature", "shingles")
+    found = settle(dealt(held).mapInArrow(verify, "node long, links long, lowest long"))
+
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    groups = copies.select("node", "id", "copy").join(components(found.select("node", "lowest")), "node")
+    firsts = groups.groupBy("class").agg(F.min(F.struct("id", "copy")).alias("first"))
+    groups = salted_join(groups.select("node", "class"), firsts, "class").select("node", "first")
+    classes = copies.select("copy", "node", "id", "weight").join(links, "node", "left").join(groups, "node", "left")
+    classes = settle(classes.select("copy", "weight", "links", F.coalesce("first", F.struct("id", "copy")).alias("first")))
+    common = F.col("weight") * COMMON > signed.count()  # of fewer than COMMON texts
+    few = F.broadcast(classes.filter(common).withColumnRenamed("copy", "__copy"))
+    mine = signed.select("id", "copy", F.when(F.col("id").isNotNull(), F.col("copy")).alias("__copy"))
+    rest = mine.join(few.select("__copy"), "__copy", "left_anti")
+    known = mine.join(few, "__copy").unionByName(rest.join(classes.filter(~common).withColumnRenamed("copy", "__copy"), "__copy", "left"))
+    return known.select(
         F.col("id").alias(id_col),
-        F.coalesce("class_id", "id").alias("class_id"),
+        F.coalesce("first.id", "id").alias("class_id"),
         (F.coalesce(F.col("weight") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce(F.col("weight") - 1, F.lit(0)).cast("long").alias("n_copies"),
+        "copy",
+        F.coalesce((F.col("first.id") == F.col("id")) & (F.col("first.copy") == F.col("copy")), F.lit(True)).alias("leads"),
     )
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_similar(read_table(spark, sf_dir, "documents"))
+    return join_similar(read_table(spark, sf_dir, "documents")).drop("copy", "leads")

@@ -29,14 +29,14 @@ def drop_line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of linked documents the one with the lowest id stays. Of rows that repeat an id and a text one stays; rows without an id all stay."""
+    """N-gram Jaccard join: of each group of linked documents the one with the lowest id stays. Of rows that repeat an id and a text one stays; rows without an id, or with null text, all stay."""
     found = minjoin.join_similar(docs.select("doc_id", "text"))
-    gone = found.filter("class_id != doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    gone = found.filter("NOT leads").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).distinct()
+    left = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (minjoin.copy_of("text") == F.col("__copy")), "left_anti")
     if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return left.select(*docs.columns)
-    named = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(left.filter("doc_id IS NULL")).select(*docs.columns)
+    named = left.filter("doc_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(left.filter("doc_id IS NULL OR text IS NULL")).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
