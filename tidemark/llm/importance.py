@@ -1,13 +1,15 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed word n-grams (single words and pairs; a word
-that repeats the one before it counts as one common pair), BUCKETS wide: one of
-all texts as they are, one of the target, which is labelled rows of good
-quality. A document's weight is the sum of the log ratios of its n-grams, less
-what the threshold takes for each n-gram and for SHRINK more of them, so that
-short texts need more than a word or two to be told from good ones. Rows are
-then drawn without replacement, in proportion to the weight's power of
-SHARPNESS, by Gumbel top-k: k is the number of rows with a weight of 0 or more.
+Two generative models over hashed word n-grams (single words and pairs), BUCKETS
+wide: one of all texts as they are, one of the target, which is labelled rows of
+good quality. Pairs of a word with itself are one n-gram, whatever the word: a
+feature made by hand, for texts that repeat words. A document's weight is the
+sum of the log ratios of its n-grams, less what the threshold takes for each
+n-gram and for SHRINK more of them, so that short texts need more than a word or
+two to be told from good ones. Rows are then drawn without replacement, with
+probabilities in proportion to the exponential of weight over temperature, by
+Gumbel top-k: each weight over temperature gets Gumbel noise of its own, and the
+k largest sums are drawn.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ BUCKETS = 1 << BITS
 #: The classifier is fitted on so many labelled rows at most, those with the lowest hashes of their ids: a third of them sets the threshold. The model of raw text counts every row.
 LABELLED_ROWS = 24_000
 SHRINK = 30
-SHARPNESS = 50.0
+TEMPERATURE = 1.0
 SEED = 7
 #: Keys are compared in steps of this.
 STEP = 2.0**-16
@@ -148,39 +150,50 @@ def largest(keys: DataFrame, column: str, k: int) -> int | None:
     return prefix - (1 << 64) if prefix >= 1 << 63 else prefix
 
 
-def _key(id_col: str, sharpness: float) -> Column:
-    """The weight's power plus Gumbel noise, in steps; null for a text without words."""
-    uniform = (F.pmod(F.xxhash64(F.col(id_col), F.lit("gumbel"), F.lit(SEED)), F.lit(1 << 48)) + 0.5) / float(1 << 48)
-    return F.when(F.col("n_ngrams") > 0, F.round((F.col("log_weight") * sharpness - F.log(-F.log(uniform))) / STEP).cast("long"))
-
-
-def cut(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sharpness: float = SHARPNESS) -> tuple[Model, int | None]:
-    """Fits the model and finds the least key that is drawn (null: none is)."""
-    model = fit(docs, labels, id_col, text_col, label_col)
-    scored = settle(weigh(docs, model, id_col, text_col).select("log_weight", _key(id_col, sharpness).alias("key")).filter(F.col("key").isNotNull()))
-    k = scored.count() if not np.isfinite(model.threshold) else scored.filter("log_weight >= 0").count()
-    return model, largest(scored, "key", k)
-
-
-def draw(docs: DataFrame, model: Model, least: int | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, sharpness: float = SHARPNESS) -> DataFrame:
-    """The rows whose keys are drawn: (id, kept columns, n_ngrams, log_weight). No row moves between tasks."""
-    found = weigh(docs, model, id_col, text_col, keep)
-    return found.filter(F.lit(False) if least is None else _key(id_col, sharpness) >= least).drop("log_ratio")
-
-
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: list[str] | None = None, sharpness: float = SHARPNESS) -> DataFrame:
-    """The drawn rows: (id, kept columns, n_ngrams, log_weight).
-
-    A text without words (null, empty, blank) has no n-grams and is never drawn.
-    The Gumbel noise is a function of the id and the seed, so a run repeats
-    itself; rows with one id, and rows without an id, share their noise. Rows
-    that tie at the k-th place are all drawn, repeated rows as often as they
-    occur. Columns that aren't asked for are left out, so that none can clash; a
-    table without rows gives none; without labels of both kinds every row with
-    words is drawn.
+def noise(id_col: str, seed: int) -> Column:
+    """Gumbel noise, a function of the id and the seed."""
+    uniform = (F.pmod(F.xxhash64(F.col(id_col), F.lit("gumbel"), F.lit(seed)), F.lit(1 << 48)) + 0.5) / float(1 << 48)
+    return -F.log(-F.log(uniform))
+
+
+def _key(id_col: str, temperature: float, seed: int) -> Column:
+    """Weight over temperature plus noise, in steps; null for a text without words."""
+    return F.when(F.col("n_ngrams") > 0, F.round((F.col("log_weight") / temperature + noise(id_col, seed)) / STEP).cast("long"))
+
+
+def resample(
+    docs: DataFrame,
+    labels: DataFrame,
+    k: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    keep: list[str] | None = None,
+    temperature: float = TEMPERATURE,
+    seed: int = SEED,
+) -> DataFrame:
+    """The k drawn rows: (id, kept columns, n_ngrams, log_weight).
+
+    Without k, as many rows are drawn as have a weight of 0 or more, that is, as
+    the threshold counts as good; which ones is still drawn. A text without
+    words (null, empty, blank) has no n-grams and is never drawn; a text of any
+    length counts whole. The noise is a function of the id and the seed, so a
+    run repeats itself; rows with one id, and rows without an id, share their
+    noise. Rows that tie at the k-th place are all drawn, repeated rows as often
+    as they occur; with k above their number all rows with words are. Columns
+    that aren't asked for are left out, so that none can clash; a table without
+    rows gives none; without labels of both kinds, every row's weight is its log
+    ratio, and without k every row with words is drawn.
     """
-    model, least = cut(docs, labels, id_col, text_col, label_col, sharpness)
-    return draw(docs, model, least, id_col, text_col, keep, sharpness)
+    model = fit(docs, labels, id_col, text_col, label_col)
+    key = _key(id_col, temperature, seed)
+    scored = settle(weigh(docs, model, id_col, text_col).select("log_weight", key.alias("key")).filter(F.col("key").isNotNull()))
+    every = scored.count()
+    if k is None:
+        k = every if not np.isfinite(model.threshold) else scored.filter("log_weight >= 0").count()
+    least = largest(scored, "key", min(k, every))
+    found = weigh(docs, model, id_col, text_col, keep)  # no row moves between tasks
+    return found.filter(F.lit(False) if least is None else key >= least).drop("log_ratio")
 
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
