@@ -20,10 +20,15 @@ dealt to units of a few megabytes, anchors to buckets:
 So a string that a third of all documents hold crosses the network once for each
 unit, and no task gets a row for each copy.
 
-Sorting: windows are first ordered by np.lexsort on characters of eight
-bytes, to SHALLOW bytes; groups that are still equal there go to blind
-tries, which look at the bytes where strings part and at no others. The leaves
-of the tries are the groups of equal windows.
+Sorting: strings that could be equal (fragments of one size whose anchors lie at
+one place; windows of different fragments whose anchors do) are first ordered by
+a multikey quicksort on characters of eight bytes, to SHALLOW bytes: a segment
+is dealt around a pivot character into less, equal and greater, and the equal
+part goes on with the next character. All segments of a task take each step
+together, as array operations. Groups that are still equal there go to blind
+tries, which look at the places where strings part and keep no other byte. The
+leaves of the tries are the groups of equal strings, and nothing but these
+decides which windows are equal; hashes only bring them together.
 """
 
 from __future__ import annotations
@@ -46,29 +51,26 @@ SHALLOW = 16
 UNIT_BYTES = 4 << 20
 #: Bytes whose hashes are made at once.
 SEGMENT = 1 << 20
-#: Bytes of a window matrix that is held at once.
-MATRIX = 16 << 20
+#: Up to so many bytes, a place and the upper bits of a hash make one number.
+PACKED = 1 << 24
 NONE = np.iinfo(np.int64).max
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hashes(data: np.ndarray, *lengths: int) -> list[np.ndarray]:
-    """A hash of the bytes at each place, for each of some lengths, put together from runs of 1, 2, 4, ... bytes."""
+def _hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the length bytes at each place, put together from runs of 1, 2, 4, ... bytes."""
     runs, size = {1: data.astype(np.uint64) + np.uint64(1)}, 1
-    while 2 * size <= max(lengths):
+    while 2 * size <= length:
         run, factor = runs[size], np.uint64((int(_ODD) * (4 * size + 1)) & (2**64 - 1))
         runs[2 * size] = run[:-size] * factor + run[size:] if len(run) > size else run[:0]
         size *= 2
-    out = []
-    for length in lengths:
-        n, at, whole = max(0, len(data) - length + 1), 0, np.zeros(max(0, len(data) - length + 1), np.uint64)
-        for size in sorted(runs, reverse=True):
-            if length & size:
-                whole = whole * _ODD + runs[size][at : at + n]
-                at += size
-        out.append(mix(whole))
-    return out
+    n, at, whole = max(0, len(data) - length + 1), 0, np.zeros(max(0, len(data) - length + 1), np.uint64)
+    for size in sorted(runs, reverse=True):
+        if length & size:
+            whole = whole * _ODD + runs[size][at : at + n]
+            at += size
+    return mix(whole)
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -81,14 +83,13 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Fragments:
-    """Runs of windows with one anchor: the anchor's hash and place, the first and the last window, the document, and a hash of the bytes."""
+    """Runs of windows with one anchor: the anchor's hash and place, the first and the last window, and the document."""
 
     anchor: np.ndarray
     place: np.ndarray
     first: np.ndarray
     last: np.ndarray
     doc: np.ndarray
-    content: np.ndarray
 
     def take(self, which: np.ndarray) -> Fragments:
         return Fragments(*(getattr(self, k)[which] for k in self.__dataclass_fields__))
@@ -101,12 +102,12 @@ def fragments(data: np.ndarray, ends: np.ndarray) -> Fragments:
         stop = max(doc + 1, int(np.searchsorted(ends, ends[doc] + SEGMENT, "right")) - 1)
         base, piece = int(ends[doc]), data[ends[doc] : ends[stop]]
         if len(piece) >= LENGTH:
-            grams, whole = _hashes(piece, GRAM, LENGTH)
+            grams = _hashes(piece, GRAM)
             low = np.uint64((1 << 24) - 1)
-            if len(piece) <= 1 << 24:
+            if len(piece) <= PACKED:
                 keyed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
                 at = (_sliding_min(keyed, LENGTH - GRAM + 1) & low).astype(np.int64)
-            else:  # a single document of over 16 MB: by rank instead of by bits
+            else:  # a single document of more than PACKED bytes: by rank instead of by bits
                 order = np.argsort(grams & ~low, kind="stable")
                 rank = np.empty(len(grams), np.int64)
                 rank[order] = np.arange(len(grams))
@@ -119,20 +120,13 @@ def fragments(data: np.ndarray, ends: np.ndarray) -> Fragments:
             over = valid.copy()
             over[:-1] &= ~valid[1:] | new[1:]
             first, last = np.flatnonzero(new), np.flatnonzero(over)
-            content = mix(whole[first] + whole[last] * _ODD + (last - first).astype(np.uint64))
-            parts.append((grams[at[first]], at[first] + base, first + base, last + base, of[first], content))
+            parts.append((grams[at[first]], at[first] + base, first + base, last + base, of[first]))
         doc = stop
     if not parts:
-        return Fragments(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64))
+        return Fragments(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))
     return Fragments(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-def gather(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """A matrix with width bytes from each start; zero beyond the end."""
-    where = starts[:, None] + np.arange(width)
-    return np.where(where < len(data), data[np.minimum(where, len(data) - 1)], 0).astype(np.uint8)
-
-
 def _borders(*columns: np.ndarray) -> np.ndarray:
     """True where a row of sorted columns differs from the one before."""
     n = len(columns[0])
@@ -143,51 +137,103 @@ def _borders(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one character whose order is that of the bytes; zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), ">u8", padded, strides=(1,))
+
+
 def distinct(data: np.ndarray, found: Fragments) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of fragments with different bytes, in the order of anchors, and which of these each fragment is. Bytes are compared, so hashes needn't be trusted."""
+    """Numbers of fragments with different bytes or anchor places, in the order of anchors, and which of these each fragment is."""
     size, ahead = found.last - found.first, found.place - found.first
-    order = np.lexsort((found.first, found.content, ahead, size, found.anchor))
-    new = _borders(*(x[order] for x in (found.anchor, size, ahead, found.content)))
-    leader = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
-    step = max(1, MATRIX // (2 * LENGTH))
-    for at in range(0, len(order), step):
-        mine, lead = order[at : at + step], leader[at : at + step]
-        other = mine != lead
-        if other.any():
-            mine, lead = mine[other], lead[other]
-            width = LENGTH + int(size[mine].max())
-            differs = ((gather(data, found.first[mine], width) != gather(data, found.first[lead], width)) & (np.arange(width) < (size[mine] + LENGTH)[:, None])).any(axis=1)
-            new[np.flatnonzero(other)[differs] + at] = True  # unequal bytes under one hash: a fragment of its own, which is right if not shortest
-            leader[np.flatnonzero(other)[differs] + at] = mine[differs]
+    order = np.lexsort((ahead, size, found.anchor))
+    classes = np.empty(len(order), np.int64)
+    classes[order] = np.cumsum(_borders(*(x[order] for x in (found.anchor, size, ahead)))) - 1
+    order, new = equal_groups(data, found.first, classes, size + LENGTH)
     group = np.empty(len(order), np.int64)
-    leaders = np.unique(leader)
-    rank = np.lexsort((leaders, found.anchor[leaders]))
-    position = np.empty(len(leaders), np.int64)
-    position[rank] = np.arange(len(leaders))
-    group[order] = position[np.searchsorted(leaders, leader)]
-    return leaders[rank], group
+    group[order] = np.cumsum(new) - 1
+    return order[new], group
 
 
-def equal_groups(data: np.ndarray, starts: np.ndarray, classes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts strings of length bytes within their classes: (order, new), new where a string differs from the one before.
-
-    Deep-shallow: np.lexsort of the first SHALLOW bytes, eight to a character, then blind tries for groups with longer common prefixes.
-    """
-    head = gather(data, starts, min(SHALLOW, length))
-    head = np.pad(head, ((0, 0), (0, -head.shape[1] % 8))).view(">u8").astype(np.uint64)
-    order = np.lexsort((*(head[:, k] for k in range(head.shape[1] - 1, -1, -1)), classes))
-    new = _borders(classes[order], *(head[order, k] for k in range(head.shape[1])))
-    begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(order)))
+def equal_groups(data: np.ndarray, starts: np.ndarray, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts strings within their classes, by deep-shallow sorting: (order, new), new where a string differs from the one before. Strings of a class have one length."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    shallow, chars = min(SHALLOW, int(lengths.min()) // 8 * 8), eights(data)
+    order, new = multikey_quicksort(chars, starts, classes, shallow)
+    size = np.diff(np.append(np.flatnonzero(new), len(order)))
     deep = np.repeat(size > 1, size)
-    if length > SHALLOW and deep.any():
+    if deep.any():
         where = np.flatnonzero(deep)
-        inner, border = blind_tries(data, starts[order[where]], np.cumsum(new)[where], length)
-        order[where], new[where] = order[where[inner]], border
+        rows = order[where]
+        inner, border = blind_tries(data, chars, starts[rows], np.cumsum(new)[where], lengths[rows], shallow)
+        order[where], new[where] = rows[inner], border
     return order, new
 
 
-def blind_tries(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def multikey_quicksort(chars: np.ndarray, starts: np.ndarray, classes: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts strings within classes by their first bytes: (order, new), new where they differ from those before.
+
+    A segment is a run of rows with one class and equal characters up to its
+    depth. Each step deals all open segments around a pivot (the median of their
+    first, middle and last character); a segment of one row, or whose depth is
+    reached, is done.
+    """
+    order = np.argsort(classes, kind="stable")
+    new = _borders(classes[order])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(order)))
+    depth = np.zeros(len(begin), np.int64)
+    while True:
+        going = (size > 1) & (depth < shallow)
+        begin, size, depth = begin[going], size[going], depth[going]
+        if not len(begin):
+            return order, new
+        segment = np.repeat(np.arange(len(begin)), size)
+        first = np.cumsum(size) - size  # where segments begin among the open rows
+        where = np.arange(len(segment)) + (begin - first)[segment]
+        rows = order[where]
+        char = chars[starts[rows] + depth[segment]].astype(np.uint64)
+        low, middle, high = char[first], char[first + size // 2], char[first + size - 1]
+        pivot = np.maximum(np.minimum(low, middle), np.minimum(np.maximum(low, middle), high))[segment]
+        less, more = char < pivot, char > pivot
+        n_less, n_more = np.add.reduceat(less, first, dtype=np.int64), np.add.reduceat(more, first, dtype=np.int64)
+        n_same = size - n_less - n_more
+
+        def rank(chosen: np.ndarray) -> np.ndarray:
+            """Places among the chosen rows of a segment."""
+            seen = np.cumsum(chosen)
+            return seen - (seen[first] - chosen[first])[segment] - 1
+
+        same = ~(less | more)
+        place = np.where(less, rank(less), np.where(same, n_less[segment] + rank(same), (n_less + n_same)[segment] + rank(more)))
+        order[begin[segment] + place] = rows
+        parts = np.stack([n_less, n_same, n_more], 1).ravel()
+        heads = np.stack([begin, begin + n_less, begin + n_less + n_same], 1).ravel()
+        deeper = np.stack([depth, depth + 8, depth], 1).ravel()
+        some = parts > 0
+        begin, size, depth = heads[some], parts[some], deeper[some]
+        new[begin] = True
+
+
+def parting(chars: np.ndarray, left: np.ndarray, right: np.ndarray, low: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Where two strings part, from place low on; their length if they don't."""
+    part, at, open_ = lengths.copy(), low.copy(), np.arange(len(left))
+    while len(open_):
+        differs = chars[left[open_] + at[open_]].astype(np.uint64) ^ chars[right[open_] + at[open_]].astype(np.uint64)
+        beyond = np.maximum(0, 8 - (lengths[open_] - at[open_])).astype(np.uint64) * np.uint64(8)
+        differs = (differs >> beyond) << beyond
+        found = differs != 0
+        bits = differs[found]
+        byte = sum((bits >> np.uint64(8 * k) == 0).astype(np.int64) for k in range(1, 8))
+        part[open_[found]] = at[open_[found]] + byte
+        at[open_] += 8
+        open_ = open_[~found]
+        open_ = open_[at[open_] < lengths[open_]]
+    return part
+
+
+def blind_tries(data: np.ndarray, chars: np.ndarray, starts: np.ndarray, groups: np.ndarray, lengths: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
     """One blind trie for each group of strings (a run of equal values), built level by level for all groups at once.
 
     A node is the first place where its strings part; they are dealt to its
@@ -196,26 +242,21 @@ def blind_tries(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, length
     and where a new leaf begins.
     """
     order, new = np.arange(len(starts)), _borders(groups)
-    step = max(1, MATRIX // length)
-    open_, depth = np.flatnonzero(np.ones(len(starts), bool)), np.full(len(starts), SHALLOW, np.int64)
+    open_, depth = np.arange(len(starts)), np.full(len(starts), shallow, np.int64)
     while len(open_):
         fresh = new[open_].copy()
         fresh[0] = True
         node = np.cumsum(fresh) - 1
         begin = np.flatnonzero(fresh)
-        lead = order[open_[begin]][node]
-        part = np.full(len(open_), length, np.int64)  # where a string leaves the first of its node
-        for at in range(0, len(open_), step):
-            mine = slice(at, at + step)
-            low = min(int(depth[order[open_[mine]]].min()), length - 1)
-            differs = gather(data, starts[order[open_[mine]]] + low, length - low) != gather(data, starts[lead[mine]] + low, length - low)
-            part[mine] = np.where(differs.any(axis=1), differs.argmax(axis=1) + low, length)
+        rows = order[open_]
+        lead = rows[begin][node]
+        part = parting(chars, starts[rows], starts[lead], depth[rows], lengths[rows])  # where a string leaves the first of its node
         branch = np.minimum.reduceat(part, begin)
-        inner = branch[node] < length
-        open_, node = open_[inner], node[inner]
+        inner = branch[node] < lengths[rows]
+        open_, node, rows = open_[inner], node[inner], rows[inner]
         if not len(open_):
             break
-        rows, place = order[open_], branch[node]
+        place = branch[node]
         byte = data[starts[rows] + place]
         depth[rows] = place + 1
         by = np.lexsort((byte, node))
@@ -241,10 +282,11 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _by_bucket(bucket: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+def _by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The rows of each bucket that has any."""
     order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(n + 1))
-    return [(b, order[ends[b] : ends[b + 1]]) for b in range(n) if ends[b] < ends[b + 1]]
+    cuts = np.append(np.flatnonzero(_borders(bucket[order])), len(order))
+    return [(int(bucket[order[a]]), order[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @dataclass
@@ -277,7 +319,7 @@ class Unit:
         self.several = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin) if len(begin) else np.zeros(0, bool)
         self.number = np.empty(len(order), np.int64)  # the number of each fragment's anchor
         self.number[order] = np.cumsum(new) - 1
-        self.buckets = _by_bucket((self.anchors % np.uint64(self.n_buckets)).astype(np.int64), self.n_buckets)
+        self.buckets = _by_bucket((self.anchors % np.uint64(self.n_buckets)).astype(np.int64))
         return self
 
     def anchors_told(self) -> list[tuple[int, bytes, bytes]]:
@@ -295,7 +337,7 @@ class Unit:
         self.least = np.full(len(self.leaders), NONE)
         np.minimum.at(self.least, self.group, ids)
         anchors = self.found.anchor[self.leaders]
-        self.leader_buckets = _by_bucket((anchors % np.uint64(self.n_buckets)).astype(np.int64), self.n_buckets)
+        self.leader_buckets = _by_bucket((anchors % np.uint64(self.n_buckets)).astype(np.int64))
 
     def contents_told(self) -> list[tuple[int, bytes]]:
         out, press = [], zstandard.ZstdCompressor(level=1)
@@ -365,9 +407,7 @@ def resolve(told: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     anchor, least, size, ahead = (np.concatenate([r[k] for r in read]) for k in range(4))
     data = np.concatenate([r[4] for r in read])
     first = np.concatenate([[0], np.cumsum(size + LENGTH)[:-1]])
-    zero = np.zeros(0, np.uint64)
-    whole = Fragments(anchor, first + ahead, first, first + size, np.zeros(len(first), np.int64), zero)
-    whole.content = _content(data, first, size)
+    whole = Fragments(anchor, first + ahead, first, first + size, np.zeros(len(first), np.int64))
     leaders, group = distinct(data, whole)
     lowest = np.full(len(leaders), NONE)
     np.minimum.at(lowest, group, least)
@@ -381,7 +421,7 @@ def resolve(told: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
         shift = np.arange(begins[-1]) - np.repeat(begins[:-1], count)
         starts = (np.repeat(first[leaders], count) + shift)[windows]
         classes = (np.repeat(number, count) * (LENGTH + 1) + np.repeat(ahead[leaders], count) - shift)[windows]  # anchor, and how far it lies within the window
-        order, new = equal_groups(data, starts, classes)
+        order, new = equal_groups(data, starts, classes, np.full(len(starts), LENGTH))
         value = known[windows][order]
         value = np.minimum.reduceat(value, np.flatnonzero(new))[np.cumsum(new) - 1]
         known[windows[order]] = value
@@ -399,20 +439,6 @@ def resolve(told: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     return out
 
 
-def _content(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The content hashes of fragments that lie one after another."""
-    out = np.empty(len(first), np.uint64)
-    ends = np.append(first, len(data))
-    at = 0
-    while at < len(first):
-        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SEGMENT, "right")) - 1)
-        (whole,) = _hashes(data[ends[at] : ends[stop]], LENGTH)
-        begin = first[at:stop] - ends[at]
-        out[at:stop] = mix(whole[begin] + whole[begin + size[at:stop]] * _ODD + size[at:stop].astype(np.uint64))
-        at = stop
-    return out
-
-
 # --- on Spark ------------------------------------------------------------------------------
 
 
