@@ -35,7 +35,7 @@ BANDS = HASHES // ROWS
 STEP = 16
 TOLERANCE = 1e-6
 #: A bucket is cut into blocks of BLOCK texts, up to SPREAD blocks; into more only where one would have more than BLOCK_BYTES or BLOCK_TEXTS.
-BLOCK, SPREAD, BLOCK_BYTES, BLOCK_TEXTS = 128, 24, 4 << 20, 1024
+BLOCK, SPREAD, BLOCK_BYTES, BLOCK_TEXTS = 160, 8, 4 << 20, 1024
 #: A text that more than one in so many rows have is common.
 COMMON = 1000
 SLICE_BYTES = 1 << 20
@@ -214,11 +214,11 @@ def find_survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (node, text): (node, shingles), the sorted set of hashes as bytes."""
+    """From (text, node, weight, signature): the same with shingles, the sorted set of hashes as bytes, in place of text."""
     for batch in slices(batches, "text", SLICE_BYTES):
-        runs, begins = shingles(*binary_view(batch.column(1)))
+        runs, begins = shingles(*binary_view(batch.column(0)))
         sets = [np.unique(runs[a:b]).tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *batch.columns[1:]], names=["shingles", "node", "weight", "signature"])
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
@@ -331,11 +331,11 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed_pieces = pieces.join(texts.select("node", "signature"), "node").select(*PIECE, "block", "node", "signature")
     survivors = settle(dealt(signed_pieces).mapInArrow(find_survivors, f"{kinds}, block int, node long"))
 
-    wanted = texts.join(survivors.select("node").distinct(), "node").select("node", "id", "copy")
+    wanted = texts.join(survivors.select("node").distinct(), "node").select("node", "id", "copy", "weight", "signature")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), copy_of(text_col).alias("copy"), as_bytes(text_col).alias("text"))
     one = rows.groupBy("id", "copy").agg(F.first("text").alias("text"))  # of equal texts
-    sets = one.join(wanted, ["id", "copy"]).select("node", "text").mapInArrow(shingle_sets, "node long, shingles binary")
-    held = survivors.join(sets, "node").join(texts.select("node", "weight", "signature"), "node").select(*PIECE, "block", "node", "weight", "signature", "shingles")
+    sets = one.join(wanted, ["id", "copy"]).select("text", "node", "weight", "signature").mapInArrow(shingle_sets, "shingles binary, node long, weight long, signature binary")
+    held = survivors.join(sets, "node").select(*PIECE, "block", "node", "weight", "signature", "shingles")
     found = settle(dealt(held).mapInArrow(verify, "node long, links long, lowest long"))
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
