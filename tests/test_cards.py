@@ -3,6 +3,7 @@ import datetime as dt
 
 import pytest
 
+from tidemark import sources
 from tidemark.config import Settings
 from tidemark.operators import analytics, quality
 from tidemark.plans import cards
@@ -95,6 +96,39 @@ def test_full_mode_reads_all_and_keeps_one_copy(spark, run_settings):
     assert VersionedTable(spark, full.table_path("bronze", spec.table)).read().count() == 5
 
 
+def test_a_run_that_dies_before_it_registers_its_files(spark, run_settings, monkeypatch):
+    spec, append = cards.SOURCES["transacoes"], VersionedTable.append
+
+    def die(table, *given, **more):
+        if table.path.endswith("_control"):
+            raise RuntimeError("gone")
+        return append(table, *given, **more)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(VersionedTable, "append", die)
+        with pytest.raises(RuntimeError, match="gone"):
+            ingest(spark, run_settings, spec)
+    assert ingest(spark, dataclasses.replace(run_settings, batch_id="b2"), spec) == {"source": "transacoes", "files": 0, "rows": 0}
+    assert VersionedTable(spark, run_settings.table_path("bronze", spec.table)).read().count() == 5
+    assert VersionedTable(spark, run_settings.table_path("bronze", "_control")).read().count() == 1
+
+
+def test_long_files_and_headers(spark, run_settings, monkeypatch, tmp_path):
+    root = run_settings.input_path
+    held = lambda: {r.file: (r.file_hash, r.header) for r in sources.discover(spark, root, "*.csv").collect()}
+    whole = held()
+    monkeypatch.setattr(sources, "WHOLE_BYTES", 100)
+    parts = held()
+    assert {f: h for f, (_, h) in parts.items()} == {f: h for f, (_, h) in whole.items()} and parts == held()
+    land(tmp_path, "estornos.csv", REFUNDS, "R1,T99,2026-02-12 00:00:00,DUPLICIDADE", *(f"R{k},T1,2026-02-12 00:00:00,DUPLICIDADE" for k in range(2, 9)))
+    assert {f for f in parts if held()[f] != parts[f]} == {"estornos.csv"}
+    monkeypatch.setattr(sources, "HEADER_BYTES", 20)
+    for most in (100, 1 << 20):
+        monkeypatch.setattr(sources, "WHOLE_BYTES", most)
+        with pytest.raises(Exception, match="header is too long"):
+            sources.discover(spark, root, "*.csv").collect()
+
+
 def test_unknown_layer(spark, run_settings):
     with pytest.raises(ValueError):
         cards.run(spark, run_settings, ["platinum"])

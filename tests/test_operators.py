@@ -108,7 +108,7 @@ def test_functions(spark):
 @pytest.mark.parametrize("n,tiles", [(0, 4), (1, 4), (3, 4), (10, 4), (103, 10)])
 def test_tiles_without_a_single_task(spark, monkeypatch, n, tiles):
     df = spark.createDataFrame([(k, float(k * 7 % 11)) for k in range(n)], "id long, v double")
-    monkeypatch.setattr(ranking.global_positions, "__defaults__", (7, 5))  # several ranges for few rows
+    monkeypatch.setattr(ranking.global_positions, "__defaults__", (5,))  # several ranges for few rows
     found = {r.id: r.tile for r in ranking.with_ntile(df, "v", "id", tiles, "tile").collect()}
     df.createOrReplaceTempView("tiles")
     wanted = {r.id: r.tile for r in spark.sql(f"SELECT id, ntile({tiles}) OVER (ORDER BY v, id) AS tile FROM tiles").collect()}
@@ -128,3 +128,19 @@ def test_stream_keeps_the_first_of_a_key(spark, tmp_path):
     stream = first_within(spark.readStream.schema("k long, t timestamp").parquet(path), ["k"], "t", "1 hour")
     stream.writeStream.format("memory").queryName("firsts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
     assert sorted(r.k for r in spark.table("firsts").collect()) == [1, 2]
+
+
+def test_ranks_over_many_ranges_with_ties(spark, monkeypatch):
+    """One value holds most rows, and so spans ranges; nulls too; ties go by a string."""
+    rows = [(f"k{k:04d}", None if k % 11 == 0 else 7.5 if k % 3 else float(k % 40), ("a", "b", None)[k % 3] if k % 5 else "c") for k in range(700)]
+    df = spark.createDataFrame(rows, "id string, v double, g string").repartition(6)
+    df.createOrReplaceTempView("ranked_rows")
+    wanted = {r.id: tuple(r) for r in spark.sql("SELECT id, row_number() OVER (ORDER BY v, id) AS p, rank() OVER (ORDER BY v) - 1 AS b, percent_rank() OVER (PARTITION BY g ORDER BY v) AS r FROM ranked_rows").collect()}
+    for rows_per_range in (5, 60, 10_000):
+        placed, n = ranking.global_positions(df, "v", "id", rows_per_range)
+        assert n == 700 and {r.id: (r.id, r["__position"], r["__below"]) for r in placed.collect()} == {i: w[:3] for i, w in wanted.items()}
+        for common in (ranking.COMMON, 2):
+            monkeypatch.setattr(ranking, "COMMON", common)
+            ranked = ranking.with_percent_rank(df, "g", "v", "r", rows_per_range).collect()
+            assert len(ranked) == 700 and all(abs(r.r - wanted[r.id][3]) < 1e-12 for r in ranked)
+    assert ranking.with_percent_rank(df.limit(0), "g", "v", "r").count() == 0 == ranking.global_positions(df.limit(0), "v", "id")[0].count()

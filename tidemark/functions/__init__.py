@@ -34,10 +34,15 @@ def month_of(column: str) -> Column:
     return F.date_format(column, "yyyy-MM")
 
 
-def ratio(over: Column, under: Column, digits: int | None = None, scale: float = 1.0) -> Column:
-    """over / under * scale, null where under is null or 0; rounded half up if digits are given."""
-    value = F.try_divide(over, under) * scale if scale != 1.0 else F.try_divide(over, under)
-    return value if digits is None else F.round(value, digits)
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded half up, as a decimal of six digits, so that what sums and quotients leave in the last bits doesn't decide."""
+    return F.round(value.cast("decimal(38,6)"), digits).cast("double")
+
+
+def ratio(over: Column, under: Column, digits: int | None = None, scale: int = 1) -> Column:
+    """over * scale / under, null where under is null or 0; rounded, as a double, if digits are given."""
+    value = F.try_divide(over * scale if scale != 1 else over, under)
+    return value if digits is None else rounded(value, digits)
 
 
 def rank_of(column: Column | str, order: Mapping[str, int]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import month_of, ratio
+from ..functions import month_of, ratio, rounded
 from . import ranking
 
 #: Classes of a z-score, from the highest bound, and bands of spending.
@@ -51,7 +51,7 @@ def spending_bands(months: DataFrame) -> DataFrame:
     spent = months.groupBy("id_cliente").agg(F.sum("valor_liquido").alias("valor_liquido_total"))
     placed = ranking.with_ntile_and_percent(spent, "valor_liquido_total", "id_cliente", 10, "decil_gasto", "percentil_gasto")
     band = F.when(F.col("decil_gasto") >= 9, TOP).when(F.col("decil_gasto") <= 2, BOTTOM).otherwise(MIDDLE)
-    return placed.select("id_cliente", "valor_liquido_total", "decil_gasto", F.round("percentil_gasto", 4).alias("percentil_gasto"), band.alias("faixa_gasto"))
+    return placed.select("id_cliente", "valor_liquido_total", "decil_gasto", rounded(F.col("percentil_gasto"), 4).alias("percentil_gasto"), band.alias("faixa_gasto"))
 
 
 def anomalies(fact: DataFrame, least_rows: int = 3) -> DataFrame:
@@ -64,7 +64,7 @@ def anomalies(fact: DataFrame, least_rows: int = 3) -> DataFrame:
     for bound, name in reversed(ANOMALIES):
         kind = F.when(score >= bound, name).otherwise(kind)
     found = rows.filter(score >= ANOMALIES[-1][0])
-    return found.select("id_transacao", "id_cliente", "dt_transacao", "valor", "media_valor", "desvio_valor", F.round(score, 2).alias("z_score"), kind.alias("classificacao_anomalia"))
+    return found.select("id_transacao", "id_cliente", "dt_transacao", "valor", "media_valor", "desvio_valor", rounded(score, 2).alias("z_score"), kind.alias("classificacao_anomalia"))
 
 
 def ticket_comparison(months: DataFrame, customers: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def ticket_comparison(months: DataFrame, customers: DataFrame) -> DataFrame:
         "segmento",
         F.col("ticket_medio").alias("ticket_medio_do_mes"),
         "ticket_medio_historico_proprio",
-        F.round(F.col("ticket_medio") - F.col("ticket_medio_historico_proprio"), 2).alias("diff_vs_proprio_historico"),
+        rounded(F.col("ticket_medio") - F.col("ticket_medio_historico_proprio"), 2).alias("diff_vs_proprio_historico"),
         "ticket_medio_cidade_segmento",
-        F.round(F.col("ticket_medio") - F.col("ticket_medio_cidade_segmento"), 2).alias("diff_vs_cidade_segmento"),
+        rounded(F.col("ticket_medio") - F.col("ticket_medio_cidade_segmento"), 2).alias("diff_vs_cidade_segmento"),
     )

@@ -197,24 +197,27 @@ def process(spark: SparkSession, settings: Settings, entity: Entity) -> dict:
         return {"entity": entity.name, "valid": 0, "rejected": 0}
     gated = accepted(spark, settings, entity, rows.filter(F.col("batch_id").isin(names)))
     valid = gated.valid.withColumns(entity.derived()) if entity.derived() else gated.valid
-    valid = valid.persist()
+    valid, rejected = valid.persist(), gated.rejected.persist()  # each is read several times, and evicted blocks are made again
     try:
-        n_valid, n_rejected = valid.count(), gated.rejected.count()
-        quarantine(spark, settings, entity, gated.rejected)
+        n_valid, n_rejected = valid.count(), rejected.count()
+        quarantine(spark, settings, entity, rejected)
         now = {"processed_at": F.current_timestamp()}
         if entity.attributes:
             columns = [entity.key, *entity.attributes, "data_atualizacao", "row_hash", *LINEAGE]
             log = silver(spark, settings, f"_changes/{entity.name}")
             fresh = quality.dedupe_on(valid.select(*columns), [entity.key], "data_atualizacao", ["row_hash"])
             before = log.read_or_empty(fresh.schema) if not settings.full else spark.createDataFrame([], fresh.schema)
-            every = quality.dedupe_on(before.unionByName(fresh), [entity.key], "data_atualizacao", ["row_hash"])
-            touched = every.join(fresh.select(entity.key).distinct(), entity.key, "left_semi")
+            held = before.join(fresh.select(entity.key).distinct(), entity.key, "left_semi")
+            touched = quality.dedupe_on(held.unionByName(fresh), [entity.key], "data_atualizacao", ["row_hash"])
             versions = history.build_timeline(touched, entity.key, entity.attributes, "data_atualizacao", ["row_hash"]).drop("row_hash").withColumns(now)
             if target.exists() and not settings.full:
                 target.replace_keys(versions, [entity.key])
             else:
                 target.overwrite(versions)
-            log.overwrite(every)
+            if settings.full or not log.exists():
+                log.overwrite(fresh)
+            else:
+                log.append(fresh)  # a change that comes again is dropped where the log is read
         else:
             latest = quality.latest_by(valid, [entity.key], "ingested_at", ["row_hash"]).select(*entity.columns, *LINEAGE).withColumns(now)
             if target.exists() and not settings.full:
@@ -224,6 +227,7 @@ def process(spark: SparkSession, settings: Settings, entity: Entity) -> dict:
         done.append(spark.createDataFrame([(n,) for n in names], "batch_id string"))
     finally:
         valid.unpersist()
+        rejected.unpersist()
     return {"entity": entity.name, "valid": n_valid, "rejected": n_rejected}
 
 

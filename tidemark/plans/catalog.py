@@ -17,9 +17,10 @@ from ..checkpoints import settle, shared_dir
 from ..config import Settings
 from ..functions import fingerprint, month_of, ratio
 from ..operators import analytics, history, marts, merge, quality, ranking, temporal
-from ..sources import SourceSpec, discover, ingest, pending, read_batch
+from ..sources import SUCCESS, SourceSpec, discover, ingest, pending, read_batch
 from ..streaming import upsert_stream
 from ..tables import VersionedTable
+from . import cards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -277,46 +278,49 @@ def pit_join_sweep(spark, sf_dir):
 
 _SPLIT = "TIMESTAMP '1995-06-01'"
 _CHAIN = f"""
-card AS (SELECT l_partkey % 1000 AS id_cartao, l_partkey % 1000 % 300 + v * 7 AS id_conta, v FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey <= 1000), range(2) r(v)),
-cards AS (SELECT DISTINCT id_cartao, id_conta, CASE v WHEN 0 THEN TIMESTAMP '1970-01-02' ELSE {_SPLIT} END AS a, CASE v WHEN 0 THEN {_SPLIT} END AS z, CASE WHEN v = 1 AND id_cartao % 9 = 0 THEN 'CANCELADO' ELSE 'ATIVO' END AS status_cartao FROM card),
-accounts AS (SELECT id_conta, id_conta % 150 + 1 AS id_cliente FROM range(320) r(id_conta)),
-customers AS (SELECT c_custkey AS id_cliente, c_mktsegment AS segmento, 'N' || c_nationkey AS cidade, 'R' || c_nationkey % 5 AS estado FROM customer)"""
+part_ AS (SELECT DISTINCT l_partkey FROM lineitem),
+cards AS (
+  SELECT l_partkey AS id_cartao, l_partkey * 2 AS id_conta, TIMESTAMP '1970-01-02' AS a, {_SPLIT} AS z, 'ATIVO' AS status_cartao FROM part_
+  UNION ALL SELECT l_partkey, l_partkey * 2 + 3, {_SPLIT}, NULL, CASE WHEN l_partkey % 9 = 0 THEN 'CANCELADO' ELSE 'ATIVO' END FROM part_),
+accounts AS (SELECT c_custkey * 2 AS id_conta, c_custkey AS id_cliente FROM customer UNION ALL SELECT c_custkey * 2 + 1, c_custkey FROM customer),
+customers AS (
+  SELECT c_custkey AS id_cliente, c_mktsegment AS segmento, 'N' || c_nationkey AS cidade, 'R' || c_nationkey % 5 AS estado, CAST(floor(c_acctbal) AS INT) AS renda,
+    CAST(DATE '1992-01-01' + CAST(c_custkey % 1500 AS INT) AS DATE) AS cliente_desde FROM customer)"""
 
 
-def _dimensions(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cards with two versions each, accounts and customers with one, from parts and customers: a small world of fixed size, or the whole tables."""
+def _dimensions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A card of two versions for each part sold, two accounts for each customer, and the customers."""
     split, start = F.lit("1995-06-01").cast("timestamp"), F.lit(history.SENTINEL).cast("timestamp")
-    lines = table(spark, sf_dir, "lineitem")
-    parts = (lines.select(F.col("l_partkey").alias("id_cartao")) if whole else lines.filter("l_partkey <= 1000").select((F.col("l_partkey") % 1000).alias("id_cartao"))).distinct()
-    each = parts.select("id_cartao", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
+    each = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id_cartao")).distinct().select("id_cartao", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
     second = F.col("v") == 1
     cards = each.select(
         "id_cartao",
-        (F.col("id_cartao") * 2 + F.col("v") * 3 if whole else F.col("id_cartao") % 300 + F.col("v") * 7).alias("id_conta"),
+        (F.col("id_cartao") * 2 + F.col("v") * 3).alias("id_conta"),
         F.when(second, split).otherwise(start).alias("valid_from"),
         F.when(~second, split).alias("valid_to"),
         F.when(second & (F.col("id_cartao") % 9 == 0), "CANCELADO").otherwise("ATIVO").alias("status_cartao"),
     )
     always = {"valid_from": start, "valid_to": F.lit(None).cast("timestamp")}
-    if whole:
-        accounts = table(spark, sf_dir, "customer").select(F.explode(F.array(F.col("c_custkey") * 2, F.col("c_custkey") * 2 + 1)).alias("id_conta"), F.col("c_custkey").alias("id_cliente"))
-    else:
-        accounts = spark.range(320).select(F.col("id").alias("id_conta"), (F.col("id") % 150 + 1).alias("id_cliente"))
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id_cliente"), F.col("c_mktsegment").alias("segmento"), F.concat(F.lit("N"), "c_nationkey").alias("cidade"), F.concat(F.lit("R"), F.col("c_nationkey") % 5).alias("estado"))
+    people, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    accounts = people.select(F.explode(F.array(key * 2, key * 2 + 1)).alias("id_conta"), key.alias("id_cliente"))
+    customers = people.select(
+        key.alias("id_cliente"),
+        F.col("c_mktsegment").alias("segmento"),
+        F.concat(F.lit("N"), "c_nationkey").alias("cidade"),
+        F.concat(F.lit("R"), F.col("c_nationkey") % 5).alias("estado"),
+        F.floor("c_acctbal").cast("int").alias("renda"),
+        F.date_add(F.lit(dt.date(1992, 1, 1)), (key % 1500).cast("int")).alias("cliente_desde"),
+    )
     return cards, accounts.withColumns(always), customers.withColumns(always)
 
 
-def _card(whole: bool) -> Column:
-    return F.col("o_custkey") if whole else F.col("o_custkey") % 1100
-
-
 @query(f"""
 WITH {_CHAIN}
-SELECT o_orderkey, c.id_cartao, c.id_conta, a.id_cliente, u.segmento FROM orders LEFT JOIN cards c ON c.id_cartao = o_custkey % 1100 AND o_orderdate >= c.a AND (c.z IS NULL OR o_orderdate < c.z)
+SELECT o_orderkey, c.id_cartao, c.id_conta, a.id_cliente, u.segmento FROM orders LEFT JOIN cards c ON c.id_cartao = o_custkey AND o_orderdate >= c.a AND (c.z IS NULL OR o_orderdate < c.z)
 LEFT JOIN accounts a ON a.id_conta = c.id_conta LEFT JOIN customers u ON u.id_cliente = a.id_cliente WHERE c.id_cartao IS NOT NULL""")
-def pit_chain(spark, sf_dir, whole=False):
-    cards, accounts, customers = _dimensions(spark, sf_dir, whole)
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", _card(whole).alias("id_cartao"))
+def pit_chain(spark, sf_dir):
+    cards, accounts, customers = _dimensions(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.col("o_custkey").alias("id_cartao"))
     chained = temporal.pit_chain(orders, [(cards, "id_cartao", "id_cartao"), (accounts, "id_conta", "id_conta"), (customers, "id_cliente", "id_cliente")], "o_orderdate")
     return chained.filter(F.col("id_conta").isNotNull()).select("o_orderkey", "id_cartao", "id_conta", "id_cliente", "segmento")
 
@@ -324,8 +328,10 @@ def pit_chain(spark, sf_dir, whole=False):
 # --- facts and marts -----------------------------------------------------------------------------
 
 _PAYMENTS = f"""
-x AS (SELECT o_orderkey AS id_transacao, o_custkey % 1100 AS id_cartao, o_orderdate AS data_transacao, CAST(o_orderdate AS DATE) AS dt_transacao, CAST(o_totalprice AS DECIMAL(18,2)) AS valor,
-  CAST(o_custkey % 20 AS VARCHAR) AS mcc, 'M' || o_custkey % 40 AS estabelecimento, o_orderpriority AS canal, CASE o_orderkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'BR' ELSE 'AR' END AS pais FROM orders),
+x AS (SELECT o_orderkey AS id_transacao, o_custkey AS id_cartao, o_orderdate AS data_transacao, CAST(o_orderdate AS DATE) AS dt_transacao, CAST(o_totalprice AS DECIMAL(18,2)) AS valor,
+  CAST(s_nationkey AS VARCHAR) AS mcc, 'M' || l_suppkey AS estabelecimento, o_orderpriority AS canal, CASE o_orderkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'BR' ELSE 'AR' END AS pais
+  FROM orders LEFT JOIN (SELECT l_orderkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) = 1) ON l_orderkey = o_orderkey
+  LEFT JOIN supplier ON s_suppkey = l_suppkey),
 rf AS (SELECT l_orderkey AS id_transacao, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 GROUP BY 1),
 ev AS (SELECT o_orderkey AS id_transacao, CASE o_orderpriority WHEN '3-MEDIUM' THEN 2 WHEN '2-HIGH' THEN 3 WHEN '1-URGENT' THEN 4 ELSE 1 END AS s, CASE o_orderkey % 3 WHEN 0 THEN 'FRAUDE' WHEN 1 THEN 'CHARGEBACK' ELSE 'SUSPEITA' END AS tipo FROM orders, range(2) WHERE o_orderstatus = 'P'),
 eg AS (SELECT id_transacao, count(*) AS n, max(s) AS s FROM ev GROUP BY 1),
@@ -352,67 +358,73 @@ def _children(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return refunds, events.drop("n")
 
 
-def _fact(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as payments by a card, the supplier of the first line as the merchant."""
     orders = table(spark, sf_dir, "orders")
-    if whole:
-        sellers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(F.struct("l_linenumber", "l_suppkey"))["l_suppkey"].alias("l_suppkey"))
-        nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-        orders = orders.join(sellers, "o_orderkey", "left").join(nations, "l_suppkey", "left")
+    sellers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(F.struct("l_linenumber", "l_suppkey"))["l_suppkey"].alias("l_suppkey"))
+    nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    orders = orders.join(sellers, "o_orderkey", "left").join(nations, "l_suppkey", "left")
     country = F.element_at(F.array(F.lit("US"), F.lit("BR"), F.lit("AR")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     rows = orders.select(
         F.col("o_orderkey").alias("id_transacao"),
-        _card(whole).alias("id_cartao"),
+        F.col("o_custkey").alias("id_cartao"),
         F.col("o_orderdate").alias("data_transacao"),
         F.to_date("o_orderdate").alias("dt_transacao"),
         money("o_totalprice").alias("valor"),
-        (F.col("s_nationkey") if whole else F.col("o_custkey") % 20).cast("string").alias("mcc"),
-        F.concat(F.lit("M"), F.col("l_suppkey") if whole else F.col("o_custkey") % 40).alias("estabelecimento"),
+        F.col("s_nationkey").cast("string").alias("mcc"),
+        F.concat(F.lit("M"), "l_suppkey").alias("estabelecimento"),
         F.col("o_orderpriority").alias("canal"),
         country.alias("pais"),
         *(F.lit(None).cast("string").alias(c) for c in ("moeda", "device_id", "ip_origem")),
     )
-    return marts.build_fact(rows, *_dimensions(spark, sf_dir, whole), *_children(spark, sf_dir))
+    return marts.build_fact(rows, *_dimensions(spark, sf_dir), *_children(spark, sf_dir))
 
 
-def _customers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _dimensions(spark, sf_dir, whole)[2].select("id_cliente", "segmento", "cidade", "estado")
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dimensions(spark, sf_dir)[2].drop("valid_from", "valid_to")
 
 
 _FACT_COLUMNS = [c for c in marts.FACT if c not in ("moeda", "device_id", "ip_origem")]
 
 
 @query(f"WITH {_PAYMENTS} SELECT {', '.join(_FACT_COLUMNS)} FROM f")
-def fact_enriched(spark, sf_dir, whole=False):
-    return _fact(spark, sf_dir, whole).select(*_FACT_COLUMNS)
+def fact_enriched(spark, sf_dir):
+    return _fact(spark, sf_dir).select(*_FACT_COLUMNS)
 
 
 @query(f"WITH {_PAYMENTS} SELECT estabelecimento, mcc, count(*) AS qtd_transacoes_historico, CAST(sum(valor) AS DECIMAL(38,2)) AS valor_bruto_historico, min(dt_transacao) AS primeira_transacao, max(dt_transacao) AS ultima_transacao, count(DISTINCT pais) AS qtd_paises_distintos FROM f GROUP BY 1, 2")
-def merchant_dim(spark, sf_dir, whole=False):
-    return marts.merchants(_fact(spark, sf_dir, whole)).withColumn("valor_bruto_historico", exact(F.col("valor_bruto_historico")))
+def merchant_dim(spark, sf_dir):
+    return marts.merchants(_fact(spark, sf_dir)).withColumn("valor_bruto_historico", exact(F.col("valor_bruto_historico")))
+
 
 
-_MONTHS = """
+
+def _sql_rounded(value: str, digits: int = 2) -> str:
+    return f"CAST(round(CAST({value} AS DECIMAL(38,6)), {digits}) AS DOUBLE)"
+
+
+_CHANGE = _sql_rounded("(CAST({now} AS DOUBLE) - {before}) * 100 / nullif({before}, 0)")
+_MONTHS = f"""
 mm AS (SELECT *, lag(liquido) OVER (PARTITION BY id_cliente ORDER BY ano_mes) AS antes FROM m)
 SELECT id_cliente, ano_mes, qtd_transacoes, CAST(bruto AS DECIMAL(38,2)) AS valor_bruto, CAST(liquido AS DECIMAL(38,2)) AS valor_liquido, CAST(bruto - liquido AS DECIMAL(38,2)) AS valor_estornado,
-  qtd_estabelecimentos_distintos, qtd_paises_distintos, qtd_transacoes_internacionais, qtd_estornos, qtd_eventos_risco, CAST(antes AS DECIMAL(38,2)) AS valor_liquido_mes_anterior FROM mm"""
-_MONTH_COLUMNS = [c for c in marts.MONTH if c not in ("ticket_medio", "variacao_valor_liquido_pct")]
+  {_sql_rounded("CAST(liquido AS DOUBLE) / qtd_transacoes")} AS ticket_medio, qtd_estabelecimentos_distintos, qtd_paises_distintos, qtd_transacoes_internacionais, qtd_estornos, qtd_eventos_risco,
+  CAST(antes AS DECIMAL(38,2)) AS valor_liquido_mes_anterior, {_CHANGE.format(now="liquido", before="antes")} AS variacao_valor_liquido_pct FROM mm"""
 
 
 def _exact_months(months: DataFrame) -> DataFrame:
-    """Without the rounded ratios, whose last digit the two engines may round apart."""
     amounts = ("valor_bruto", "valor_liquido", "valor_estornado", "valor_liquido_mes_anterior")
-    return months.select(*(exact(F.col(c)).alias(c) if c in amounts else F.col(c) for c in _MONTH_COLUMNS))
+    return months.withColumns({c: exact(F.col(c)) for c in amounts})
 
 
 @query(f"WITH {_PAYMENTS}, {_MONTHS}")
-def customer_month(spark, sf_dir, whole=False):
-    return _exact_months(marts.customer_months(_fact(spark, sf_dir, whole)))
+def customer_month(spark, sf_dir):
+    return _exact_months(marts.customer_months(_fact(spark, sf_dir)))
 
 
 @query(f"WITH {_PAYMENTS}, {_MONTHS}")
-def customer_month_incremental(spark, sf_dir, whole=False):
+def customer_month_incremental(spark, sf_dir):
     """The mart of early transactions, brought up to date with the late ones."""
-    fact = _fact(spark, sf_dir, whole)
+    fact = _fact(spark, sf_dir)
     late = F.col("id_transacao") % 10 == 3
     old = marts.customer_months(fact.filter(~late))
     groups = marts.affected_months(fact, fact.filter(late))
@@ -428,10 +440,10 @@ r AS (
   FROM m LEFT JOIN e ON e.id_cliente IS NOT DISTINCT FROM m.id_cliente AND e.ano_mes = m.ano_mes)"""
 
 
-@query(f"WITH {_PAYMENTS}, {_RISKS} SELECT * FROM r")
-def risk_month(spark, sf_dir, whole=False):
-    found = marts.risk_months(_fact(spark, sf_dir, whole), _children(spark, sf_dir)[1])
-    return found.drop("taxa_estorno_pct").withColumn("valor_estornado", exact(F.col("valor_estornado")))
+@query(f"WITH {_PAYMENTS}, {_RISKS} SELECT *, {_sql_rounded('100.0 * qtd_estornos / qtd_transacoes')} AS taxa_estorno_pct FROM r")
+def risk_month(spark, sf_dir):
+    found = marts.risk_months(_fact(spark, sf_dir), _children(spark, sf_dir)[1])
+    return found.withColumn("valor_estornado", exact(F.col("valor_estornado")))
 
 
 @query(f"""
@@ -441,16 +453,15 @@ tot AS (SELECT id_cliente, sum(qtd_transacoes) AS n, sum(liquido) AS liquido, su
 rt AS (SELECT id_cliente, sum(qtd_eventos_risco) AS e, sum(qtd_fraude) AS f, sum(qtd_chargeback) AS c, sum(qtd_estornos) AS x FROM r GROUP BY 1),
 b AS (
   SELECT u.*, CAST(rec.d AS INT) AS dias_desde_ultima_transacao, CAST(coalesce(n, 0) AS BIGINT) AS qtd_transacoes_total, CAST(coalesce(liquido, 0) AS DECIMAL(38,2)) AS valor_liquido_total, CAST(coalesce(bruto, 0) AS DECIMAL(38,2)) AS valor_bruto_total,
-    coalesce(meses, 0) AS qtd_meses_ativos, CAST(coalesce(e, 0) AS BIGINT) AS qtd_eventos_risco_total, CAST(coalesce(f, 0) AS BIGINT) AS qtd_fraude_total, CAST(coalesce(c, 0) AS BIGINT) AS qtd_chargeback_total, CAST(coalesce(x, 0) AS BIGINT) AS qtd_estornos_total
+    coalesce(meses, 0) AS qtd_meses_ativos, date_diff('day', cliente_desde, DATE '{AS_OF}')::INT AS dias_desde_cadastro, {_sql_rounded("CAST(liquido AS DOUBLE) / n")} AS ticket_medio_total, CAST(coalesce(e, 0) AS BIGINT) AS qtd_eventos_risco_total, CAST(coalesce(f, 0) AS BIGINT) AS qtd_fraude_total, CAST(coalesce(c, 0) AS BIGINT) AS qtd_chargeback_total, CAST(coalesce(x, 0) AS BIGINT) AS qtd_estornos_total
   FROM customers u LEFT JOIN rec USING (id_cliente) LEFT JOIN tot USING (id_cliente) LEFT JOIN rt USING (id_cliente))
-SELECT *, round(percent_rank() OVER (PARTITION BY cidade ORDER BY valor_liquido_total), 4) AS percentil_gasto_cidade, round(percent_rank() OVER (PARTITION BY segmento ORDER BY valor_liquido_total), 4) AS percentil_gasto_segmento,
+SELECT *, {_sql_rounded("percent_rank() OVER (PARTITION BY cidade ORDER BY valor_liquido_total)", 4)} AS percentil_gasto_cidade, {_sql_rounded("percent_rank() OVER (PARTITION BY segmento ORDER BY valor_liquido_total)", 4)} AS percentil_gasto_segmento,
   CAST(ntile(10) OVER (ORDER BY valor_liquido_total, id_cliente) AS INT) AS decil_gasto_geral FROM b""")
-def features_rfm(spark, sf_dir, whole=False):
-    fact = settle(_fact(spark, sf_dir, whole))  # a table of its own in the pipeline; read five times here
-    customers = _customers(spark, sf_dir, whole).withColumns({"renda": F.lit(None).cast("int"), "cliente_desde": F.lit(None).cast("date")})
-    found = marts.customer_features(customers, fact, marts.customer_months(fact), marts.risk_months(fact, _children(spark, sf_dir)[1]), AS_OF)
+def features_rfm(spark, sf_dir):
+    fact = settle(_fact(spark, sf_dir))  # a table of its own in the pipeline; read five times here
+    found = marts.customer_features(_customers(spark, sf_dir), fact, marts.customer_months(fact), marts.risk_months(fact, _children(spark, sf_dir)[1]), AS_OF)
     amounts = ("valor_liquido_total", "valor_bruto_total")
-    return found.drop("renda", "cliente_desde", "dias_desde_cadastro", "ticket_medio_total").withColumns({c: exact(F.col(c)) for c in amounts})
+    return found.withColumns({c: exact(F.col(c)) for c in amounts})
 
 
 @query(f"""
@@ -513,8 +524,8 @@ def merge_latest(spark, sf_dir):
 
 
 @query(f"WITH {_PAYMENTS} SELECT id_cliente, count(*) AS meses FROM m WHERE id_cliente IS NOT NULL GROUP BY id_cliente ORDER BY meses DESC, id_cliente LIMIT 5")
-def most_active_customers(spark, sf_dir, whole=False):
-    months = marts.customer_months(_fact(spark, sf_dir, whole)).filter(F.col("id_cliente").isNotNull())
+def most_active_customers(spark, sf_dir):
+    months = marts.customer_months(_fact(spark, sf_dir)).filter(F.col("id_cliente").isNotNull())
     return months.groupBy("id_cliente").agg(F.count(F.lit(1)).alias("meses")).orderBy(F.desc("meses"), "id_cliente").limit(5)
 
 
@@ -533,17 +544,17 @@ def explain_pit_join(spark, sf_dir):
 @query(f"""
 WITH {_PAYMENTS}, k AS (SELECT *, strftime(dt_transacao, '%Y-%m') AS ano_mes, row_number() OVER (PARTITION BY id_cliente_na_data, strftime(dt_transacao, '%Y-%m') ORDER BY valor_liquido DESC, id_transacao) AS n FROM f WHERE NOT flag_estornada)
 SELECT id_cliente_na_data AS id_cliente, ano_mes, id_transacao AS id_transacao_maior_valor, valor_liquido AS maior_valor_liquido_do_mes, segmento, cidade FROM k JOIN customers u ON u.id_cliente = id_cliente_na_data WHERE n = 1""")
-def sql_top1_per_month(spark, sf_dir, whole=False):
-    return analytics.largest_of_month(_fact(spark, sf_dir, whole), _customers(spark, sf_dir, whole))
+def sql_top1_per_month(spark, sf_dir):
+    return analytics.largest_of_month(_fact(spark, sf_dir), _customers(spark, sf_dir))
 
 
 @query(f"""
 WITH {_PAYMENTS}
 SELECT id_cliente, ano_mes, CAST(liquido AS DECIMAL(38,2)) AS valor_liquido, CAST(lag(liquido) OVER w AS DECIMAL(38,2)) AS valor_liquido_mes_anterior, CAST(lead(liquido) OVER w AS DECIMAL(38,2)) AS valor_liquido_mes_seguinte,
-  qtd_transacoes, lag(qtd_transacoes) OVER w AS qtd_transacoes_mes_anterior FROM m WINDOW w AS (PARTITION BY id_cliente ORDER BY ano_mes)""")
-def sql_month_over_month(spark, sf_dir, whole=False):
+  qtd_transacoes, lag(qtd_transacoes) OVER w AS qtd_transacoes_mes_anterior, {_CHANGE.format(now="liquido", before="lag(liquido) OVER w")} AS variacao_valor_pct FROM m WINDOW w AS (PARTITION BY id_cliente ORDER BY ano_mes)""")
+def sql_month_over_month(spark, sf_dir):
     amounts = ("valor_liquido", "valor_liquido_mes_anterior", "valor_liquido_mes_seguinte")
-    return analytics.month_over_month(marts.customer_months(_fact(spark, sf_dir, whole))).drop("variacao_valor_pct").withColumns({c: exact(F.col(c)) for c in amounts})
+    return analytics.month_over_month(marts.customer_months(_fact(spark, sf_dir))).withColumns({c: exact(F.col(c)) for c in amounts})
 
 
 @query(f"""
@@ -551,35 +562,35 @@ WITH {_PAYMENTS}
 SELECT DISTINCT id_cliente_na_data AS id_cliente, first_value(id_transacao) OVER w AS primeira_transacao_id, first_value(dt_transacao) OVER w AS primeira_transacao_data, first_value(valor) OVER w AS primeira_transacao_valor,
   last_value(id_transacao) OVER w AS ultima_transacao_id, last_value(dt_transacao) OVER w AS ultima_transacao_data, last_value(valor) OVER w AS ultima_transacao_valor
 FROM f WINDOW w AS (PARTITION BY id_cliente_na_data ORDER BY dt_transacao, id_transacao ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
-def sql_first_last(spark, sf_dir, whole=False):
-    return analytics.first_and_last(_fact(spark, sf_dir, whole))
+def sql_first_last(spark, sf_dir):
+    return analytics.first_and_last(_fact(spark, sf_dir))
 
 
 @query(f"""
 WITH {_PAYMENTS}, g AS (SELECT id_cliente, CAST(sum(liquido) AS DECIMAL(38,2)) AS valor_liquido_total FROM m GROUP BY 1),
-n AS (SELECT *, ntile(10) OVER (ORDER BY valor_liquido_total, id_cliente NULLS FIRST) AS d, round(percent_rank() OVER (ORDER BY valor_liquido_total), 4) AS percentil_gasto FROM g)
+n AS (SELECT *, ntile(10) OVER (ORDER BY valor_liquido_total, id_cliente NULLS FIRST) AS d, {_sql_rounded("percent_rank() OVER (ORDER BY valor_liquido_total)", 4)} AS percentil_gasto FROM g)
 SELECT id_cliente, valor_liquido_total, CAST(d AS INT) AS decil_gasto, percentil_gasto, CASE WHEN d >= 9 THEN 'TOP_20_PCT' WHEN d <= 2 THEN 'BOTTOM_20_PCT' ELSE 'MEIO' END AS faixa_gasto FROM n""")
-def sql_spending_bands(spark, sf_dir, whole=False):
-    return analytics.spending_bands(marts.customer_months(_fact(spark, sf_dir, whole))).withColumn("valor_liquido_total", exact(F.col("valor_liquido_total")))
+def sql_spending_bands(spark, sf_dir):
+    return analytics.spending_bands(marts.customer_months(_fact(spark, sf_dir))).withColumn("valor_liquido_total", exact(F.col("valor_liquido_total")))
 
 
 @query(f"""
 WITH {_PAYMENTS}, s AS (SELECT id_cliente_na_data AS id_cliente, avg(CAST(valor AS DOUBLE)) AS a, stddev_pop(CAST(valor AS DOUBLE)) AS d FROM f GROUP BY 1 HAVING count(*) >= 3),
-z AS (SELECT id_transacao, id_cliente, dt_transacao, valor, (valor - a) / nullif(d, 0) AS z FROM f JOIN s ON id_cliente = id_cliente_na_data WHERE d > 0)
-SELECT id_transacao, id_cliente, dt_transacao, CAST(valor AS DOUBLE) AS valor, CASE WHEN z >= 3 THEN 'ANOMALIA_ALTA' WHEN z >= 2 THEN 'ATENCAO' WHEN z >= 1.5 THEN 'LEVE' ELSE 'NORMAL' END AS classificacao_anomalia FROM z WHERE z >= 1.5""")
-def sql_anomalies(spark, sf_dir, whole=False):
-    fact = _fact(spark, sf_dir, whole).withColumn("valor", F.col("valor").cast("double"))
-    return analytics.anomalies(fact).drop("media_valor", "desvio_valor", "z_score")
+z AS (SELECT id_transacao, id_cliente, dt_transacao, valor, a, d, (valor - a) / nullif(d, 0) AS z FROM f JOIN s ON id_cliente = id_cliente_na_data WHERE d > 0)
+SELECT id_transacao, id_cliente, dt_transacao, CAST(valor AS DOUBLE) AS valor, round(a, 6) AS media_valor, round(d, 6) AS desvio_valor, {_sql_rounded("z")} AS z_score, CASE WHEN z >= 3 THEN 'ANOMALIA_ALTA' WHEN z >= 2 THEN 'ATENCAO' WHEN z >= 1.5 THEN 'LEVE' ELSE 'NORMAL' END AS classificacao_anomalia FROM z WHERE z >= 1.5""")
+def sql_anomalies(spark, sf_dir):
+    fact = _fact(spark, sf_dir).withColumn("valor", F.col("valor").cast("double"))
+    return analytics.anomalies(fact).withColumns({c: F.round(c, 6) for c in ("media_valor", "desvio_valor")})
 
 
 @query(f"""
-WITH {_PAYMENTS}, t AS (SELECT m.id_cliente, ano_mes, CAST(liquido AS DOUBLE) / qtd_transacoes AS ticket, cidade, segmento FROM m JOIN customers u ON u.id_cliente = m.id_cliente)
-SELECT id_cliente, ano_mes, cidade, segmento, round(ticket, 6) AS ticket_medio_do_mes, round(avg(ticket) OVER (PARTITION BY id_cliente), 6) AS ticket_medio_historico_proprio,
-  round(avg(ticket) OVER (PARTITION BY cidade, segmento, ano_mes), 6) AS ticket_medio_cidade_segmento FROM t""")
-def sql_ticket_compare(spark, sf_dir, whole=False):
-    months = marts.customer_months(_fact(spark, sf_dir, whole)).withColumn("ticket_medio", F.try_divide(F.col("valor_liquido").cast("double"), F.col("qtd_transacoes")))
-    found = analytics.ticket_comparison(months, _customers(spark, sf_dir, whole)).drop("diff_vs_proprio_historico", "diff_vs_cidade_segmento")
-    return found.withColumns({c: F.round(c, 6) for c in ("ticket_medio_do_mes", "ticket_medio_historico_proprio", "ticket_medio_cidade_segmento")})
+WITH {_PAYMENTS}, t AS (SELECT m.id_cliente, ano_mes, {_sql_rounded("CAST(liquido AS DOUBLE) / qtd_transacoes")} AS ticket, cidade, segmento FROM m JOIN customers u ON u.id_cliente = m.id_cliente),
+h AS (SELECT *, avg(ticket) OVER (PARTITION BY id_cliente) AS own, avg(ticket) OVER (PARTITION BY cidade, segmento, ano_mes) AS peers FROM t)
+SELECT id_cliente, ano_mes, cidade, segmento, ticket AS ticket_medio_do_mes, round(own, 6) AS ticket_medio_historico_proprio, {_sql_rounded("ticket - own")} AS diff_vs_proprio_historico,
+  round(peers, 6) AS ticket_medio_cidade_segmento, {_sql_rounded("ticket - peers")} AS diff_vs_cidade_segmento FROM h""")
+def sql_ticket_compare(spark, sf_dir):
+    found = analytics.ticket_comparison(marts.customer_months(_fact(spark, sf_dir)), _customers(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c in ("ticket_medio_historico_proprio", "ticket_medio_cidade_segmento")})
 
 
 @query("SELECT c_custkey, CAST(ntile(7) OVER (ORDER BY c_acctbal, c_custkey) AS INT) AS tile, rank() OVER (ORDER BY c_acctbal) AS place FROM customer")
@@ -602,44 +613,6 @@ def running_totals(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.sum(F.lit(1)).over(order).alias("running"), exact(F.sum(money("o_totalprice")).over(order)).alias("running_total"))
 
 
-# --- the chain and the marts over the whole tables --------------------------------------------------
-
-_WHOLE_CHAIN = f"""
-cards AS (
-  SELECT l_partkey AS id_cartao, l_partkey * 2 AS id_conta, TIMESTAMP '1970-01-02' AS a, {_SPLIT} AS z, 'ATIVO' AS status_cartao FROM (SELECT DISTINCT l_partkey FROM lineitem)
-  UNION ALL SELECT l_partkey, l_partkey * 2 + 3, {_SPLIT}, NULL, CASE WHEN l_partkey % 9 = 0 THEN 'CANCELADO' ELSE 'ATIVO' END FROM (SELECT DISTINCT l_partkey FROM lineitem)),
-accounts AS (SELECT c_custkey * 2 AS id_conta, c_custkey AS id_cliente FROM customer UNION ALL SELECT c_custkey * 2 + 1, c_custkey FROM customer),
-customers AS (SELECT c_custkey AS id_cliente, c_mktsegment AS segmento, 'N' || c_nationkey AS cidade, 'R' || c_nationkey % 5 AS estado FROM customer)"""
-_SELLERS = "(SELECT l_orderkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) = 1)"
-_TO_WHOLE = {
-    _CHAIN.strip(): _WHOLE_CHAIN.strip(),
-    "o_custkey % 1100": "o_custkey",
-    "CAST(o_custkey % 20 AS VARCHAR)": "CAST(s_nationkey AS VARCHAR)",
-    "'M' || o_custkey % 40": "'M' || l_suppkey",
-    "AS pais FROM orders)": f"AS pais FROM orders LEFT JOIN {_SELLERS} ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey)",
-}
-
-
-def _over_whole_tables(function: Callable[..., DataFrame]) -> None:
-    """Registers whole_<name>: a card for each part sold, two accounts for each customer, the order's first supplier as its merchant."""
-    sql = ORACLES[function.__name__]
-    for small, whole in _TO_WHOLE.items():
-        sql = sql.replace(small, whole)
-
-    def over(spark, sf_dir):
-        return function(spark, sf_dir, whole=True)
-
-    over.__name__ = f"whole_{function.__name__}"
-    query(sql)(over)
-
-
-for _each in (
-    pit_chain, fact_enriched, merchant_dim, customer_month, customer_month_incremental, risk_month, features_rfm, most_active_customers,
-    sql_top1_per_month, sql_month_over_month, sql_first_last, sql_spending_bands, sql_anomalies, sql_ticket_compare,
-):
-    _over_whole_tables(_each)
-
-
 # --- files, tables, streams: no tables of the driver's to compare with -----------------------------
 
 _LANDED = SourceSpec("events", "part-*.csv", "bronze_events", {"event_id": "long", "user_id": "long", "event_type": "string", "ts": "timestamp"}, {"value": "double"})
@@ -676,11 +649,107 @@ def ingest_idempotent(spark, sf_dir):
     return VersionedTable(spark, settings.table_path("bronze", "bronze_events")).read().select("event_id", "user_id")
 
 
-@query()
-def pending_files(spark, sf_dir):
+_HASHED = {"event_id": "event_id", "event_type": "event_type", "ts": "strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S')", "user_id": "user_id", "value": "CASE WHEN event_id % 2 = 1 THEN value END"}
+
+
+@query(f"SELECT event_id, CAST(1 + event_id % 2 AS INT) AS schema_version, 'b1' AS batch_id, 'v' || (1 + event_id % 2) AS folder, sha256(concat_ws(chr(31), {', '.join(_HASHED.values())})) AS row_hash, true AS stamped FROM events")
+def ingest_metadata(spark, sf_dir):
+    """What ingestion adds to a row: its hash, schema version, file, batch and times."""
     settings = _landed(spark, sf_dir)
-    control = spark.createDataFrame([], "source string, file string, file_hash string, batch_id string, status string, processed_at timestamp")
-    return pending(discover(spark, settings.input_path, _LANDED.glob), control, "events").select("file", "file_hash", "header")
+    ingest(spark, settings, _LANDED)
+    rows = read_batch(spark, settings, "bronze_events")
+    stamped = (F.col("ingested_on") >= F.lit("2020-01-01").cast("date")) & (F.col("ingested_at") >= F.lit("2020-01-01").cast("timestamp"))
+    return rows.select("event_id", "schema_version", "batch_id", F.substring_index("source_file", "/", 1).alias("folder"), "row_hash", stamped.alias("stamped"))
+
+
+def _land(spark: SparkSession, folder: str, name: str, rows: DataFrame) -> None:
+    """Writes rows as one CSV file of a given name."""
+    held = f"{_folder(spark)}/held"
+    rows.coalesce(1).write.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(held)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(held).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(f"{folder}/{name}").getParent())
+    part = next(f.getPath() for f in files.listStatus(path(held)) if f.getPath().getName().startswith("part-"))
+    files.rename(part, path(f"{folder}/{name}"))
+
+
+_FILES = {"regions.csv": ("region", "r_regionkey", "r_name"), "suppliers.csv": ("supplier", "s_suppkey", "s_name")}
+
+
+@query(" UNION ALL ".join(f"SELECT 'in/{file}' AS file, sha256('{key},{name}' || chr(10) || string_agg({key} || ',' || {name}, chr(10) ORDER BY {key}) || chr(10)) AS file_hash, '{key},{name}' AS header FROM {source}" for file, (source, key, name) in _FILES.items()))
+def file_hashes(spark, sf_dir):
+    """Files as they are discovered: their names, hashes and headers."""
+    folder = _folder(spark)
+    for file, (source, key, name) in _FILES.items():
+        _land(spark, f"{folder}/in", file, table(spark, sf_dir, source).select(key, name).orderBy(key))
+    return discover(spark, folder, "*.csv").select("file", "file_hash", "header")
+
+
+@query("SELECT 'in/suppliers.csv' AS file")
+def pending_files(spark, sf_dir):
+    """Of two files, one of which was processed with its present content and the other with another, the one that is pending."""
+    folder = _folder(spark)
+    for file, (source, key, name) in _FILES.items():
+        _land(spark, f"{folder}/in", file, table(spark, sf_dir, source).select(key, name).orderBy(key))
+    found = discover(spark, folder, "*.csv")
+    control = found.select(F.lit("s").alias("source"), "file", F.when(F.col("file").contains("regions"), F.col("file_hash")).otherwise(F.sha2("file_hash", 256)).alias("file_hash"), F.lit("b0").alias("batch_id"), F.lit(SUCCESS).alias("status"))
+    return pending(found, control, "s").select("file")
+
+
+_LAND_STATE = "CASE WHEN c_custkey % 10 = 0 THEN 'XX' ELSE 'SP' END"
+_LAND_CHANNEL = "CASE WHEN o_orderkey % 50 = 0 THEN 'FAX' ELSE 'POS' END"
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey, {_LAND_STATE} <> 'SP' AS a, CAST(c_acctbal AS INT) < 0 AS b FROM customer),
+o AS (
+  SELECT o_orderkey, o_custkey, o_orderdate, CAST(o_totalprice AS DECIMAL(18,2)) AS v, {_LAND_CHANNEL} = 'FAX' AS fax, coalesce(a OR b, true) AS gone, o_orderkey % 7 = 0 AS back FROM orders LEFT JOIN c ON c_custkey = o_custkey),
+q AS (
+  SELECT 'clientes' AS k, concat_ws('; ', CASE WHEN a THEN 'estado_invalido' END, CASE WHEN b THEN 'renda_negativa' END) AS r FROM c WHERE a OR b
+  UNION ALL SELECT 'contas', 'cliente_inexistente' FROM c WHERE a OR b
+  UNION ALL SELECT 'cartoes', 'conta_inexistente' FROM c WHERE a OR b
+  UNION ALL SELECT 'transacoes', concat_ws('; ', CASE WHEN gone THEN 'cartao_inexistente' END, CASE WHEN fax THEN 'canal_invalido' END) FROM o WHERE gone OR fax
+  UNION ALL SELECT 'estornos', 'transacao_inexistente' FROM o WHERE back AND (gone OR fax))
+SELECT 'cliente_mes' AS part, 'C' || o_custkey || ' ' || strftime(o_orderdate, '%Y-%m') AS label, count(*) AS n, count(*) FILTER (back) AS refunded, CAST(sum(v) AS DECIMAL(38,2)) AS total FROM o WHERE NOT gone AND NOT fax GROUP BY ALL
+UNION ALL SELECT k, r, count(*), NULL, NULL FROM q GROUP BY ALL""")
+def layers_end_to_end(spark, sf_dir):
+    """Files through all three layers: the monthly mart, and what was quarantined and why."""
+    folder = _folder(spark)
+    at = F.lit("1990-01-01 00:00:00").cast("timestamp")
+    people, orders, key = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), F.col("c_custkey")
+    named = lambda prefix, column: F.concat(F.lit(prefix), column)
+    digits = F.lpad(key.cast("string"), 9, "0")
+    cpf = F.concat_ws(".", *(F.substring(digits, n, 3) for n in (1, 4, 7)))
+    landed = {
+        "clientes_cdc.csv": people.select(
+            named("C", key).alias("id_cliente"), F.concat(cpf, F.lit("-00")).alias("cpf"), F.col("c_name").alias("nome"), F.lit("Campinas").alias("cidade"), F.expr(_LAND_STATE).alias("estado"),
+            F.round("c_acctbal").cast("int").alias("renda"), F.col("c_mktsegment").alias("segmento"), at.alias("data_atualizacao"), F.lit("I").alias("operacao")),
+        "contas_cdc.csv": people.select(
+            named("A", key).alias("id_conta"), named("C", key).alias("id_cliente"), F.lit("CORRENTE").alias("tipo_conta"), F.lit("ATIVA").alias("status_conta"), at.cast("date").alias("data_abertura"),
+            at.alias("data_atualizacao"), F.lit("I").alias("operacao")),
+        "cartoes_cdc.csv": people.select(
+            named("K", key).alias("id_cartao"), named("A", key).alias("id_conta"), F.lit("CREDITO").alias("tipo_cartao"), F.lit(100).alias("limite"), F.lit("ATIVO").alias("status_cartao"),
+            at.alias("data_atualizacao"), F.lit("I").alias("operacao")),
+        "transacoes/transacoes_1.csv": orders.select(
+            named("T", F.col("o_orderkey")).alias("id_transacao"), named("K", F.col("o_custkey")).alias("id_cartao"), F.col("o_orderdate").cast("timestamp").alias("data_transacao"), F.col("o_totalprice").alias("valor"),
+            F.lit("1").alias("mcc"), F.lit("Loja").alias("estabelecimento"), F.expr(_LAND_CHANNEL).alias("canal"), F.lit("BR").alias("pais"), F.lit("BRL").alias("moeda")),
+        "eventos_risco.csv": orders.filter("o_orderkey < 0").select(
+            named("E", F.col("o_orderkey")).alias("id_evento"), named("T", F.col("o_orderkey")).alias("id_transacao"), F.lit("FRAUDE").alias("tipo_evento"), F.lit("ALTA").alias("severidade"), at.alias("data_evento")),
+        "estornos.csv": orders.filter("o_orderkey % 7 = 0").select(
+            named("R", F.col("o_orderkey")).alias("id_estorno"), named("T", F.col("o_orderkey")).alias("id_transacao"), at.alias("data_estorno"), F.lit("DUPLICIDADE").alias("motivo")),
+    }
+    for name, rows in landed.items():
+        _land(spark, f"{folder}/in", name, rows)
+    settings = Settings(base_path=f"{folder}/lake", input_path=f"{folder}/in", batch_id="b1", as_of=AS_OF)
+    cards.run(spark, settings)
+    months = cards.gold(spark, settings, "gold_cliente_mes").read()
+    out = months.select(F.lit("cliente_mes").alias("part"), F.concat_ws(" ", "id_cliente", "ano_mes").alias("label"), F.col("qtd_transacoes").alias("n"), F.col("qtd_estornos").alias("refunded"), exact(F.col("valor_bruto").cast("decimal(38,2)")).alias("total"))
+    for entity in cards.ENTITIES:
+        store = VersionedTable(spark, settings.quarantine_path(entity.name))
+        if store.exists():
+            held = store.read().groupBy(F.col("entity").alias("part"), F.col(quality.REASONS).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+            out = out.unionByName(held.withColumns({"refunded": F.lit(None).cast("long"), "total": F.lit(None).cast("decimal(38,2)")}))
+    return out
 
 
 @query("SELECT o_orderkey, reasons FROM (" + _GATE.format(orders="orders") + ") WHERE reasons IS NOT NULL")

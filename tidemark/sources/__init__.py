@@ -17,8 +17,10 @@ from ..tables import VersionedTable
 METADATA = ("row_hash", "schema_version", "source_file", "ingested_on", "ingested_at", "batch_id")
 CONTROL = "source string, file string, file_hash string, batch_id string, status string, processed_at timestamp"
 SUCCESS = "SUCCESS"
-#: The first line of a file is looked for in so many bytes.
+#: The first line of a file has so many bytes at most.
 HEADER_BYTES = 1 << 16
+#: A longer file is hashed by its lines.
+WHOLE_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -33,16 +35,29 @@ class SourceSpec:
 
 
 def discover(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """(path, file, file_hash, header) of matching files under root, hashed by the executors. file is relative to root."""
+    """(path, file, file_hash, header) of matching files under root, hashed by the executors. file is relative to root.
+
+    A file of up to WHOLE_BYTES is hashed as it is; of a longer one, the number
+    and the hashes of its lines are, in parts, as no row could hold it. A first
+    line that doesn't end within HEADER_BYTES is an error.
+    """
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    header = F.regexp_replace(F.substring_index(F.decode(F.substring("content", 1, HEADER_BYTES), "UTF-8"), "\n", 1), "[\r﻿]", "")
-    return found.select(
-        "path",
-        F.regexp_extract("path", f".*?{base}/(.*)$", 1).alias("file"),
-        F.sha2("content", 256).alias("file_hash"),
-        header.alias("header"),
-    )
+    begin = F.substring("content", 1, HEADER_BYTES)
+    line = F.substring_index(F.decode(begin, "UTF-8"), "\n", 1)
+    ended = F.when((F.col("length") > HEADER_BYTES) & ~F.contains(begin, F.lit(b"\n")), F.raise_error(F.concat(F.lit("the header is too long: "), "path"))).otherwise(line)
+    named = F.regexp_extract("path", f".*?{base}/(.*)$", 1).alias("file")
+    header = F.regexp_replace(ended, "[\r﻿]", "").alias("header")
+    small = found.filter(F.col("length") <= WHOLE_BYTES).select("path", named, F.sha2("content", 256).alias("file_hash"), header)
+    long_ = [row["path"] for row in found.filter(F.col("length") > WHOLE_BYTES).select("path").collect()]  # names of files
+    if not long_:
+        return small
+    lines = spark.read.text(long_).select(F.col("_metadata.file_path").alias("path"), "value", (F.col("_metadata.file_block_start") == 0).alias("starts"), F.monotonically_increasing_id().alias("at"))
+    mark = F.xxhash64("value").cast("decimal(20,0)")
+    first = F.min_by("value", F.when(F.col("starts"), F.col("at")))
+    each = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(mark).alias("s"), F.bit_xor(F.xxhash64("value", F.lit(1))).alias("x"), first.alias("head"))
+    checked = F.when(F.octet_length("head") > HEADER_BYTES, F.raise_error(F.concat(F.lit("the header is too long: "), "path"))).otherwise(F.col("head"))
+    return small.unionByName(each.select("path", named, F.sha2(F.concat_ws("/", "n", "s", "x"), 256).alias("file_hash"), F.regexp_replace(checked, "[\r﻿]", "").alias("header")))
 
 
 def pending(found: DataFrame, control: DataFrame, source: str, full: bool = False) -> DataFrame:
@@ -71,11 +86,23 @@ def with_metadata(df: DataFrame, batch_id: str) -> DataFrame:
 def ingest(spark: SparkSession, settings: Settings, spec: SourceSpec) -> dict:
     """Appends pending files to the source's table and registers them: {source, files, rows}.
 
-    Files of one header share a scan. Rows are counted as they are written. In
-    full mode the table is overwritten, since all files are read again.
+    Files of one header share a scan. Rows are counted as they are written. The
+    table's commit notes its files, so those of a run that broke off before it
+    registered them are registered by the next, and aren't read twice. In full
+    mode the table is overwritten, since all files are read again.
     """
     control = VersionedTable(spark, settings.table_path("bronze", "_control"))
     table = VersionedTable(spark, settings.table_path("bronze", spec.table))
+
+    def register(named: list, batch_id: str) -> None:
+        done = spark.createDataFrame([(spec.name, file, file_hash, batch_id, SUCCESS) for file, file_hash in named], "source string, file string, file_hash string, batch_id string, status string")
+        control.append(done.withColumn("processed_at", F.current_timestamp()))
+
+    note = table.note()
+    if note:
+        known = {tuple(r) for r in control.read_or_empty(CONTROL).filter((F.col("source") == spec.name) & (F.col("batch_id") == note["batch_id"])).select("file", "file_hash").collect()}  # of one batch
+        if missing := [pair for pair in note["files"] if tuple(pair) not in known]:
+            register(missing, note["batch_id"])
     found = discover(spark, settings.input_path, spec.glob)
     files = pending(found, control.read_or_empty(CONTROL), spec.name, settings.full).collect()  # names and hashes only
     if not files:
@@ -89,12 +116,13 @@ def ingest(spark: SparkSession, settings: Settings, spec: SourceSpec) -> dict:
     decoded = rows.withColumn("__named", F.url_decode(F.replace("__path", F.lit("+"), F.lit("%2B")))).join(names.withColumn("__named", F.url_decode(F.replace("__named", F.lit("+"), F.lit("%2B")))), "__named").drop("__named", "__path")
     seen = Observation()
     batch = with_metadata(decoded, settings.batch_id).observe(seen, F.count(F.lit(1)).alias("rows"))
+    named = [(r["file"], r["file_hash"]) for r in files]
+    note = {"batch_id": settings.batch_id, "files": named}
     if settings.full:
-        table.overwrite(batch)
+        table.overwrite(batch, note=note)
     else:
-        table.append(batch)
-    done = spark.createDataFrame([(spec.name, r["file"], r["file_hash"], settings.batch_id, SUCCESS) for r in files], "source string, file string, file_hash string, batch_id string, status string")
-    control.append(done.withColumn("processed_at", F.current_timestamp()))
+        table.append(batch, note=note)
+    register(named, settings.batch_id)
     return {"source": spec.name, "files": len(files), "rows": seen.get["rows"]}
 
 
