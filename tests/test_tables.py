@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import merge
 from tidemark.tables import ConcurrentCommit, VersionedTable
@@ -107,3 +108,45 @@ def test_staged_rows_are_settled_once(spark, tmp_path):
     table.append(spark.range(0, 1000, numPartitions=8).selectExpr("id AS k", "0D AS v"))
     table.upsert(spark.range(0, 400, numPartitions=4).selectExpr("cast(rand() * 1000 AS long) AS k", "rand() AS v").dropDuplicates(["k"]), ["k"])
     assert table.read().count() == 1000 == table.read().select("k").distinct().count()
+
+
+def test_merges_read_only_files_whose_ranges_meet(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    for low in (0, 100, 200):
+        table.upsert(spark.range(low, low + 10, numPartitions=1).selectExpr("id AS k", "concat('s', id) AS s", "'old' AS v"), ["k", "s"])
+    files = table._state(3)[0]
+
+    def near(*keys):
+        found = table._may_hold(3, files, spark.createDataFrame(keys, "k long, s string"), ["k", "s"])
+        held = {r.f for r in table._scan(files, table.read().schema).selectExpr("k", "_metadata.file_name AS f").filter(F.col("k").isin([k for k, _ in keys])).collect()}
+        assert held <= {f.rpartition("/")[2] for f in found}
+        return len(found)
+
+    assert near((50, "s50")) == 0 == near((None, "s5")) and 0 < near((105, "s105")) < near((5, "s5"), (205, "s205")) <= len(files)
+    table.upsert(spark.createDataFrame([(105, "s105", "new"), (None, "n", "new"), (999, "s999", "new")], "k long, s string, v string"), ["k", "s"])
+    table.replace_keys(spark.createDataFrame([(None, "n", "newer")], "k long, s string, v string"), ["k", "s"])
+    assert table.read().count() == 32 and rows(table.read().filter("v != 'old'").select("k", "v")) == [(105, "new"), (999, "new"), (None, "newer")]
+
+
+def test_compaction_and_vacuum(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    for k in range(3):
+        table.append(spark.createDataFrame([(k,)], "k long"))
+    table.compact()
+    assert len(table._state(table.version())[0]) == 1 and table.history()[-1]["operation"] == "compact"
+    spark.range(3).write.parquet(f"{table.path}/data/orphan")
+    assert table.vacuum() == [] and table.read(1).count() == 1  # all too young
+    gone = table.vacuum(keep=2, least_hours=0)
+    assert "data/orphan" in gone and "_versions/00000002.json" in gone and len(table.history()) == 2
+    assert rows(table.read(3)) == rows(table.read()) == [(0,), (1,), (2,)]
+    assert len(table.vacuum(least_hours=0)) == 4 and rows(table.read()) == [(0,), (1,), (2,)]
+
+
+def test_tables_of_the_catalogue(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    with pytest.raises(FileNotFoundError):
+        table.publish_table("shelf", "p")
+    for k in range(2):  # one folder, then two
+        table.append(spark.createDataFrame([(k,)], "k long"))
+        assert table.publish_table("shelf", "p") == "shelf.p" and rows(spark.table("shelf.p")) == [(n,) for n in range(k + 1)]
+        assert spark.catalog.getTable("shelf.p").tableType == ("MANAGED" if k else "EXTERNAL")

@@ -12,6 +12,21 @@ from . import ranking
 ANOMALIES = ((3.0, "ANOMALIA_ALTA"), (2.0, "ATENCAO"), (1.5, "LEVE"))
 TOP, BOTTOM, MIDDLE = "TOP_20_PCT", "BOTTOM_20_PCT", "MEIO"
 
+#: The order of each result; a minus stands for descending.
+ORDERS = {
+    "largest_of_month": ("ano_mes", "-maior_valor_liquido_do_mes"),
+    "month_over_month": ("id_cliente", "ano_mes"),
+    "first_and_last": ("id_cliente",),
+    "spending_bands": ("-valor_liquido_total",),
+    "anomalies": ("-z_score",),
+    "ticket_comparison": ("id_cliente", "ano_mes"),
+}
+
+
+def in_order(result: DataFrame, name: str) -> DataFrame:
+    """A result in its order, by a range shuffle; for those who read it as a report."""
+    return result.orderBy(*(F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in ORDERS[name]))
+
 
 def largest_of_month(fact: DataFrame, customers: DataFrame) -> DataFrame:
     """Each customer's largest transaction of a month that wasn't refunded; the lowest id of equal ones."""

@@ -545,7 +545,7 @@ def explain_pit_join(spark, sf_dir):
 WITH {_PAYMENTS}, k AS (SELECT *, strftime(dt_transacao, '%Y-%m') AS ano_mes, row_number() OVER (PARTITION BY id_cliente_na_data, strftime(dt_transacao, '%Y-%m') ORDER BY valor_liquido DESC, id_transacao) AS n FROM f WHERE NOT flag_estornada)
 SELECT id_cliente_na_data AS id_cliente, ano_mes, id_transacao AS id_transacao_maior_valor, valor_liquido AS maior_valor_liquido_do_mes, segmento, cidade FROM k JOIN customers u ON u.id_cliente = id_cliente_na_data WHERE n = 1""")
 def sql_top1_per_month(spark, sf_dir):
-    return analytics.largest_of_month(_fact(spark, sf_dir), _customers(spark, sf_dir))
+    return analytics.in_order(analytics.largest_of_month(_fact(spark, sf_dir), _customers(spark, sf_dir)), "largest_of_month")
 
 
 @query(f"""
@@ -554,7 +554,7 @@ SELECT id_cliente, ano_mes, CAST(liquido AS DECIMAL(38,2)) AS valor_liquido, CAS
   qtd_transacoes, lag(qtd_transacoes) OVER w AS qtd_transacoes_mes_anterior, {_CHANGE.format(now="liquido", before="lag(liquido) OVER w")} AS variacao_valor_pct FROM m WINDOW w AS (PARTITION BY id_cliente ORDER BY ano_mes)""")
 def sql_month_over_month(spark, sf_dir):
     amounts = ("valor_liquido", "valor_liquido_mes_anterior", "valor_liquido_mes_seguinte")
-    return analytics.month_over_month(marts.customer_months(_fact(spark, sf_dir))).withColumns({c: exact(F.col(c)) for c in amounts})
+    return analytics.in_order(analytics.month_over_month(marts.customer_months(_fact(spark, sf_dir))).withColumns({c: exact(F.col(c)) for c in amounts}), "month_over_month")
 
 
 @query(f"""
@@ -563,7 +563,7 @@ SELECT DISTINCT id_cliente_na_data AS id_cliente, first_value(id_transacao) OVER
   last_value(id_transacao) OVER w AS ultima_transacao_id, last_value(dt_transacao) OVER w AS ultima_transacao_data, last_value(valor) OVER w AS ultima_transacao_valor
 FROM f WINDOW w AS (PARTITION BY id_cliente_na_data ORDER BY dt_transacao, id_transacao ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def sql_first_last(spark, sf_dir):
-    return analytics.first_and_last(_fact(spark, sf_dir))
+    return analytics.in_order(analytics.first_and_last(_fact(spark, sf_dir)), "first_and_last")
 
 
 @query(f"""
@@ -571,7 +571,7 @@ WITH {_PAYMENTS}, g AS (SELECT id_cliente, CAST(sum(liquido) AS DECIMAL(38,2)) A
 n AS (SELECT *, ntile(10) OVER (ORDER BY valor_liquido_total, id_cliente NULLS FIRST) AS d, {_sql_rounded("percent_rank() OVER (ORDER BY valor_liquido_total)", 4)} AS percentil_gasto FROM g)
 SELECT id_cliente, valor_liquido_total, CAST(d AS INT) AS decil_gasto, percentil_gasto, CASE WHEN d >= 9 THEN 'TOP_20_PCT' WHEN d <= 2 THEN 'BOTTOM_20_PCT' ELSE 'MEIO' END AS faixa_gasto FROM n""")
 def sql_spending_bands(spark, sf_dir):
-    return analytics.spending_bands(marts.customer_months(_fact(spark, sf_dir))).withColumn("valor_liquido_total", exact(F.col("valor_liquido_total")))
+    return analytics.in_order(analytics.spending_bands(marts.customer_months(_fact(spark, sf_dir))).withColumn("valor_liquido_total", exact(F.col("valor_liquido_total"))), "spending_bands")
 
 
 @query(f"""
@@ -580,7 +580,7 @@ z AS (SELECT id_transacao, id_cliente, dt_transacao, valor, a, d, (valor - a) /
 SELECT id_transacao, id_cliente, dt_transacao, CAST(valor AS DOUBLE) AS valor, round(a, 6) AS media_valor, round(d, 6) AS desvio_valor, {_sql_rounded("z")} AS z_score, CASE WHEN z >= 3 THEN 'ANOMALIA_ALTA' WHEN z >= 2 THEN 'ATENCAO' WHEN z >= 1.5 THEN 'LEVE' ELSE 'NORMAL' END AS classificacao_anomalia FROM z WHERE z >= 1.5""")
 def sql_anomalies(spark, sf_dir):
     fact = _fact(spark, sf_dir).withColumn("valor", F.col("valor").cast("double"))
-    return analytics.anomalies(fact).withColumns({c: F.round(c, 6) for c in ("media_valor", "desvio_valor")})
+    return analytics.in_order(analytics.anomalies(fact).withColumns({c: F.round(c, 6) for c in ("media_valor", "desvio_valor")}), "anomalies")
 
 
 @query(f"""
@@ -590,7 +590,7 @@ SELECT id_cliente, ano_mes, cidade, segmento, ticket AS ticket_medio_do_mes, rou
   round(peers, 6) AS ticket_medio_cidade_segmento, {_sql_rounded("ticket - peers")} AS diff_vs_cidade_segmento FROM h""")
 def sql_ticket_compare(spark, sf_dir):
     found = analytics.ticket_comparison(marts.customer_months(_fact(spark, sf_dir)), _customers(spark, sf_dir))
-    return found.withColumns({c: F.round(c, 6) for c in ("ticket_medio_historico_proprio", "ticket_medio_cidade_segmento")})
+    return analytics.in_order(found.withColumns({c: F.round(c, 6) for c in ("ticket_medio_historico_proprio", "ticket_medio_cidade_segmento")}), "ticket_comparison")
 
 
 @query("SELECT c_custkey, CAST(ntile(7) OVER (ORDER BY c_acctbal, c_custkey) AS INT) AS tile, rank() OVER (ORDER BY c_acctbal) AS place FROM customer")
