@@ -1,12 +1,24 @@
+import hashlib
+
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tidemark.llm import queries
+from tidemark.llm import bpe, importance, queries
 
 from ..oracle import DATA, compare
 from . import awkward
 from .test_decontamination import dec
+from .test_importance import plainly
+from .test_linechunks import brute as brute_lines
 from .test_minjoin import brute as brute_groups
 
-import pytest
+
+def library():
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(file.read()), special_tokens={})
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -34,8 +46,13 @@ def test_stages_against_brute_force(spark, tmp_path):
             good = [labels[i] for i in gone if i in labels]
             assert sum(good) <= 0.02 * len(good) + 1 and good.count(0) > 0.8 * list(labels.values()).count(0)
             assert all(after[i] == before[i] for i in after)
+            noises = {r[0]: r[1] for r in docs.select("doc_id", importance.noise("doc_id", importance.SEED)).collect()}
+            marks = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in labels], "doc_id long").select("doc_id", F.xxhash64("doc_id", F.lit(importance.SEED))).collect()}
+            assert set(after) == plainly({i: r.text for i, r in before.items()}, labels, noises, None, marks)
         elif name == "line dedup":
             assert not gone and any(after[i].text != before[i].text for i in after)
+            wanted = brute_lines([(i, r.text) for i, r in before.items()])
+            assert {i: r.text for i, r in after.items()} == {i: left for i, (left, _, _) in wanted.items()}
             assert all(after[i].n_chars == len(after[i].text) for i in after if after[i].text != before[i].text)
         elif name == "n-gram Jaccard join":
             groups = brute_groups([(r.doc_id, r.text) for r in before.values()])
@@ -45,6 +62,13 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert leaked and gone == leaked
         else:
             assert not gone and all(r.n_tokens > 0 or not before[r.doc_id].text for r in after.values())
+            codec = library()
+            for i, r in before.items():
+                raw = (r.text or "").encode()
+                ids = codec.encode_ordinary(r.text or "")
+                packed = b"".join(x.to_bytes(4, "little") for x in ids)
+                found = after[i]
+                assert (found.n_tokens, found.ids_sha256, found.decoded_sha256) == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(raw).hexdigest())
         docs = out
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
 

@@ -66,10 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what each returns is written in the shared folder, which the last one's rows are read from."""
+    """All stages over the documents of sf_dir; what each returns is written in the shared folder and read again by the next, and goes once that has been written. The last one's stays, as the rows are read from it."""
     folder, docs = f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}", read_table(spark, sf_dir, "documents")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for number, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            files.delete(path.suffix(f"/{number - 1}"), True)
     return docs
