@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,8 @@ class Codec:
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
         self.fine = [0] * ((self.most >> GROUP) + 1)  # all zero between pre-tokens
+        self.single = [ranks.get(bytes([b])) for b in range(256)]
+        self.double = [[ranks.get(bytes([a, b])) for b in range(256)] for a in range(256)]
         self.packed = _Packed(self)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -99,25 +102,31 @@ class Codec:
         whole = get(piece)
         if whole is not None:
             return [whole]
-        n, fine, coarse, buckets = len(piece), self.fine, 0, {}
+        n, fine, coarse, buckets, single, double = len(piece), self.fine, 0, {}, self.single, self.double
         following, before = [*range(1, n + 1)], [*range(-1, n - 1)]  # the linked list of symbols, by their first byte
-        waiting = [get(piece[i : i + 2]) for i in range(n)]  # rank of the pair that starts here
-        waiting[-1] = None
-        for i, rank in enumerate(waiting):
+        symbols = [single[b] for b in piece]  # the id of the symbol that starts here
+        waiting = [double[a][b] for a, b in zip(piece, piece[1:])]  # rank of the pair that starts here
+        waiting.append(None)
+        i = 0
+        for rank in waiting:
             if rank is not None:
                 if rank in buckets:
                     buckets[rank].append(i)  # in order, and so a heap
                 else:
                     buckets[rank] = [i]
-                    fine[rank >> GROUP] |= 1 << (rank & MASK)
-                    coarse |= 1 << (rank >> GROUP)
+                    group = rank >> GROUP
+                    fine[group] |= 1 << (rank & MASK)
+                    coarse |= 1 << group
+            i += 1
         while coarse:
             group = (coarse & -coarse).bit_length() - 1
             word = fine[group]
             rank = (group << GROUP) + (word & -word).bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)  # the leftmost
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)  # the leftmost
+            else:
+                i = bucket[0]
                 del buckets[rank]
                 word &= word - 1
                 fine[group] = word
@@ -125,6 +134,7 @@ class Codec:
                     coarse &= coarse - 1
             if waiting[i] != rank:
                 continue  # stale: one of the pair's symbols has been merged since
+            symbols[i] = rank
             gone = following[i]
             after = following[i] = following[gone]
             waiting[gone] = None
@@ -138,8 +148,9 @@ class Codec:
                     heappush(buckets[fresh], i)
                 else:
                     buckets[fresh] = [i]
-                    fine[fresh >> GROUP] |= 1 << (fresh & MASK)
-                    coarse |= 1 << (fresh >> GROUP)
+                    group = fresh >> GROUP
+                    fine[group] |= 1 << (fresh & MASK)
+                    coarse |= 1 << group
             i = before[i]
             if i >= 0:
                 fresh = waiting[i] = get(piece[i:after])
@@ -148,13 +159,13 @@ class Codec:
                         heappush(buckets[fresh], i)
                     else:
                         buckets[fresh] = [i]
-                        fine[fresh >> GROUP] |= 1 << (fresh & MASK)
-                        coarse |= 1 << (fresh >> GROUP)
-        out, i, ranks = [], 0, self.ranks
+                        group = fresh >> GROUP
+                        fine[group] |= 1 << (fresh & MASK)
+                        coarse |= 1 << group
+        out, i = [], 0
         while i < n:
-            after = following[i]
-            out.append(ranks[piece[i:after]])
-            i = after
+            out.append(symbols[i])
+            i = following[i]
         return out
 
     def pieces(self, text: str) -> list[str]:
@@ -176,7 +187,8 @@ class _Packed(dict):
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "replace")
-        packed = np.array(self.codec.merge(raw), "<u4").tobytes()
+        ids = self.codec.merge(raw)
+        packed = pack(f"<{len(ids)}I", *ids)
         if len(raw) <= CACHE_LENGTH:
             if len(self) >= CACHE_ENTRIES:
                 early = [*islice(self.items(), CACHE_ENTRIES // 2)]
