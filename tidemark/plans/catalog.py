@@ -7,17 +7,18 @@ don't depend on the order of rows.
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import settle, shared_dir
 from ..config import Settings
-from ..functions import fingerprint, month_of, ratio
+from ..functions import add_missing, fingerprint, month_of, not_blank, ratio
 from ..operators import analytics, history, marts, merge, quality, ranking, temporal
-from ..sources import SUCCESS, SourceSpec, discover, ingest, pending, read_batch
+from ..sources import SUCCESS, SourceSpec, control_table, discover, ingest, pending, read_batch
 from ..streaming import upsert_stream
 from ..tables import VersionedTable
 from . import cards
@@ -177,6 +178,46 @@ def shared_identity(spark, sf_dir):
     return shared.select("event_id", "user_id", "ts")
 
 
+@query("SELECT event_id, user_id FROM (SELECT *, count(DISTINCT user_id) OVER (PARTITION BY value) AS owners FROM events) WHERE owners <= 1")
+def unshared_identity(spark, sf_dir):
+    unshared, _ = quality.shared_identity(table(spark, sf_dir, "events"), "value", "user_id")
+    return unshared.select("event_id", "user_id")
+
+
+_BLANKED = "CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '   ' WHEN 2 THEN '' ELSE c_name END"
+
+
+@query(f"SELECT c_custkey, length(trim(n)) AS letters FROM (SELECT c_custkey, {_BLANKED} AS n FROM customer) WHERE n IS NOT NULL AND length(trim(n)) > 0")
+def not_blank_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_BLANKED).alias("n"))
+    return rows.filter(not_blank("n")).select("c_custkey", F.length(F.trim("n")).alias("letters"))
+
+
+@query("SELECT o_orderkey, CAST(NULL AS VARCHAR) AS device_id, CAST(NULL AS BIGINT) AS visits, 'b1' AS batch_id, true AS stamped FROM orders")
+def typed_nulls_and_constants(spark, sf_dir):
+    """Columns that older rows lack as typed nulls; a batch, and the time of processing."""
+    rows = add_missing(table(spark, sf_dir, "orders").select("o_orderkey"), {"o_orderkey": "long", "device_id": "string", "visits": "long"})
+    stamped = rows.withColumns({"batch_id": F.lit("b1"), "processed_at": F.current_timestamp(), "processed_on": F.current_date()})
+    return stamped.select("o_orderkey", "device_id", "visits", "batch_id", (F.to_date("processed_at") >= F.date_sub("processed_on", 1)).alias("stamped"))
+
+
+@query("SELECT true AS typed_is_empty, false AS read_is_empty, 'id_x:bigint,v:string' AS columns")
+def empty_frames(spark, sf_dir):
+    """A table that isn't there yet as an empty frame of its columns, and the probe for emptiness."""
+    typed = VersionedTable(spark, f"{_folder(spark)}/none").read_or_empty("id_x long, v string")
+    columns = ",".join(":".join(pair) for pair in typed.dtypes)
+    return spark.createDataFrame([(typed.isEmpty(), table(spark, sf_dir, "region").isEmpty(), columns)], "typed_is_empty boolean, read_is_empty boolean, columns string")
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (event_type = 'error') AS errors FROM events")
+def write_metrics(spark, sf_dir):
+    """Counts taken while rows are written, without another pass."""
+    seen = Observation()
+    rows = table(spark, sf_dir, "events").observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    VersionedTable(spark, f"{_folder(spark)}/events").overwrite(rows)
+    return spark.createDataFrame([(seen.get["rows"], seen.get["errors"])], "rows long, errors long")
+
+
 _LINE = "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
 
 
@@ -276,6 +317,13 @@ def pit_join_sweep(spark, sf_dir):
     return temporal.pit_join_sweep(*_purchases_and_states(spark, sf_dir), "user_id", "ts")
 
 
+@query(f"SELECT event_id, user_id, version AS at_version, state AS at_state FROM (WITH {_TIMELINE.format(events=_OTHERS)} {_PIT.format(how='LEFT')})")
+def pit_join_prefixed(spark, sf_dir):
+    """Every column of the versions under a prefix, but for the key and the interval."""
+    found = temporal.pit_join(*_purchases_and_states(spark, sf_dir), "user_id", "ts", prefix="at_")
+    return found.select("event_id", "user_id", "at_version", "at_state")
+
+
 _SPLIT = "TIMESTAMP '1995-06-01'"
 _CHAIN = f"""
 part_ AS (SELECT DISTINCT l_partkey FROM lineitem),
@@ -538,6 +586,20 @@ def explain_pit_join(spark, sf_dir):
     return spark.sql("EXPLAIN FORMATTED SELECT p.event_id, s.state FROM tidemark_purchases p JOIN tidemark_states s ON s.user_id = p.user_id AND p.ts >= s.valid_from AND (s.valid_to IS NULL OR p.ts < s.valid_to)")
 
 
+@query("SELECT true AS joins_on_the_key, true AS interval_is_residual, true AS filter_reaches_the_scan, true AS reads_four_columns")
+def explain_facts(spark, sf_dir):
+    """What the plan of the point-in-time join must have, read from EXPLAIN."""
+    plan = explain_pit_join(spark, sf_dir).first()[0]
+    scans = re.findall(r"Scan parquet[^\n]*\n(?:[^\n]+\n)+", plan)
+    facts = (
+        bool(re.search(r"Left keys \[1\]: \[user_id#\d+L?\]", plan)),
+        bool(re.search(r"Join condition: .*ts#\d+ >= valid_from#\d+", plan)),
+        any("EqualTo(event_type,purchase)" in scan for scan in scans),
+        all("value:" not in scan and "props:" not in scan for scan in scans),
+    )
+    return spark.createDataFrame([facts], "joins_on_the_key boolean, interval_is_residual boolean, filter_reaches_the_scan boolean, reads_four_columns boolean")
+
+
 # --- window analytics ----------------------------------------------------------------------------
 
 
@@ -662,6 +724,24 @@ def ingest_metadata(spark, sf_dir):
     return rows.select("event_id", "schema_version", "batch_id", F.substring_index("source_file", "/", 1).alias("folder"), "row_hash", stamped.alias("stamped"))
 
 
+@query("SELECT 'events' AS source, 'SUCCESS' AS status, 'b1' AS batch_id, folder, true AS hashed FROM (VALUES ('v1'), ('v2')) v(folder)")
+def control_rows(spark, sf_dir):
+    """The control table after a run: a row for each file, here one for each folder."""
+    settings = _landed(spark, sf_dir)
+    ingest(spark, settings, _LANDED)
+    rows = control_table(spark, settings)
+    hashed = F.bool_and((F.length("file_hash") == 64) & F.col("processed_at").isNotNull())
+    return rows.groupBy("source", "status", "batch_id", F.substring_index("file", "/", 1).alias("folder")).agg(hashed.alias("hashed"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def catalogue_table(spark, sf_dir):
+    """A versioned table as a table of the catalogue, read by name."""
+    store = VersionedTable(spark, f"{_folder(spark)}/nation")
+    store.overwrite(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    return spark.sql(f"SELECT n_nationkey, n_name FROM {store.publish_table('tidemark', f'nation_{uuid.uuid4().hex}')}")
+
+
 def _land(spark: SparkSession, folder: str, name: str, rows: DataFrame) -> None:
     """Writes rows as one CSV file of a given name."""
     held = f"{_folder(spark)}/held"
@@ -711,9 +791,11 @@ q AS (
   UNION ALL SELECT 'transacoes', concat_ws('; ', CASE WHEN gone THEN 'cartao_inexistente' END, CASE WHEN fax THEN 'canal_invalido' END) FROM o WHERE gone OR fax
   UNION ALL SELECT 'estornos', 'transacao_inexistente' FROM o WHERE back AND (gone OR fax))
 SELECT 'cliente_mes' AS part, 'C' || o_custkey || ' ' || strftime(o_orderdate, '%Y-%m') AS label, count(*) AS n, count(*) FILTER (back) AS refunded, CAST(sum(v) AS DECIMAL(38,2)) AS total FROM o WHERE NOT gone AND NOT fax GROUP BY ALL
-UNION ALL SELECT k, r, count(*), NULL, NULL FROM q GROUP BY ALL""")
+UNION ALL SELECT k, r, count(*), NULL, NULL FROM q GROUP BY ALL
+UNION ALL SELECT unnest(['gold_dim_cliente', 'gold_dim_conta', 'gold_dim_cartao', 'gold_features_cliente']), '', count(*), NULL, NULL FROM c WHERE NOT a AND NOT b
+UNION ALL SELECT 'gold_dim_estabelecimento', '', 1, NULL, NULL""")
 def layers_end_to_end(spark, sf_dir):
-    """Files through all three layers: the monthly mart, and what was quarantined and why."""
+    """Files through all three layers: the monthly mart, what was quarantined and why, and the sizes of dimensions by their views."""
     folder = _folder(spark)
     at = F.lit("1990-01-01 00:00:00").cast("timestamp")
     people, orders, key = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), F.col("c_custkey")
@@ -744,6 +826,9 @@ def layers_end_to_end(spark, sf_dir):
     cards.run(spark, settings)
     months = cards.gold(spark, settings, "gold_cliente_mes").read()
     out = months.select(F.lit("cliente_mes").alias("part"), F.concat_ws(" ", "id_cliente", "ano_mes").alias("label"), F.col("qtd_transacoes").alias("n"), F.col("qtd_estornos").alias("refunded"), exact(F.col("valor_bruto").cast("decimal(38,2)")).alias("total"))
+    cards.register_views(spark, settings)
+    for name in ("gold_dim_cliente", "gold_dim_conta", "gold_dim_cartao", "gold_dim_estabelecimento", "gold_features_cliente"):
+        out = out.unionByName(spark.sql(f"SELECT '{name}' AS part, '' AS label, count(*) AS n, CAST(NULL AS BIGINT) AS refunded, CAST(NULL AS DECIMAL(38,2)) AS total FROM {name}"))
     for entity in cards.ENTITIES:
         store = VersionedTable(spark, settings.quarantine_path(entity.name))
         if store.exists():

@@ -126,6 +126,11 @@ def ingest(spark: SparkSession, settings: Settings, spec: SourceSpec) -> dict:
     return {"source": spec.name, "files": len(files), "rows": seen.get["rows"]}
 
 
+def control_table(spark: SparkSession, settings: Settings) -> DataFrame:
+    """The files that were processed, with their hashes, batches and times; empty before the first run."""
+    return VersionedTable(spark, settings.table_path("bronze", "_control")).read_or_empty(CONTROL)
+
+
 def read_batch(spark: SparkSession, settings: Settings, table: str) -> DataFrame:
     """The current batch's rows of a bronze table; all of them in full mode. A table that isn't there is an error."""
     rows = VersionedTable(spark, settings.table_path("bronze", table)).read()
