@@ -108,11 +108,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repos
         none.alias("spans"),
     )
     for number, (_, pattern, group, least) in enumerate(BASE):
-        where = F.col("text").rlike(pattern)
-        rows = rows.withColumns(
+        where = F.col("text").rlike(pattern)  # no kind but the first, whose left is the text, can match blanks: so left has no matches where text has none
+        rows = rows.withColumn("where", where).withColumns(
             {
-                "spans": F.when(where, F.concat("spans", _spans(_matches(F.col("text"), pattern, group, least), number))).otherwise(F.col("spans")),
-                "left": F.when(F.col("left").rlike(pattern), _blanked(_matches(F.col("left"), pattern, group, least))).otherwise(F.col("left")),
+                "spans": F.when(F.col("where"), F.concat("spans", _spans(_matches(F.col("text"), pattern, group, least), number))).otherwise(F.col("spans")),
+                "left": F.when(F.col("where"), _blanked(_matches(F.col("left"), pattern, group, least))).otherwise(F.col("left")),
             }
         )
     more = F.when(F.col("left").rlike(LIVE), _spans(_matches(F.col("left"), LIVE, 0, 20), len(BASE), F.lit(True))).otherwise(none)
