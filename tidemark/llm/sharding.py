@@ -141,8 +141,10 @@ def assign(docs: DataFrame, slot_map: SlotMap, id_col: str = "doc_id", text_col:
 
     slot is the record's place in its shard, without gaps from 0: the records of
     the virtual slots before its own, and its place in its own by id. Equal rows
-    get places of their own. A null text has no bytes, and its CRC is that of no
-    bytes; a null id is kept. Other columns of docs are left out, so that none
+    get places of their own, and rows that tie otherwise are alike but for text. A
+    null or empty text has no bytes, and its CRC is that of no bytes; a very long
+    one is a record like others, and may make its shard larger than the mean; a
+    null id is kept. Other columns of docs are left out, so that none
     can clash. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
