@@ -163,8 +163,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = earlier(docs, id_col, text_col, key_bytes).select(F.col("id").alias("__id"), "known", "same")
     rest = [c for c in docs.columns if c != text_col]
     packed = docs.select(F.col(id_col).alias("__key"), F.col(text_col).cast("binary").alias("text"), F.struct(*(F.col(c) for c in rest)).alias("rest"))
-    joined = packed.join(found, F.col("__key") == F.col("__id"), "left").select("text", "known", "same", "rest")
-    done = joined.mapInArrow(cut, f"text binary, rest {packed.schema['rest'].dataType.simpleString()}, lines long, removed long")
+    joined = packed.filter("__key IS NOT NULL").join(found, F.col("__key") == F.col("__id"), "left").select("text", "known", "same", "rest")
+    apart = packed.filter("__key IS NULL").select("text", F.lit(None).cast("array<long>").alias("known"), F.lit(None).cast("array<binary>").alias("same"), "rest")  # not all to one task
+    done = joined.unionByName(apart).mapInArrow(cut, f"text binary, rest {packed.schema['rest'].dataType.simpleString()}, lines long, removed long")
     return done.select(
         *(F.col("text").cast("string").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns),
         F.col("lines").alias("__lines"),

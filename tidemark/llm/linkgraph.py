@@ -174,9 +174,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame = RULES
     total = seeds.agg(F.sum("pages")).first()[0] or 0
     large = seeds.filter(F.col("pages") * LARGE_HOSTS > total).select("host").join(scores, "host", "left")  # so at most LARGE_HOSTS rows
     large = large.select("host", F.struct("trust", "distrust").alias("known"))
-    # pages of large hosts have their scores already: for the join below they get keys of their own, so that they don't meet in one task
+    # pages of large hosts have their scores already, those without a host have none: for the join below they get keys of their own, so that they don't meet in one task
     apart = F.concat(F.lit("/"), F.pmod(F.xxhash64(id_col, "path"), F.lit(4096)).cast("string"))
-    keyed = seen.join(F.broadcast(large), "host", "left").withColumn("__key", F.when(F.col("known").isNull(), F.col("host")).otherwise(apart))
+    keyed = seen.join(F.broadcast(large), "host", "left").withColumn("__key", F.when(F.col("known").isNull() & (F.col("host") != ""), F.col("host")).otherwise(apart))
     scores = scores.select(F.col("host").alias("__key"), F.struct("trust", "distrust").alias("found"))
     trust, distrust = (F.coalesce(f"known.{side}", f"found.{side}", F.lit(0.0)) for side in ("trust", "distrust"))
     verdict = F.coalesce("ruled", F.when(distrust > limit * (trust + distrust), F.lit("block")).otherwise(F.lit("allow")))

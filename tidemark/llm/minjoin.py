@@ -345,10 +345,12 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = copies.select("copy", "node", "id", "weight").join(links, "node", "left").join(groups, "node", "left")
     classes = settle(classes.select("copy", "weight", "links", F.coalesce("first", F.struct("id", "copy")).alias("first")))
     common = F.col("weight") * COMMON > signed.count()  # of fewer than COMMON texts
-    few = F.broadcast(classes.filter(common).withColumnRenamed("copy", "__copy"))
-    mine = signed.select("id", "copy", F.when(F.col("id").isNotNull(), F.col("copy")).alias("__copy"))
-    rest = mine.join(few.select("__copy"), "__copy", "left_anti")
-    known = mine.join(few, "__copy").unionByName(rest.join(classes.filter(~common).withColumnRenamed("copy", "__copy"), "__copy", "left"))
+    few = F.broadcast(classes.filter(common))
+    in_groups = F.col("id").isNotNull() & F.col("copy").isNotNull()
+    mine = signed.select("id", "copy")
+    rest = mine.filter(in_groups).join(few.select("copy"), "copy", "left_anti")
+    known = mine.join(few, "copy").filter("id IS NOT NULL").unionByName(rest.join(classes.filter(~common), "copy"))
+    known = known.unionByName(mine.filter(~in_groups), allowMissingColumns=True)  # without a join, in which nulls would meet in one task
     return known.select(
         F.col("id").alias(id_col),
         F.coalesce("first.id", "id").alias("class_id"),

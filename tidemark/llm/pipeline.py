@@ -43,7 +43,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Benchmark decontamination: documents with a benchmark item go. A row without an id can't be named by a match, and stays."""
     found = decontamination.find_items(docs, read_table(spark, sf_dir, "benchmark"))
     gone = settle(found.filter("doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return left.unionByName(docs.filter("doc_id IS NULL"))  # not all to one task
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
